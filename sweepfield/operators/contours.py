@@ -551,7 +551,7 @@ def is_rectangle(points: DataFrame, spans: Spans | None = None) -> DataFrame:
     rows = with_group(points, KEY, {
         "_lo_x": F.min("x"), "_hi_x": F.max("x"), "_lo_y": F.min("y"), "_hi_y": F.max("y"),
     }, spans)
-    same = lambda a, b: rounded(F.col(a)) == rounded(F.col(b))
+    same = lambda a, b: rounded(F.col(a), 9) == rounded(F.col(b), 9)
     corners = [("_lo_x", "_lo_y"), ("_hi_x", "_lo_y"), ("_hi_x", "_hi_y"), ("_lo_x", "_hi_y")]
     code = F.lit(0)
     for bit, (cx, cy) in enumerate(corners):
