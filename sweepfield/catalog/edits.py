@@ -133,7 +133,7 @@ def _(t):
 
 
 def hash_sql(*parts):
-    state = "12345"
+    state = "12345::BIGINT"
     for part in parts:
         state = f"((({state}) + ({part}) % 2147483647) % 2147483647 * 48271 + 11) % 2147483647"
     return f"(({state}) / 2147483647.0::DOUBLE)"

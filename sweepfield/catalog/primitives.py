@@ -245,18 +245,18 @@ PLAN = ROLES + """, sized AS (SELECT r.*, greatest(10.0, sqrt((max_x - min_x) **
       UNION ALL SELECT design_id, primitive_id, seq, 2, unnest([0, 1]), unnest(['port_width_delta', 'port_propagation_shift']), unnest([0.2 * greatest(1.0, length), greatest(2.0, least(0.05 * greatest(1.0, length), 0.005 * scale))]), unnest([0.0, -1.0]) FROM sized WHERE type = 'LINE' AND role = 'PORT')"""
 
 
-def plan(t, cap=None):
+def plan(t):
     rows = roles(t).select(
         "design_id", "primitive_id", "seq", "type", "role", "length", F.least("x1", "x2").alias("min_x"), F.least("y1", "y2").alias("min_y"),
         F.greatest("x1", "x2").alias("max_x"), F.greatest("y1", "y2").alias("max_y"),
     )
-    return primitives.variable_plan_primitives(rows, boxes(t), cap)
+    return primitives.variable_plan_primitives(rows, boxes(t))
 
 
-@register("variable_plan_primitives", f"""WITH {PLAN}, k AS (SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY kind, seq, part) AS k FROM plan)
-    SELECT design_id, primitive_id, variable_type, round(hi * f, 6) + 0.0 AS lower, round(hi, 6) AS upper FROM k WHERE k <= 40""")
+@register("variable_plan_primitives", f"""WITH {PLAN}
+    SELECT design_id, primitive_id, variable_type, round(hi * f, 6) + 0.0 AS lower, round(hi, 6) AS upper FROM plan""")
 def _(t):
-    return plan(t, 40).select("design_id", "primitive_id", "variable_type", *r("lower", "upper"))
+    return plan(t).select("design_id", "primitive_id", "variable_type", *r("lower", "upper"))
 
 
 SLOTS = RECT + """, placed AS (SELECT s.design_id, 's' || slot_id AS slot_id, min(x - s.width / 2) AS min_x, min(y - height / 2) AS min_y, max(x + s.width / 2) AS max_x, max(y + height / 2) AS max_y

@@ -123,7 +123,11 @@ VARIANTS = {
     "proper": (0.0, False),
     "loop": (1e-7, True),
     "gate": (0.0, True),
+    # Strict crossings of the evaluation report: closed rings and open lines.
+    "ring": (0.0, False),
+    "open": (0.0, False),
 }
+STRICT = 1e-12
 
 
 def outline_edges(points: DataFrame, variant: str, spans: Spans) -> DataFrame:
@@ -134,6 +138,8 @@ def outline_edges(points: DataFrame, variant: str, spans: Spans) -> DataFrame:
         "touch": ~F.col("is_last") | (gap > 1e-9),
         "proper": ~F.col("is_last") | (F.col("x") != F.col("next.x")) | (F.col("y") != F.col("next.y")),
         "loop": F.lit(True),
+        "ring": F.lit(True),
+        "open": ~F.col("is_last"),
         "gate": ~F.col("is_last"),
     }[variant]
     edges = rows.filter(keep).select(
@@ -170,8 +176,8 @@ def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | Non
     ]
     grid = ["last", "lo_x", "hi_x", "lo_y", "hi_y", "cells"]
     pairs = cells.select(*side("a", "b", "i"), *grid).join(cells.select(*side("c", "d", "j")), [*KEY, "cell_x", "cell_y"])
-    if variant == "gate":
-        pairs = pairs.filter(F.col("j") > F.col("i"))
+    if variant in ("gate", "open"):
+        pairs = pairs.filter(F.col("j") > F.col("i") + (1 if variant == "open" else 0))
     else:
         pairs = pairs.filter((F.col("j") > F.col("i") + 1) & ~((F.col("i") == 0) & (F.col("j") == F.col("last"))))
     if variant == "gate":
@@ -195,7 +201,10 @@ def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | Non
 
     limit = -tol if variant == "loop" else 0.0
     # How the pair meets: 1 for a proper crossing, 2..5 for an end on the other edge.
-    how = F.when((o1 * o2 < limit) & (o3 * o4 < limit), 1)
+    crossing = (o1 * o2 < limit) & (o3 * o4 < limit)
+    if variant in ("ring", "open"):
+        crossing = crossing & (F.least(*[F.abs(o) for o in (o1, o2, o3, o4)]) > STRICT)
+    how = F.when(crossing, 1)
     ends = [(o1, "acb"), (o2, "adb"), (o3, "cad"), (o4, "cbd")]
     if touching:
         for code, (turn, (p, q, r)) in enumerate(ends, 2):

@@ -197,8 +197,8 @@ def random_variants(
     c = F.col
     spans = ensure_spans(points, KEY, "idx", spans)
     sized = with_group(points, KEY, {
-        "_n": F.count(F.lit(1)), "_wide": F.max("x") - F.min("x"), "_tall": F.max("y") - F.min("y"),
-    }, spans)
+        "_n": F.count(F.lit(1)), "_x0": F.min("x"), "_x1": F.max("x"), "_y0": F.min("y"), "_y1": F.max("y"),
+    }, spans).withColumn("_wide", c("_x1") - c("_x0")).withColumn("_tall", c("_y1") - c("_y0"))
     copies = sized.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(epochs)))).alias("epoch"))
     draw = lambda stream: stable_unit(seed, stream, c("contour_id"), c("epoch"), c("idx"))
     drawn = copies.select("*", draw(1).alias("_pick"))
