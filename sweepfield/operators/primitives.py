@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepfield.functions.numeric import is_finite, rounded
 from sweepfield.plans.components import grid_components
+from sweepfield.plans.folds import Columns, fold_groups
 from sweepfield.plans.ordered import Spans, ensure_spans, with_group
 from sweepfield.plans.sizing import broadcast_if_small
 
@@ -284,9 +288,6 @@ def junctions(endpoints: DataFrame, tol: float = 1.0) -> DataFrame:
     of n members keeps all of them within ``tol * (2 + H(n))`` of any joining
     end, which sets the cell size; ends further apart can never meet.
     """
-    import numpy as np
-    import pandas as pd
-
     most = endpoints.groupBy(*DESIGN).agg(F.count(F.lit(1)).alias("_n"))
     reach = tol * (3.0 + F.log("_n")) + 1e-9
     rows = endpoints.join(most, DESIGN).select(
@@ -297,28 +298,31 @@ def junctions(endpoints: DataFrame, tol: float = 1.0) -> DataFrame:
         *DESIGN, "seq", "x", "y", F.col("region.x").alias("region_x"), F.col("region.y").alias("region_y")
     )
 
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
+    def cluster(group: Columns) -> Columns | None:
         sums: list[list[float]] = []
-        own = np.empty(len(group), dtype="int64")
-        for i, (x, y) in enumerate(zip(group["x"].to_numpy(), group["y"].to_numpy())):
+        own = np.empty(len(group["seq"]), dtype="int64")
+        for i, (x, y) in enumerate(zip(group["x"], group["y"])):
             for c, (sx, sy, n) in enumerate(sums):
-                if np.hypot(x - sx / n, y - sy / n) <= tol:
+                if math.hypot(x - sx / n, y - sy / n) <= tol:
                     sums[c] = [sx + x, sy + y, n + 1]
                     own[i] = c
                     break
             else:
                 own[i] = len(sums)
                 sums.append([x, y, 1])
-        first = group["seq"].groupby(own).transform("min") if len(group) else group["seq"]
-        size = group["seq"].groupby(own).transform("size")
-        return pd.DataFrame({
-            "design_id": group["design_id"], "junction": first.to_numpy(), "seq": group["seq"],
-            "x": group["x"], "y": group["y"], "members": size.to_numpy(),
-        })[lambda d: d["members"] >= 2]
-
-    found = placed.groupBy(*DESIGN, "region_x", "region_y").applyInPandas(
-        cluster, "design_id long, junction long, seq long, x double, y double, members long"
+        members = np.bincount(own)[own]
+        first = group["seq"][np.unique(own, return_index=True)[1]][own]
+        keep = members >= 2
+        if not keep.any():
+            return None
+        return {
+            "design_id": group["design_id"][keep], "junction": first[keep], "seq": group["seq"][keep],
+            "x": group["x"][keep], "y": group["y"][keep], "members": members[keep],
+        }
+
+    found = fold_groups(
+        placed, [*DESIGN, "region_x", "region_y"], ["seq"], cluster,
+        "design_id long, junction long, seq long, x double, y double, members long",
     )
     shared = found.groupBy(*DESIGN, "junction").agg(F.avg("x").alias("shared_x"), F.avg("y").alias("shared_y"))
     return found.join(shared, [*DESIGN, "junction"])

@@ -9,12 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepfield.functions.numeric import clip
 from sweepfield.operators import contours
+from sweepfield.plans.folds import Columns, fold_groups
 from sweepfield.plans.ordered import (
     Spans,
     ensure_spans,
@@ -81,15 +81,14 @@ def split_min_points(
     fresh = F.col("prev").isNull() | (F.col("idx") - F.col("prev.idx") >= reach)
     runs = with_islands(linked, KEY, ["idx"], fresh, spans, "run").select(*KEY, "run", "idx")
 
-    def accept(run: pd.DataFrame) -> pd.DataFrame:
-        places = np.sort(run["idx"].to_numpy())
-        kept = [places[0]]
-        for place in places[1:]:
+    def accept(run: Columns) -> Columns:
+        kept = [run["idx"][0]]
+        for place in run["idx"][1:]:
             if place - kept[-1] >= reach:
                 kept.append(place)
-        return pd.DataFrame({"contour_id": run["contour_id"].iloc[0], "idx": kept})
+        return {"contour_id": run["contour_id"][0], "idx": np.array(kept)}
 
-    accepted = runs.groupBy(*KEY, "run").applyInPandas(accept, "contour_id long, idx long").filter(F.col("idx") > 0)
+    accepted = fold_groups(runs, [*KEY, "run"], ["idx"], accept, "contour_id long, idx long").filter(F.col("idx") > 0)
     ends = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     tails = accepted.groupBy(*KEY).agg(F.max("idx").alias("idx")).join(ends, KEY).filter(F.col("_n") - F.col("idx") < min_points)
     breaks = accepted.join(tails.select(*KEY, "idx"), [*KEY, "idx"], "left_anti").withColumn("_hit", F.lit(True))
@@ -351,15 +350,17 @@ def _runs(segments: DataFrame, reach: float, same_type: bool, spans: Spans) -> D
     return segments.join(marked.select(*SEGMENT, "run"), SEGMENT)
 
 
-def _unpack(group: pd.DataFrame) -> list[dict]:
-    out = []
-    for number, part in group.sort_values(["segment", "idx"]).groupby("segment", sort=True):
-        error = part["error"].iloc[0] if "error" in part else 0.0
-        out.append({
-            "segment": number, "type": part["type"].iloc[0], "points": part[["x", "y"]].to_numpy(),
-            "idx": part["idx"].to_numpy(), "error": float(error) if pd.notna(error) else 0.0,
-        })
-    return out
+def _unpack(group: Columns) -> list[dict]:
+    borders = np.concatenate([[0], np.flatnonzero(np.diff(group["segment"])) + 1, [len(group["segment"])]])
+    points = np.column_stack([group["x"], group["y"]])
+    errors = np.nan_to_num(group["error"].astype(float)) if "error" in group else np.zeros(len(points))
+    return [
+        {
+            "segment": group["segment"][i], "type": group["type"][i], "points": points[i:j],
+            "idx": group["idx"][i:j], "error": float(errors[i]),
+        }
+        for i, j in zip(borders[:-1], borders[1:])
+    ]
 
 
 def _joined(a: dict, b: dict, kind: str, error: float, **model) -> dict:
@@ -369,13 +370,14 @@ def _joined(a: dict, b: dict, kind: str, error: float, **model) -> dict:
     }
 
 
-def _pack(contour, parts: list[dict]) -> pd.DataFrame:
-    return pd.concat([
-        pd.DataFrame({
-            "contour_id": contour, "segment": p["segment"], "type": p["type"], "idx": p["idx"],
-            "x": p["points"][:, 0], "y": p["points"][:, 1], "error": p["error"],
-        }) for p in parts
-    ], ignore_index=True)
+def _pack(contour, parts: list[dict]) -> Columns:
+    sizes = [len(p["idx"]) for p in parts]
+    spread = lambda name: np.repeat([p[name] for p in parts], sizes)
+    points = np.vstack([p["points"] for p in parts])
+    return {
+        "contour_id": contour, "segment": spread("segment"), "type": np.repeat(np.array([p["type"] for p in parts], dtype=object), sizes),
+        "idx": np.concatenate([p["idx"] for p in parts]), "x": points[:, 0], "y": points[:, 1], "error": spread("error"),
+    }
 
 
 def merge_adjacent(segments: DataFrame, spans: Spans | None = None) -> DataFrame:
@@ -406,15 +408,15 @@ def merge_adjacent(segments: DataFrame, spans: Spans | None = None) -> DataFrame
             return _joined(a, b, "arc", error) if error <= 3.0 else None
         return _joined(a, b, "spline", 0.0) if a["type"] == "spline" else None
 
-    def one_pass(group: pd.DataFrame) -> pd.DataFrame:
+    def one_pass(group: Columns) -> Columns:
         parts, out, i = _unpack(group), [], 0
         while i < len(parts):
             merged = fuse(parts[i], parts[i + 1]) if i + 1 < len(parts) else None
             out.append(merged or parts[i])
             i += 2 if merged else 1
-        return _pack(group["contour_id"].iloc[0], out)
+        return _pack(group["contour_id"][0], out)
 
-    return _runs(segments, 3.0, True, spans).groupBy(*KEY, "run").applyInPandas(one_pass, OUT)
+    return fold_groups(_runs(segments, 3.0, True, spans), [*KEY, "run"], ["segment", "idx"], one_pass, OUT)
 
 
 def merge_greedy(
@@ -495,25 +497,25 @@ def merge_greedy(
             ]
         return parts
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: Columns) -> Columns:
         parts = _unpack(group)
-        return _pack(group["contour_id"].iloc[0], cheapest(short_first(parts)) if len(parts) > 1 else parts)
+        return _pack(group["contour_id"][0], cheapest(short_first(parts)) if len(parts) > 1 else parts)
 
-    merged = _runs(segments, reach, False, spans).groupBy(*KEY, "run").applyInPandas(run, OUT)
+    merged = fold_groups(_runs(segments, reach, False, spans), [*KEY, "run"], ["segment", "idx"], run, OUT)
     if cap is None:
         return merged
 
-    def force(group: pd.DataFrame) -> pd.DataFrame:
+    def force(group: Columns) -> Columns:
         parts = _unpack(group)
         while len(parts) > cap:
             at = min(range(len(parts) - 1), key=lambda i: max(parts[i]["error"], parts[i + 1]["error"]))
             a, b = parts[at], parts[at + 1]
             parts[at : at + 2] = [fuse(a, b) or _joined(a, b, "spline", max(a["error"], b["error"]))]
-        return _pack(group["contour_id"].iloc[0], parts)
+        return _pack(group["contour_id"][0], parts)
 
     counts = merged.groupBy(*KEY).agg(F.count_distinct("segment").alias("_parts"))
     sized = merged.join(counts, KEY)
-    forced = sized.filter(F.col("_parts") > cap).drop("_parts").groupBy(*KEY).applyInPandas(force, OUT)
+    forced = fold_groups(sized.filter(F.col("_parts") > cap).drop("_parts"), KEY, ["segment", "idx"], force, OUT)
     return sized.filter(F.col("_parts") <= cap).drop("_parts").unionByName(forced)
 
 
