@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sweepfield.functions.numeric import col
 from sweepfield.operators import contours
@@ -280,7 +281,7 @@ def breakpoint_mae(truth: DataFrame, predicted: DataFrame, key: str = "sample_id
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two arrays over the longer length."""
 
