@@ -78,29 +78,43 @@ def iou_pairs(boxes: DataFrame, above: float = 0.0) -> DataFrame:
     ).filter(F.col("iou") > above)
 
 
-def _clip_area(subject: np.ndarray, window: np.ndarray) -> float:
-    """Area of the overlap of two convex quads by half-plane clipping."""
-    def area_of(p: np.ndarray) -> float:
-        x, y = p[:, 0], p[:, 1]
-        return float(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
-
-    if area_of(window) < 0:
-        window = window[::-1]
-    points = list(map(tuple, subject))
-    for (ax, ay), (bx, by) in zip(window, np.roll(window, -1, axis=0)):
-        inside = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in points]
-        kept = []
-        for i, (x, y) in enumerate(points):
-            j = i - 1
-            if (inside[j] < 0) != (inside[i] < 0):
-                t = inside[j] / (inside[j] - inside[i])
-                kept.append((points[j][0] + t * (x - points[j][0]), points[j][1] + t * (y - points[j][1])))
-            if inside[i] >= 0:
-                kept.append((x, y))
-        points = kept
-        if len(points) < 3:
-            return 0.0
-    return abs(area_of(np.array(points)))
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
+
+
+def _quad_area(quads: np.ndarray) -> np.ndarray:
+    """Signed areas of an (n, 4, 2) array of quads."""
+    x, y = quads[:, :, 0], quads[:, :, 1]
+    return ((x * np.roll(y, -1, axis=1)).sum(axis=1) - (y * np.roll(x, -1, axis=1)).sum(axis=1)) / 2
+
+
+def _shared_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Overlap areas of two stacks of convex quads, as a boundary integral.
+
+    The overlap's border is made of the stretches of each quad's edges inside
+    the other quad. Edges that coincide count once, and only in one direction.
+    """
+    turned = lambda s: np.where((_quad_area(s) < 0)[:, None, None], s[:, ::-1], s)
+    p, q = turned(p), turned(q)
+    total = np.zeros(len(p))
+    for edges, window, second in ((p, q, False), (q, p, True)):
+        for i in range(4):
+            a, b = edges[:, i], edges[:, (i + 1) % 4]
+            start, stop = np.zeros(len(a)), np.ones(len(a))
+            for k in range(4):
+                c, d = window[:, k], window[:, (k + 1) % 4]
+                fa, fb = _cross(d - c, a - c), _cross(d - c, b - c)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = fa / (fa - fb)
+                start = np.where(fb > fa, np.maximum(start, t), start)
+                stop = np.where(fb < fa, np.minimum(stop, t), stop)
+                along = ((b - a) * (d - c)).sum(axis=1) > 0
+                out = (fa == fb) & ((fa < 0) | ((fa == 0) & (second | ~along)))
+                stop = np.where(out, -1.0, stop)
+            used = stop > start
+            first, last = a + start[:, None] * (b - a), a + stop[:, None] * (b - a)
+            total += np.where(used, _cross(first, last) / 2, 0.0)
+    return np.maximum(total, 0.0)
 
 
 QUAD = [f"{axis}{i}" for i in range(1, 5) for axis in ("x", "y")]
@@ -109,14 +123,10 @@ QUAD = [f"{axis}{i}" for i in range(1, 5) for axis in ("x", "y")]
 @F.pandas_udf(T.DoubleType())
 def quad_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     """IoU of two convex quads given as arrays of eight numbers."""
-    def one(left, right) -> float:
-        p, q = np.asarray(left, float).reshape(4, 2), np.asarray(right, float).reshape(4, 2)
-        size = lambda r: abs(float(r[:, 0] @ np.roll(r[:, 1], -1) - r[:, 1] @ np.roll(r[:, 0], -1))) / 2
-        shared = _clip_area(p, q)
-        union = size(p) + size(q) - shared
-        return shared / union if union else 0.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    p, q = (np.stack(s.to_numpy()).astype(float).reshape(-1, 4, 2) for s in (a, b))
+    shared = _shared_area(p, q)
+    union = np.abs(_quad_area(p)) + np.abs(_quad_area(q)) - shared
+    return pd.Series(np.divide(shared, union, out=np.zeros_like(union), where=union != 0))
 
 
 def quad_iou_pairs(quads: DataFrame, above: float = 0.0) -> DataFrame:
