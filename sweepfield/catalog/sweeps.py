@@ -30,11 +30,11 @@ def lines(t):
     )
 
 
-@register("read_sweeps", """SELECT user_id::VARCHAR AS path, round((epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE, 3) AS freq,
+@register("read_sweeps", """SELECT user_id::VARCHAR AS path, ((epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE)::DECIMAL(18, 6)::DOUBLE AS freq,
     CASE WHEN user_id % 3 = 0 THEN round(20 * log10((event_id % 90 + 10) / 100.0::DOUBLE), 3) ELSE -value END AS value FROM events""")
 def _(t):
     out = sweeps.parse_sweep_lines(lines(t))
-    return out.select("path", rounded(F.col("freq"), 3).alias("freq"), rounded(F.col("value"), 3).alias("value"))
+    return out.select("path", rounded(F.col("freq")).alias("freq"), rounded(F.col("value"), 3).alias("value"))
 
 
 @register("latest_file_per_group", """WITH f AS (SELECT user_id, '/out/' || user_id || '/' || ['s11.csv', 'A_S11_b.txt', 'xs11.csv', 's21.csv', 's11.json'][1 + event_id % 5] AS path, ts, event_id FROM events)

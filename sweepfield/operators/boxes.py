@@ -52,7 +52,7 @@ def area(a: list[Column]) -> Column:
 def iou(a: list[Column], b: list[Column]) -> Column:
     shared = overlap(a, b)
     union = area(a) + area(b) - shared
-    return F.when(union == 0, 0.0).otherwise(shared / union)
+    return F.when(union == 0, 0.0).otherwise(F.try_divide(shared, union))
 
 
 def _side(prefix: str) -> list[Column]:
@@ -74,7 +74,7 @@ def iou_pairs(boxes: DataFrame, above: float = 0.0) -> DataFrame:
     a, b = _side("a_"), _side("b_")
     return met.select(
         *IMAGE, F.col("a_box_id").alias("box_a"), F.col("b_box_id").alias("box_b"), iou(a, b).alias("iou"),
-        F.when(area(b) == 0, 0.0).otherwise(overlap(a, b) / area(b)).alias("iog"),
+        F.when(area(b) == 0, 0.0).otherwise(F.try_divide(overlap(a, b), area(b))).alias("iog"),
     ).filter(F.col("iou") > above)
 
 

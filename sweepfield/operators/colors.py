@@ -32,7 +32,7 @@ def rgb_to_hsv(pixels: DataFrame) -> DataFrame:
     v = F.greatest(r, g, b)
     spread = v - F.least(r, g, b)
     scaled = lambda top, unit, by: F.when(
-        by > 0, F.floor((top * F.rint(F.lit(unit * FIXED_POINT) / by) + FIXED_POINT // 2) / FIXED_POINT)
+        by > 0, F.floor((top * F.rint(F.try_divide(F.lit(unit * FIXED_POINT), by)) + FIXED_POINT // 2) / FIXED_POINT)
     ).otherwise(0).cast("long")
     turn = F.when(v == r, g - b).when(v == g, b - r + 2 * spread).otherwise(r - g + 4 * spread)
     hue = scaled(turn, 180, 6 * spread)

@@ -211,7 +211,7 @@ def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | Non
             how = how.when((F.abs(turn) <= tol) & within(p, q, r), code)
     met = pairs.withColumn("how", how).filter(F.col("how").isNotNull())
     # Where line c-d cuts line a-b, as a share of c-d.
-    share = o1 / (o1 - o2)
+    share = F.try_divide(o1, o1 - o2)
     place = lambda axis: F.when(F.col("how") == 1, F.col(f"c{axis}") + share * (F.col(f"d{axis}") - F.col(f"c{axis}"))).otherwise(
         F.element_at(F.array(*[F.col(f"{name[1]}{axis}") for _, name in ends]), F.greatest(F.col("how") - 1, F.lit(1)))
     )
@@ -292,7 +292,7 @@ def turn_degrees() -> Column:
     """Angle between the edges into and out of a point; 180 for a zero-length edge."""
     ax, ay, bx, by = _vectors()
     la, lb = F.hypot(ax, ay), F.hypot(bx, by)
-    cosine = clip((ax * bx + ay * by) / (la * lb), -1.0, 1.0)
+    cosine = clip(F.try_divide(ax * bx + ay * by, la * lb), -1.0, 1.0)
     return F.when((la <= 1e-12) | (lb <= 1e-12), F.lit(180.0)).otherwise(F.degrees(F.acos(cosine)))
 
 
@@ -372,7 +372,7 @@ def right_angle_ratio(points: DataFrame, spans: Spans | None = None) -> DataFram
     ax, ay, bx, by = _vectors()
     la, lb = F.hypot(ax, ay), F.hypot(bx, by)
     usable = (la > 1e-10) & (lb > 1e-10)
-    turn = F.degrees(F.acos(clip((ax * bx + ay * by) / (la * lb), -1.0, 1.0)))
+    turn = F.degrees(F.acos(clip(F.try_divide(ax * bx + ay * by, la * lb), -1.0, 1.0)))
     square = (F.abs(turn - 90) < 5) | (F.abs(turn - 270) < 5)
     found = linked(points, spans, cyclic=True).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(usable).alias("_all"), F.count_if(usable & square).alias("_square")
@@ -510,7 +510,7 @@ def densify(points: DataFrame, min_points: int, spans: Spans | None = None) -> D
     spans = ensure_spans(points, KEY, "idx", spans)
     rows = with_group(linked(points, spans), KEY, {"_n": F.count(F.lit(1))}, spans)
     n = F.col("_n")
-    halvings = F.greatest(F.lit(1), F.ceil(F.log2((F.lit(min_points) - 1) / (n - 1))))
+    halvings = F.greatest(F.lit(1), F.ceil(F.log2(F.try_divide(F.lit(min_points) - 1, n - 1))))
     enough = (n >= min_points) | (n < 2)
     steps = F.when(enough, F.lit(1)).when(n == 2, F.lit(min_points - 1)).otherwise(F.pow(F.lit(2.0), halvings)).cast("long")
     count = F.when(F.col("is_last"), F.lit(0).cast("long")).otherwise(steps - 1)
@@ -598,7 +598,7 @@ def contour_depth_tree(hierarchy: DataFrame) -> DataFrame:
 
 def pixel_scale(perimeter: Column, size_x: Column, size_y: Column) -> Column:
     """Length units per pixel from the outer outline's whole-pixel perimeter."""
-    return 2 * (size_x + size_y) / F.floor(perimeter)
+    return F.try_divide(2 * (size_x + size_y), F.floor(perimeter))
 
 
 def curve_geometry_score(features: DataFrame) -> DataFrame:
@@ -609,9 +609,9 @@ def curve_geometry_score(features: DataFrame) -> DataFrame:
     """
     c = F.col
     fit = F.when(c("fits"), 0.4 * c("fit_quality")).otherwise(0.1 * (1.0 - c("fit_quality")))
-    length = F.least(F.lit(1.0), c("length") / c("image_perimeter") * 10.0)
+    length = F.least(F.lit(1.0), F.try_divide("length", "image_perimeter") * 10.0)
     size = F.when(
-        c("area") > 0, 0.3 * F.least(F.lit(1.0), F.log1p(c("area") / c("image_area") * 100) / math.log1p(10))
+        c("area") > 0, 0.3 * F.least(F.lit(1.0), F.log1p(F.try_divide("area", "image_area") * 100) / math.log1p(10))
     ).otherwise(F.lit(0.05))
     prior = F.least(
         F.lit(1.0), F.when(c("closed"), 0.4).otherwise(0.1) + F.when(c("outer"), 0.3).otherwise(0.1) + size

@@ -112,7 +112,7 @@ def bracket(target: Column) -> list[Column]:
 def bracket_value(target: Column) -> Column:
     """Linear interpolation from the ``bracket`` aggregates, clamped at the ends."""
     low, high = F.col("_below"), F.col("_above")
-    share = (target - low["freq"]) / (high["freq"] - low["freq"])
+    share = F.try_divide(target - low["freq"], high["freq"] - low["freq"])
     return (
         F.when(target <= F.col("_first.freq"), F.col("_first.value"))
         .when(target >= F.col("_last.freq"), F.col("_last.value"))
@@ -131,7 +131,7 @@ def interpolate_at(df: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _crossing(a: Column, b: Column, threshold: Column) -> Column:
     """Frequency where the line from sample a to sample b meets the threshold."""
-    ratio = clip((threshold - a["value"]) / (b["value"] - a["value"]), 0.0, 1.0)
+    ratio = clip(F.try_divide(threshold - a["value"], b["value"] - a["value"]), 0.0, 1.0)
     return F.when(F.abs(b["value"] - a["value"]) <= 1e-12, a["freq"]).otherwise(
         a["freq"] + ratio * (b["freq"] - a["freq"])
     )

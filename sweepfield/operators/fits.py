@@ -133,7 +133,7 @@ def hu_invariants(points: DataFrame, spans: Spans | None = None) -> DataFrame:
     sign = F.when(c("m00") < 0, -1.0).otherwise(1.0)
     names = ["m00", "m10", "m01", "m20", "m11", "m02", "m30", "m21", "m12", "m03"]
     flipped = raw.select("contour_id", "n", *[(c(m) * sign).alias(m) for m in names])
-    centred = flipped.withColumn("cx", c("m10") / c("m00")).withColumn("cy", c("m01") / c("m00")).select(
+    centred = flipped.withColumn("cx", F.try_divide("m10", "m00")).withColumn("cy", F.try_divide("m01", "m00")).select(
         "*", (c("m20") - c("m10") * c("cx")).alias("u20"), (c("m11") - c("m10") * c("cy")).alias("u11"), (c("m02") - c("m01") * c("cy")).alias("u02")
     ).select(
         "*", (c("m30") - c("cx") * (3 * c("u20") + c("cx") * c("m10"))).alias("u30"),
@@ -141,7 +141,8 @@ def hu_invariants(points: DataFrame, spans: Spans | None = None) -> DataFrame:
         (c("m12") - c("cy") * (2 * c("u11") + c("cy") * c("m10")) - c("cx") * c("u02")).alias("u12"),
         (c("m03") - c("cy") * (3 * c("u02") + c("cy") * c("m01"))).alias("u03"),
     )
-    second, third = 1.0 / (c("m00") * c("m00")), 1.0 / (c("m00") * c("m00") * F.sqrt(F.abs("m00")))
+    second = F.try_divide(F.lit(1.0), c("m00") * c("m00"))
+    third = F.try_divide(second, F.sqrt(F.abs("m00")))
     v = centred.select(
         "contour_id", "n", "m00", *[(c(f"u{k}") * second).alias(f"v{k}") for k in ("20", "11", "02")],
         *[(c(f"u{k}") * third).alias(f"v{k}") for k in ("30", "21", "12", "03")],

@@ -48,7 +48,7 @@ def multi_resonance_error(actuals: Column, targets: Column) -> Column:
     found = F.array_sort(F.filter(actuals, lambda v: v > 0))
     errors = F.transform(wanted, lambda v, i: F.coalesce(relative_error(F.get(found, i), v), F.lit(1.0)))
     total = F.aggregate(errors, F.lit(0.0), lambda a, e: a + e)
-    return F.when(F.size(wanted) > 0, total / F.size(wanted))
+    return F.when(F.size(wanted) > 0, F.try_divide(total, F.size(wanted)))
 
 
 def resonance_count_error(count: Column, target: Column) -> Column:

@@ -190,7 +190,7 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     """Distance from a point to a segment with clamped projection."""
     dx, dy = bx - ax, by - ay
     size = dx * dx + dy * dy
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / size))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((px - ax) * dx + (py - ay) * dy, size)))
     return F.when(size <= 1e-18, F.hypot(px - ax, py - ay)).otherwise(F.hypot(px - (ax + t * dx), py - (ay + t * dy)))
 
 
@@ -495,9 +495,9 @@ C0_M_PER_S = 299_792_458.0  # fixed value: speed of light
 
 def electrical_size(df: DataFrame, freq_ghz: str = "target_freq", eps: str = "epsilon_r") -> DataFrame:
     """Patch ``length`` and ``width`` in millimetres over free-space and guided wavelength."""
-    free = F.lit(C0_M_PER_S) / (F.col(freq_ghz) * 1e9) * 1000.0
-    guided = F.when(F.col(eps) > 0, free / F.sqrt(F.col(eps)))
-    over = lambda size, wave, name: rounded(F.col(size) / wave).alias(name)
+    free = F.try_divide(F.lit(C0_M_PER_S), F.col(freq_ghz) * 1e9) * 1000.0
+    guided = F.when(F.col(eps) > 0, F.try_divide(free, F.sqrt(F.col(eps))))
+    over = lambda size, wave, name: rounded(F.try_divide(F.col(size), wave)).alias(name)
     return df.select(
         "*", rounded(free).alias("lambda0"), over("length", free, "length_lambda0"), over("width", free, "width_lambda0"),
         rounded(guided).alias("lambda_g"), over("length", guided, "length_lambda_g"), over("width", guided, "width_lambda_g"),

@@ -105,7 +105,7 @@ def line_fit_chord(segments: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     chord = F.hypot(dx, dy)
-    away = F.abs(dx * (F.col("y") - a["y"]) - dy * (F.col("x") - a["x"])) / chord
+    away = F.try_divide(F.abs(dx * (F.col("y") - a["y"]) - dy * (F.col("x") - a["x"])), chord)
     found = segments.join(ends, SEGMENT).groupBy(*SEGMENT, "n", "a", "b").agg(F.max(F.when(chord >= 1e-6, away).otherwise(0.0)).alias("_e"))
     return found.select(
         *SEGMENT, "n", F.when(F.col("n") < 2, F.lit(float("inf"))).otherwise(F.col("_e")).alias("line_error"), chord.alias("chord")
@@ -160,8 +160,8 @@ def _circles(segments: DataFrame) -> DataFrame:
     solved = F.abs(det) > 1e-12 * F.greatest(c("uu") * c("vv"), F.lit(1e-300))
     return sums.select(
         *SEGMENT, "n", solved.alias("solved"),
-        (c("mx") + F.when(solved, (c("p") * c("vv") - c("q") * c("uv")) / det).otherwise(0.0)).alias("cx"),
-        (c("my") + F.when(solved, (c("q") * c("uu") - c("p") * c("uv")) / det).otherwise(0.0)).alias("cy"),
+        (c("mx") + F.when(solved, F.try_divide(c("p") * c("vv") - c("q") * c("uv"), det)).otherwise(0.0)).alias("cx"),
+        (c("my") + F.when(solved, F.try_divide(c("q") * c("uu") - c("p") * c("uv"), det)).otherwise(0.0)).alias("cy"),
     )
 
 
@@ -205,8 +205,8 @@ def _circle_centre(points: Column) -> Column:
         det = s["uu"] * s["vv"] - s["uv"] * s["uv"]
         ok = F.abs(det) > 1e-12 * F.greatest(s["uu"] * s["vv"], F.lit(1e-300))
         return F.struct(
-            (s["m"]["x"] + F.when(ok, (s["p"] * s["vv"] - s["q"] * s["uv"]) / det).otherwise(0.0)).alias("x"),
-            (s["m"]["y"] + F.when(ok, (s["q"] * s["uu"] - s["p"] * s["uv"]) / det).otherwise(0.0)).alias("y"),
+            (s["m"]["x"] + F.when(ok, F.try_divide(s["p"] * s["vv"] - s["q"] * s["uv"], det)).otherwise(0.0)).alias("x"),
+            (s["m"]["y"] + F.when(ok, F.try_divide(s["q"] * s["uu"] - s["p"] * s["uv"], det)).otherwise(0.0)).alias("y"),
         )
 
     return F.transform(F.array(mean), solve)[0]

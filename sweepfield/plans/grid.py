@@ -20,7 +20,7 @@ def cells_per_axis(count: Column) -> Column:
 def cell_of(value: Column, low: Column, high: Column, cells: Column) -> Column:
     """Cell number along one axis, clamped to the grid."""
     width = (high - low) / cells
-    raw = F.when(width > 0, F.floor((value - low) / width)).otherwise(F.lit(0)).cast("long")
+    raw = F.when(width > 0, F.floor(F.try_divide(value - low, width))).otherwise(F.lit(0)).cast("long")
     return F.greatest(F.lit(0).cast("long"), F.least(cells - 1, raw))
 
 
@@ -39,7 +39,7 @@ def cover_segments(edges: DataFrame, pad: Column) -> DataFrame:
     step = (hi_x - lo_x) / cells
     left, right = lo_x + F.col("cell_x") * step - pad, lo_x + (F.col("cell_x") + 1) * step + pad
     dx = x2 - x1
-    share = lambda edge: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - x1) / dx))
+    share = lambda edge: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(edge - x1, dx)))
     steep = F.abs(dx) < 1e-12
     ya = F.when(steep, y1).otherwise(y1 + share(left) * (y2 - y1))
     yb = F.when(steep, y2).otherwise(y1 + share(right) * (y2 - y1))
