@@ -169,35 +169,38 @@ def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | Non
     extent = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
     # A touching end may lie this far from the other edge and still pass the test.
     pad = extent * 1e-9 + F.lit(1e-12 + tol + 1.01 * math.sqrt(tol))
-    cells = cover_segments(edges, pad)
-    side = lambda a, b, i: [
+    # Coordinates are made non-null once, which keeps the generated code small.
+    solid = edges.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("x1", "y1", "x2", "y2")})
+    framed = solid.withColumns({
+        "left": F.least("x1", "x2") - tol, "right": F.greatest("x1", "x2") + tol,
+        "low": F.least("y1", "y2") - tol, "high": F.greatest("y1", "y2") + tol,
+    })
+    cells = cover_segments(framed, pad)
+    box = ["left", "right", "low", "high"]
+    side = lambda a, b, i, p: [
         *KEY, "cell_x", "cell_y", F.col("idx").alias(i), F.col("x1").alias(f"{a}x"), F.col("y1").alias(f"{a}y"),
-        F.col("x2").alias(f"{b}x"), F.col("y2").alias(f"{b}y"),
+        F.col("x2").alias(f"{b}x"), F.col("y2").alias(f"{b}y"), *[F.col(n).alias(f"{p}_{n}") for n in box],
     ]
     grid = ["last", "lo_x", "hi_x", "lo_y", "hi_y", "cells"]
-    pairs = cells.select(*side("a", "b", "i"), *grid).join(cells.select(*side("c", "d", "j")), [*KEY, "cell_x", "cell_y"])
+    pairs = cells.select(*side("a", "b", "i", "ab"), *grid).join(cells.select(*side("c", "d", "j", "cd")), [*KEY, "cell_x", "cell_y"])
     if variant in ("gate", "open"):
         pairs = pairs.filter(F.col("j") > F.col("i") + (1 if variant == "open" else 0))
     else:
         pairs = pairs.filter((F.col("j") > F.col("i") + 1) & ~((F.col("i") == 0) & (F.col("j") == F.col("last"))))
-    if variant == "gate":
-        apart = (
-            (F.greatest("ax", "bx") < F.least("cx", "dx")) | (F.greatest("cx", "dx") < F.least("ax", "bx"))
-            | (F.greatest("ay", "by") < F.least("cy", "dy")) | (F.greatest("cy", "dy") < F.least("ay", "by"))
-        )
-        pairs = pairs.filter(~apart)
+    # Frames that lie apart cannot meet.
+    pairs = pairs.filter(
+        (F.col("ab_left") <= F.col("cd_right")) & (F.col("cd_left") <= F.col("ab_right"))
+        & (F.col("ab_low") <= F.col("cd_high")) & (F.col("cd_low") <= F.col("ab_high"))
+    )
     pairs = pairs.select(
         "*", _turn("a", "b", "c").alias("o1"), _turn("a", "b", "d").alias("o2"),
         _turn("c", "d", "a").alias("o3"), _turn("c", "d", "b").alias("o4"),
     )
     o1, o2, o3, o4 = (F.col(o) for o in ("o1", "o2", "o3", "o4"))
 
-    def within(p: str, q: str, r: str) -> Column:
-        px, py, qx, qy, rx, ry = (F.col(f"{n}{axis}") for n in (p, q, r) for axis in ("x", "y"))
-        return (
-            qx.between(F.least(px, rx) - tol, F.greatest(px, rx) + tol)
-            & qy.between(F.least(py, ry) - tol, F.greatest(py, ry) + tol)
-        )
+    def within(frame: str, q: str) -> Column:
+        x, y = F.col(f"{q}x"), F.col(f"{q}y")
+        return (x >= F.col(f"{frame}_left")) & (x <= F.col(f"{frame}_right")) & (y >= F.col(f"{frame}_low")) & (y <= F.col(f"{frame}_high"))
 
     limit = -tol if variant == "loop" else 0.0
     # How the pair meets: 1 for a proper crossing, 2..5 for an end on the other edge.
@@ -205,15 +208,15 @@ def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | Non
     if variant in ("ring", "open"):
         crossing = crossing & (F.least(*[F.abs(o) for o in (o1, o2, o3, o4)]) > STRICT)
     how = F.when(crossing, 1)
-    ends = [(o1, "acb"), (o2, "adb"), (o3, "cad"), (o4, "cbd")]
+    ends = [(o1, "ab", "c"), (o2, "ab", "d"), (o3, "cd", "a"), (o4, "cd", "b")]
     if touching:
-        for code, (turn, (p, q, r)) in enumerate(ends, 2):
-            how = how.when((F.abs(turn) <= tol) & within(p, q, r), code)
+        for code, (turn, frame, q) in enumerate(ends, 2):
+            how = how.when((F.abs(turn) <= tol) & within(frame, q), code)
     met = pairs.withColumn("how", how).filter(F.col("how").isNotNull())
     # Where line c-d cuts line a-b, as a share of c-d.
     share = F.try_divide(o1, o1 - o2)
     place = lambda axis: F.when(F.col("how") == 1, F.col(f"c{axis}") + share * (F.col(f"d{axis}") - F.col(f"c{axis}"))).otherwise(
-        F.element_at(F.array(*[F.col(f"{name[1]}{axis}") for _, name in ends]), F.greatest(F.col("how") - 1, F.lit(1)))
+        F.element_at(F.array(*[F.col(f"{q}{axis}") for _, _, q in ends]), F.greatest(F.col("how") - 1, F.lit(1)))
     )
     met = met.select("*", F.struct(place("x").alias("x"), place("y").alias("y")).alias("spot"))
     home = (F.col("cell_x") == cell_of(F.col("spot.x"), F.col("lo_x"), F.col("hi_x"), F.col("cells"))) & (

@@ -12,6 +12,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even when that costs one more exchange later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Reduce tasks may stay small: the joins on grid cells cost far more
+    # time per byte than AQE assumes when it merges small partitions.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
