@@ -34,7 +34,7 @@ PAYLOAD = (
 
 def load_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One payload row per JSON file; empty or non-object files give an empty payload."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return parse_payloads(texts.select(F.col("_metadata.file_path").alias("design_id"), "value"), "value")
 
 
