@@ -56,7 +56,7 @@ def _(t):
 
 
 # Clusters by brightness band stand in for a finished clustering.
-CLUSTERED = """cl AS (SELECT image_id, px, py, r, g, b, (r + g + b) // 100 AS cluster FROM pixels),
+CLUSTERED = """cl AS (SELECT image_id, px, py, r, g, b, ((r + g + b) // 100)::BIGINT AS cluster FROM pixels),
     part AS (SELECT image_id, cluster, count(*) AS area, count(*) FILTER (px < 2 OR px > 4 OR py < 2 OR py > 0) AS hits, avg(r) AS r, avg(g) AS g, avg(b) AS b,
       (max(px) - min(px) + 1) * (max(py) - min(py) + 1) AS box FROM cl GROUP BY image_id, cluster),
     whole AS (SELECT image_id, sum(hits) AS border, sum(area) AS total, 200.0::DOUBLE + image_id % 56 AS bg FROM part GROUP BY image_id),

@@ -96,7 +96,7 @@ def loaded(t):
     return payloads.parse_payloads(payload_texts(t), "doc")
 
 
-@register("explode_points", "SELECT contour_id AS design_id, 0 AS comp, idx, round(x, 6) AS x, round(y, 6) AS y FROM contours")
+@register("explode_points", "SELECT contour_id AS design_id, 0::BIGINT AS comp, idx, round(x, 6) AS x, round(y, 6) AS y FROM contours")
 def _(t):
     return payloads.explode_points(loaded(t)).select("design_id", F.col("comp").cast("long").alias("comp"), "idx", *r("x", "y"))
 

@@ -94,7 +94,7 @@ def resonances(
     order = Window.partitionBy(*KEY).orderBy("fallback", "value", "freq")
     ranked = dips.unionByName(lowest).filter(F.col("value") <= level).withColumn("depth", F.row_number().over(order))
     return ranked.filter(F.col("depth") <= limit).filter((F.col("fallback") == 0) | (F.col("depth") == 1)).select(
-        *KEY, "freq", "value", "depth"
+        *KEY, "freq", "value", F.col("depth").cast("long").alias("depth")
     )
 
 

@@ -12,7 +12,7 @@ from sweepfield.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]", **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+            "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         })

@@ -109,7 +109,7 @@ def iou(a, b):
 
 
 def test_suppression_by_fold_and_by_rounds(spark):
-    rows = box_rows(50)
+    rows = box_rows(30, 30)
     kept, left = set(), sorted(rows, key=lambda r: -r[6])
     while left:
         best = left.pop(0)
