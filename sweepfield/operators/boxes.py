@@ -191,7 +191,7 @@ def _rounds(boxes: DataFrame, method: str, limit: float, floor: float, sigma: fl
     state = boxes.select(*IMAGE, "box_id", *SIDES, "score", F.lit(False).alias("final")).checkpoint()
     while not state.filter("NOT final").isEmpty():
         grid = [*IMAGE, "cell_x", "cell_y"]
-        # Cell sizes come from all boxes, so they do not change between rounds.
+        # Finished boxes still count towards the cell size, so cells never get too small.
         placed = _cells(state).filter("NOT final")
         tops = placed.groupBy(*grid).agg(F.max(rank).alias("top"))
         judged = placed.join(tops, grid).groupBy(*IMAGE, "box_id").agg(F.min(F.col("top.minus_id") == -F.col("box_id")).alias("wins"))

@@ -206,25 +206,40 @@ def nearest_resonance(found: DataFrame, targets: DataFrame) -> DataFrame:
     return found.join(wanted, KEY).groupBy(*KEY).agg(F.min_by("freq", F.struct(gap, F.col("freq"))).alias("nearest"))
 
 
+def _flagged(df: DataFrame, level: Column, limit: int, spans: Spans) -> DataFrame:
+    """Rows with ``band`` at each band's end and ``picked`` on the resonances.
+
+    Unsplit curves get everything from one shuffle on the design; the ranking
+    window shares its partitioning. Split curves join the few picked samples.
+    """
+    rows = flag_bands(flag_minima(df, spans), level, spans)
+    if spans:
+        picks = resonances(df, limit, level, spans).select(*KEY, "freq", "value", F.lit(True).alias("_pick"))
+        return rows.join(picks, [*KEY, "freq", "value"], "left").withColumn("picked", F.coalesce("_pick", F.lit(False)))
+    good = F.col("is_minimum") & (F.col("value") <= level)
+    order = Window.partitionBy(*KEY).orderBy(F.desc("_good"), "value", "freq")
+    ranked = rows.withColumn("_good", good).withColumn("_depth", F.row_number().over(order))
+    # Without a qualifying minimum the first row is the global minimum.
+    stand_in = (F.col("_depth") == 1) & (F.col("value") <= level) & F.lit(limit > 0)
+    return ranked.withColumn("picked", (F.col("_good") & (F.col("_depth") <= limit)) | stand_in)
+
+
 def curve_metrics(
     df: DataFrame, targets: DataFrame, threshold: float = -10.0, limit: int = 2, spans: Spans | None = None
 ) -> DataFrame:
     """One row per design: minimum, value at target, widest band, count, resonances."""
     spans = ensure_spans(df, KEY, "freq", spans)
-    rows = with_neighbours(df, KEY, ["freq"], ["freq", "value"], spans)
-    banded = flag_bands(rows, F.lit(float(threshold)), spans)
+    flagged = _flagged(df, F.lit(float(threshold)), limit, spans)
     wanted = broadcast_if_small(targets.select(*KEY, "target_freq"))
     target = F.col("target_freq")
-    measured = banded.join(wanted, KEY).groupBy(*KEY, "target_freq").agg(
+    measured = flagged.join(wanted, KEY).groupBy(*KEY, "target_freq").agg(
         F.min(F.struct("value", "freq")).alias("_deepest"),
         F.count(F.lit(1)).alias("point_count"),
         widest(F.col("band.start"), F.col("band.end")).alias("_band"),
+        F.array_sort(F.collect_list(F.when(F.col("picked"), F.col("freq")))).alias("resonances"),
         *bracket(target),
     )
-    found = resonances(df, limit, threshold, spans).groupBy(*KEY).agg(
-        F.array_sort(F.collect_list("freq")).alias("resonances")
-    )
-    return measured.join(found, KEY, "left").select(
+    return measured.select(
         *KEY,
         F.col("_deepest.freq").alias("resonant_freq"),
         F.col("_deepest.value").alias("minimum_value"),
@@ -233,7 +248,7 @@ def curve_metrics(
         F.col("_band.start").alias("band_start"),
         F.col("_band.end").alias("band_end"),
         "point_count",
-        F.coalesce("resonances", F.array().cast("array<double>")).alias("resonances"),
+        "resonances",
     )
 
 
@@ -259,18 +274,18 @@ def simulation_summary(
     """
     spans = ensure_spans(df, KEY, "freq", spans)
     level = float(target_s11 if threshold is None else threshold)
-    rows = with_neighbours(df, KEY, ["freq"], ["freq", "value"], spans)
-    banded = flag_bands(rows, F.lit(level), spans)
+    flagged = _flagged(df, F.lit(level), limit, spans)
     wanted = broadcast_if_small(targets.select(*KEY, "target_freq", "target_bandwidth", "gain"))
     target = F.col("target_freq")
-    measured = banded.join(wanted, KEY).groupBy(*KEY, "target_freq", "target_bandwidth", "gain").agg(
+    miss = F.struct(F.abs(F.col("freq") - target), F.col("freq"))
+    measured = flagged.join(wanted, KEY).groupBy(*KEY, "target_freq", "target_bandwidth", "gain").agg(
+        F.min_by("freq", F.when(F.col("picked"), miss)).alias("nearest"),
         F.min(F.struct("value", "freq")).alias("_deepest"),
         F.count(F.lit(1)).alias("point_count"),
         widest(F.col("band.cut_start"), F.col("band.cut_end")).alias("_band"),
         *bracket(target),
     )
-    near = nearest_resonance(resonances(df, limit, level, spans), targets)
-    joined = measured.join(near, KEY, "left").select(
+    joined = measured.select(
         *KEY, "target_freq", "target_bandwidth", "point_count",
         rounded(F.coalesce("nearest", "_deepest.freq")).alias("f0"),
         rounded(F.coalesce("nearest", "_deepest.freq") - target).alias("frequency_error"),

@@ -31,11 +31,17 @@ def _at_level(points: DataFrame) -> DataFrame:
 def nearest_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distance from every point of ``a`` to its nearest point of ``b``.
 
-    Small curves are compared directly. For larger ones a pyramid of occupied
+    When every curve of ``b`` is small, points are compared directly, at most 64
+    per point. Otherwise a pyramid of occupied
     cells gives each point a distance it cannot exceed, within a small factor
     of the answer; then only points of ``b`` in the cells of that size around
     it are compared. No step pairs up whole curves.
     """
+    counts = b.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
+    if counts.filter(F.col("n") > SMALL).isEmpty():
+        other = b.select(*PAIR, F.col("x").alias("bx"), F.col("y").alias("by"))
+        gap = F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y"))
+        return a.select(*PAIR, "idx", "x", "y").join(other, PAIR).groupBy(*PAIR, "idx").agg(F.min(gap).alias("distance"))
     hull = lambda p: [F.min("x").alias(f"{p}x0"), F.max("x").alias(f"{p}x1"), F.min("y").alias(f"{p}y0"), F.max("y").alias(f"{p}y1")]
     sizes = b.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), *hull("b")).join(a.groupBy(*PAIR).agg(*hull("a")), PAIR)
     extent = F.greatest(

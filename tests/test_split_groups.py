@@ -91,6 +91,15 @@ def test_curve_operators(sweeps, name):
     assert as_set(operator(sweeps, spans=NO_SPLIT, **kwargs)) == as_set(operator(sweeps, spans=spans, **kwargs))
 
 
+def test_curve_metrics(spark, sweeps):
+    spans = spans_of(sweeps, ["design_id"], "freq")
+    targets = spark.createDataFrame([(d, 150.0, 5.0, 7.0) for d in range(1, 7)], "design_id long, target_freq double, target_bandwidth double, gain double")
+    make = lambda s: curves.curve_metrics(sweeps, targets, -20.0, 2, s).withColumn("resonances", F.col("resonances").cast("string"))
+    assert as_set(make(NO_SPLIT)) == as_set(make(spans))
+    make = lambda s: curves.simulation_summary(sweeps, targets, spans=s).select("design_id", "current.*", "gap_to_target.*", "passed.overall")
+    assert as_set(make(NO_SPLIT)) == as_set(make(spans))
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = random.Random(5)
