@@ -420,7 +420,7 @@ def _(t):
     return rows.select("design_id", edge.alias("edge"))
 
 
-@register("edge_clearance", f"""WITH {ROLES}, board AS (SELECT design_id, 40.0::DOUBLE AS width, (20 + design_id % 30)::DOUBLE AS height FROM extents WHERE design_id % 6 <> 0),
+@register("edge_clearance", f"""WITH {ROLES}, board AS (SELECT design_id, 40.0::DOUBLE AS width, (20 + design_id % 30)::DOUBLE AS height FROM extents),
     pts AS (SELECT r.design_id, r.primitive_id, role, unnest([x1, x2]) + 20 AS x, unnest([y1, y2]) + 15 AS y, seq % 2 = 0 AS corridor FROM roles r),
     m AS (SELECT p.design_id, primitive_id, any_value(role) AS role, bool_or(corridor) AS corridor, min(least(x, width - x, y, height - y)) AS clearance, any_value(greatest(10.0, 0.02 * least(width, height))) AS required
       FROM pts p JOIN board b ON p.design_id = b.design_id GROUP BY p.design_id, primitive_id)
@@ -434,6 +434,6 @@ def _(t):
     points = roles(t).select(
         "design_id", "primitive_id", "role", (c("seq") % 2 == 0).alias("in_corridor"), F.inline(F.array(point("x1", "y1"), point("x2", "y2")))
     )
-    board = boxes(t).filter(c("design_id") % 6 != 0).select("design_id", F.lit(40.0).alias("width"), (20 + c("design_id") % 30).cast("double").alias("height"))
+    board = boxes(t).select("design_id", F.lit(40.0).alias("width"), (20 + c("design_id") % 30).cast("double").alias("height"))
     out = contours.edge_clearance(points, board)
     return out.select("design_id", "primitive_id", *r("clearance"), "exempt", "violation")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +16,8 @@ DESIGN = ["design_id"]
 # Port connection walk.
 STEP, TOUCH, MAX_SHIFT, WIDTH_SCALE = 0.2, 0.15, 120.0, 1.5
 PART_ROWS = 10_000
+# Designs up to this many primitive ends are clustered in one piece.
+FOLD_LIMIT = 2_000
 CURVE_TYPES = ["ARC", "CURVE", "BSPLINE"]
 
 
@@ -279,13 +279,13 @@ def feed_rules_score(df: DataFrame) -> DataFrame:
 # ---- junctions -------------------------------------------------------------
 
 
-def junctions(endpoints: DataFrame, tol: float = 1.0) -> DataFrame:
+def junctions(endpoints: DataFrame, tol: float = 1.0, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Greedy clusters of primitive ends with at least two members.
 
     ``endpoints(design_id, seq, x, y)`` in ``seq`` order: an end joins the first
     cluster whose running mean lies within ``tol``. The rule depends on order,
-    so it is folded, but only inside groups of touching grid cells. A cluster
-    of n members keeps all of them within ``tol * (2 + H(n))`` of any joining
+    so it is folded: designs up to ``fold_limit`` ends in one piece, larger ones
+    only inside groups of touching grid cells. A cluster of n members keeps all of them within ``tol * (2 + H(n))`` of any joining
     end, which sets the cell size; ends further apart can never meet.
     """
     most = endpoints.groupBy(*DESIGN).agg(F.count(F.lit(1)).alias("_n"))
@@ -293,23 +293,31 @@ def junctions(endpoints: DataFrame, tol: float = 1.0) -> DataFrame:
     rows = endpoints.join(most, DESIGN).select(
         *endpoints.columns, F.floor(F.col("x") / reach).cast("long").alias("cell_x"), F.floor(F.col("y") / reach).cast("long").alias("cell_y")
     )
-    regions = grid_components(rows.select(*DESIGN, "cell_x", "cell_y"), DESIGN)
-    placed = rows.join(regions, [*DESIGN, "cell_x", "cell_y"]).select(
-        *DESIGN, "seq", "x", "y", F.col("region.x").alias("region_x"), F.col("region.y").alias("region_y")
-    )
+    whole = lambda df: df.select(*DESIGN, "seq", "x", "y", *[F.lit(0).cast("long").alias(c) for c in ("region_x", "region_y")])
+    large = most.filter(F.col("_n") > fold_limit)
+    if large.isEmpty():
+        placed = whole(endpoints)
+    else:
+        big = rows.join(large.select(*DESIGN), DESIGN, "left_semi")
+        regions = grid_components(big.select(*DESIGN, "cell_x", "cell_y"), DESIGN)
+        placed = big.join(regions, [*DESIGN, "cell_x", "cell_y"]).select(
+            *DESIGN, "seq", "x", "y", F.col("region.x").alias("region_x"), F.col("region.y").alias("region_y")
+        ).unionByName(whole(endpoints.join(large, DESIGN, "left_anti")))
 
     def cluster(group: Columns) -> Columns | None:
-        sums: list[list[float]] = []
-        own = np.empty(len(group["seq"]), dtype="int64")
-        for i, (x, y) in enumerate(zip(group["x"], group["y"])):
-            for c, (sx, sy, n) in enumerate(sums):
-                if math.hypot(x - sx / n, y - sy / n) <= tol:
-                    sums[c] = [sx + x, sy + y, n + 1]
-                    own[i] = c
-                    break
+        count = len(group["seq"])
+        sums, sizes, used = np.zeros((count, 2)), np.ones(count), 0
+        own = np.empty(count, dtype="int64")
+        for i, point in enumerate(np.column_stack([group["x"], group["y"]])):
+            away = point - sums[:used] / sizes[:used, None]
+            near = np.flatnonzero(np.hypot(away[:, 0], away[:, 1]) <= tol)
+            if near.size:
+                own[i] = near[0]
+                sizes[near[0]] += 1
             else:
-                own[i] = len(sums)
-                sums.append([x, y, 1])
+                own[i] = used
+                used += 1
+            sums[own[i]] += point
         members = np.bincount(own)[own]
         first = group["seq"][np.unique(own, return_index=True)[1]][own]
         keep = members >= 2

@@ -85,7 +85,8 @@ def test_junctions(spark):
                 clusters.append([(i, x, y)])
         want |= {(design, c[0][0], p[0]) for c in clusters if len(c) > 1 for p in c}
     df = spark.createDataFrame(rows, "design_id long, seq long, x double, y double")
-    assert {(r.design_id, r.junction, r.seq) for r in primitives.junctions(df).collect()} == want
+    for limit in (2000, 50):
+        assert {(r.design_id, r.junction, r.seq) for r in primitives.junctions(df, fold_limit=limit).collect()} == want
 
 
 def box_rows(n, spread=60):
