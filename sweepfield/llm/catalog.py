@@ -8,6 +8,12 @@ from sweepfield.session import apply_settings
 from sweepfield.llm.common import table
 
 
+def op1_exact_dedup(spark, sf_dir):
+    from sweepfield.llm import exact_dedup
+
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark, sf_dir):
     from sweepfield.llm import secrets
 
@@ -22,6 +28,12 @@ def op4_licenses(spark, sf_dir):
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark, sf_dir):
+    from sweepfield.llm import decontaminate
+
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_fp")
+
+
 def op6_chat_formatting(spark, sf_dir):
     from sweepfield.llm import chat
 
@@ -38,7 +50,40 @@ def op7_pii(spark, sf_dir):
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
-QUERIES = [op3_secrets, op4_licenses, op6_chat_formatting, op7_pii]
+def _part(parts):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def _held(parts, held):
+    return F.coalesce(_part(parts) == held, F.lit(False)).alias("held_out")
+
+
+def _learnable(labels, column, parts, held):
+    """Labels of the documents that are not held out."""
+    return labels.filter(_part(parts) != held).select("doc_id", F.col(column).alias("label"))
+
+
+def op9_quality(spark, sf_dir):
+    from sweepfield.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(*quality.labelled_features(docs, _learnable(table(spark, sf_dir, "labels"), "quality", 4, 2)))
+    return quality.score_quality(docs, model).select(
+        "doc_id", _held(4, 2), "score", (F.col("score") >= quality.PASS_SCORE).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark, sf_dir):
+    from sweepfield.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(*toxicity.labelled_texts(docs, _learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0)))
+    return toxicity.score_toxicity(docs, model, keep=["doc_id"]).select(
+        "doc_id", _held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = [
+    op1_exact_dedup, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op9_quality, op10_toxicity,
+]
 
 
 def _run(function):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,13 @@ def same(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written below the shared checkpoint folder and read back: lineage cut, size known."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The table written to the shared checkpoint folder and read back, lineage cut."""
     shared_folder(df.sparkSession)
