@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sweepfield.session import apply_settings
 from sweepfield.llm.common import table
 
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_exact_dedup(spark, sf_dir):
     from sweepfield.llm import exact_dedup
@@ -14,6 +16,12 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark, sf_dir, model_file=MODEL_FILE):
+    from sweepfield.llm import sentencepiece_codec
+
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.Vocabulary.load(model_file))
+
+
 def op3_secrets(spark, sf_dir):
     from sweepfield.llm import secrets
 
@@ -82,7 +90,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = [
-    op1_exact_dedup, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op9_quality, op10_toxicity,
+    op1_exact_dedup, op2_sentencepiece, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op9_quality, op10_toxicity,
 ]
 
 

@@ -119,3 +119,16 @@ def span_text(spans: Column, kinds: list[str]) -> Column:
 def count_kind(spans: str, kind: int) -> Column:
     """How many spans are of one kind."""
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def slices(batch, text_column: int, limit: int = 8_000_000):
+    """Consecutive parts of an Arrow batch with about ``limit`` bytes of text each; a longer text stands alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

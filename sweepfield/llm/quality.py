@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sweepfield.llm.common import text_of
+from sweepfield.llm.common import slices, text_of
 
 FEATURES = [
     "log_words", "word_bytes", "upper", "digit", "space", "newline", "full_stop", "comma", "bar", "other_marks",
@@ -172,7 +172,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, per_class: int = SAMPL
     rows = docs.select("doc_id", text_of("text").alias("_t")).join(F.broadcast(picked), "doc_id").select("doc_id", "_y", "_t")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             x = features(batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "_y", "x"])
@@ -187,7 +187,7 @@ def score_quality(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col), text_of(text_col).alias("_t"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(model.score(features(batch.column(1))), pa.float64())], names=[id_col, "score"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sweepfield.llm.common import text_of
+from sweepfield.llm.common import slices, text_of
 
 GRAM_BITS, DIM, HIDDEN = 14, 8, 8
 MIN_TEXTS = 3  # a word has a vector of its own from this many training texts
@@ -323,7 +323,7 @@ def score_toxicity(
     kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, len(kept))):
             words, grams, first, codes, counts = tokenize(batch.column(len(kept)))
             owner, start, size = windows_of(counts)
             worst = np.full(batch.num_rows, -30.0)
