@@ -58,6 +58,12 @@ def op7_pii(spark, sf_dir):
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    from sweepfield.llm import jaccard_join
+
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _part(parts):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
@@ -66,7 +72,7 @@ def _held(parts, held):
     return F.coalesce(_part(parts) == held, F.lit(False)).alias("held_out")
 
 
-def _learnable(labels, column, parts, held):
+def learnable(labels, column, parts, held):
     """Labels of the documents that are not held out."""
     return labels.filter(_part(parts) != held).select("doc_id", F.col(column).alias("label"))
 
@@ -75,7 +81,7 @@ def op9_quality(spark, sf_dir):
     from sweepfield.llm import quality
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(*quality.labelled_features(docs, _learnable(table(spark, sf_dir, "labels"), "quality", 4, 2)))
+    model = quality.fit(*quality.labelled_features(docs, learnable(table(spark, sf_dir, "labels"), "quality", 4, 2)))
     return quality.score_quality(docs, model).select(
         "doc_id", _held(4, 2), "score", (F.col("score") >= quality.PASS_SCORE).cast("int").alias("predicted"))
 
@@ -84,13 +90,14 @@ def op10_toxicity(spark, sf_dir):
     from sweepfield.llm import toxicity
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(*toxicity.labelled_texts(docs, _learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0)))
+    model = toxicity.train(*toxicity.labelled_texts(docs, learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0)))
     return toxicity.score_toxicity(docs, model, keep=["doc_id"]).select(
         "doc_id", _held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES = [
-    op1_exact_dedup, op2_sentencepiece, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op9_quality, op10_toxicity,
+    op1_exact_dedup, op2_sentencepiece, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op8_jaccard_join,
+    op9_quality, op10_toxicity,
 ]
 
 

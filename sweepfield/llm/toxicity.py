@@ -312,15 +312,16 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
 
 
 def score_toxicity(
-    docs: DataFrame, model: tuple[Network, float], text_col: str = "text", keep: list[str] | None = None
+    docs: DataFrame, model: tuple[Network, float], text_col: str = "text", keep: list[str] | None = None,
+    score_col: str = "score",
 ) -> DataFrame:
-    """``keep`` (by default all) input columns and ``score`` (0 to 1): the worst window of the whole text.
+    """``keep`` (by default all) input columns and ``score_col`` (0 to 1): the worst window of the whole text.
 
     One row per input row in any order. Null and empty texts score as the
-    cleanest. ``score`` replaces a column of that name in the output.
+    cleanest. The score replaces a column of its name in the output.
     """
     net, cut = model
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != score_col]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, len(kept))):
@@ -332,7 +333,7 @@ def score_toxicity(
                 part = slice(i, i + BLOCK)
                 logit = net.forward(vectors, _codes_matrix(codes, start[part], size[part]))
                 np.maximum.at(worst, owner[part], logit - cut)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_sigmoid(worst), pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_sigmoid(worst), pa.float64())], names=[*kept, score_col])
 
     rows = docs.select(*kept, text_of(text_col).alias("_scored"))
-    return rows.mapInArrow(score, StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
+    return rows.mapInArrow(score, StructType([*rows.schema.fields[:-1], StructField(score_col, DoubleType())]))
