@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sweepfield.session import apply_settings
 from sweepfield.llm.common import table
+from sweepfield.llm.sql import ORACLES
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -61,7 +62,7 @@ def op7_pii(spark, sf_dir):
 def op8_jaccard_join(spark, sf_dir):
     from sweepfield.llm import jaccard_join
 
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("links")
 
 
 def _part(parts):
@@ -113,4 +114,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
