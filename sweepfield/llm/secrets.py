@@ -28,6 +28,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 CODES = 128
 # Log-likelihood ratio per character pair from which a run counts as random.
 THRESHOLD = 0.25
+# Weight of a character's own frequency against the transitions seen.
+PRIOR = 4.0
 # Bound of the labelled sample: documents whose tokens are labelled for training.
 SAMPLE_DOCS = 2_000
 
@@ -67,22 +69,29 @@ def train_markov(samples: DataFrame) -> list[float]:
     ).filter("pair IS NOT NULL")
     rows = pairs.groupBy("random", "pair").count().collect()  # 2 x 128 x 128 rows at most
     used = sorted({code for r in rows for code in divmod(r["pair"], CODES)})
-    counts = {True: {}, False: {}}
-    starts = {True: {}, False: {}}
-    for r in rows:
-        counts[r["random"]][r["pair"]] = r["count"]
-        first = r["pair"] // CODES
-        starts[r["random"]][first] = starts[r["random"]].get(first, 0) + r["count"]
-    size = max(len(used), 1)
-    log = lambda label, first, pair: math.log((counts[label].get(pair, 0) + 0.5) / (starts[label].get(first, 0) + 0.5 * size))
+    model = {label: _transitions({r["pair"]: r["count"] for r in rows if r["random"] == label}, used) for label in (True, False)}
     ratios = [0.0] * (CODES * CODES)
     for first in used:
         for second in used:
-            pair = first * CODES + second
-            ratios[pair] = round(log(True, first, pair) - log(False, first, pair), 4)
+            ratios[first * CODES + second] = round(model[True](first, second) - model[False](first, second), 4)
     return ratios
 
 
+def _transitions(counts: dict[int, int], used: list[int]):
+    """Log probability of a character after another; rare first characters lean on the second one's own frequency."""
+    starts, ends = {}, {}
+    for pair, n in counts.items():
+        starts[pair // CODES] = starts.get(pair // CODES, 0) + n
+        ends[pair % CODES] = ends.get(pair % CODES, 0) + n
+    total, size = sum(counts.values()), len(used)
+
+    def log_probability(first: int, second: int) -> float:
+        alone = (ends.get(second, 0) + 0.5) / (total + 0.5 * size)
+        return math.log((counts.get(first * CODES + second, 0) + PRIOR * alone) / (starts.get(first, 0) + PRIOR))
+
+    return log_probability
+
+
 def randomness(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio over the token's character pairs; ASCII tokens."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
