@@ -1,8 +1,9 @@
 """Ordered windows that stay spread out when one group holds much of the table.
 
 A plain window puts a whole group into one task. ``measure_spans`` looks for
-the few groups that are too large for that, and the functions below cut just
-those groups into consecutive spans of their order column. Each span is
+the groups that are too large for that, any number of them, and the functions
+below cut just those groups into consecutive spans of their order column, with
+borders at quantiles, so crowded stretches are cut finer. Each span is
 processed on its own; what crosses a span border (the neighbouring row, the
 running total so far) comes from a small table with one row per span.
 """
@@ -15,42 +16,57 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweepfield.plans.sizing import broadcast_if_small
+from sweepfield.session import shared_folder
+
 SPAN = "_span"
-# A group outside the largest 256 holds less than 1/256 of all rows, so looking
-# at more groups can never find one worth splitting.
-MAX_SPLIT_GROUPS = 256
 ROWS_PER_SPAN = 1_000_000
-
-
-@dataclass(frozen=True)
-class Span:
-    key: tuple
-    start: float
-    width: float
+# Quantiles taken in one pass; groups that need more are cut again, span by span.
+FAN = 1_024
+# Steps of the binary search over a group's borders: 2^20 spans at most.
+_STEPS = [1 << k for k in range(20, -1, -1)]
 
 
 @dataclass(frozen=True)
 class Spans:
-    """Groups to split. Empty means every group fits into one task."""
+    """Groups to split, as a table of ``keys`` and their sorted ``_cuts``. Without a table every group fits into one task."""
 
-    items: tuple[Span, ...] = ()
+    keys: tuple[str, ...] = ()
+    order: str | None = None
+    borders: DataFrame | None = None
 
     def __bool__(self) -> bool:
-        return bool(self.items)
+        return self.borders is not None
+
+    def cut(self, df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        """Add the span number of every row; rows of other groups are in span 0.
 
-    def column(self, keys: list[str], order: str) -> Column:
-        place = order_value(order)
-        chain = None
-        for item in self.items:
-            hit = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, item.key)])
-            cut = F.floor((place - F.lit(item.start)) / F.lit(item.width)).cast("long")
-            chain = F.when(hit, cut) if chain is None else chain.when(hit, cut)
-        return chain.otherwise(F.lit(0).cast("long")) if chain is not None else F.lit(0).cast("long")
+        Any monotone numbering along ``order`` is right, so spans also serve
+        finer groups (more keys behind their own). Other keys are refused.
+        """
+        if list(self.keys) != list(keys[: len(self.keys)]):
+            raise ValueError(f"spans of {list(self.keys)} can't cut groups of {keys}")
+        names = [f"_b{i}" for i in range(len(self.keys))]
+        marks = self.borders.select(*[F.col(k).alias(n) for k, n in zip(self.keys, names)], "_cuts")
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(self.keys, names)])
+        found = df.join(broadcast_if_small(marks), on, "left")
+        return found.select(*df.columns, F.coalesce(_borders_before("_cuts", order_value(order)), F.lit(0)).cast("long").alias(SPAN))
 
 
 NO_SPLIT = Spans()
 
 
+def _borders_before(cuts: str, place: Column) -> Column:
+    """How many of the sorted borders lie at or below the place, by binary search."""
+
+    def narrow(at: Column, step: Column) -> Column:
+        ahead = at + step
+        inside = ahead <= F.size(cuts)
+        return F.when(inside & (F.get(F.col(cuts), ahead - 1) <= place), ahead).otherwise(at)
+
+    return F.when(F.col(cuts).isNotNull(), F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), narrow))
+
+
 def order_value(order: str) -> Column:
     """Order column as a double; timestamps count in seconds."""
     return F.col(order).cast("double")
@@ -59,30 +75,53 @@ def order_value(order: str) -> Column:
 def measure_spans(
     df: DataFrame, keys: list[str], order: str, rows_per_span: int = ROWS_PER_SPAN
 ) -> Spans:
-    """Find the groups above ``rows_per_span`` rows and the span width each needs.
+    """Find the groups above ``rows_per_span`` rows and the borders that cut them.
 
-    One aggregate with map-side combine; at most 256 rows reach the driver.
+    One aggregate with map-side combine finds the groups. Their borders are
+    quantiles of the order column; spans that still hold too many rows are cut
+    again by themselves until only rows of equal order stay together. Nothing
+    but the largest count reaches the driver.
     """
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(order_value(order)).alias("_lo"),
-        F.max(order_value(order)).alias("_hi"),
-    )
-    largest = (
-        stats.filter(F.col("_n") > rows_per_span).orderBy(F.desc("_n")).limit(MAX_SPLIT_GROUPS).collect()
-    )
-    items = []
-    for row in largest:
-        pieces = -(-row["_n"] // rows_per_span)
-        width = (row["_hi"] - row["_lo"]) / pieces
-        if width > 0:
-            items.append(Span(tuple(row[k] for k in keys), row["_lo"], width))
-    return Spans(tuple(items))
+    place = order_value(order)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_span)
+    most = sizes.agg(F.max("_n")).first()[0]
+    if most is None:
+        return Spans(tuple(keys), order)
+    shared_folder(df.sparkSession)
+    large = sizes.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(keys)])
+    rows = df.join(broadcast_if_small(large), on, "left_semi").select(*keys, place.alias("_place"))
+    borders = _quantiles(rows, keys, most, rows_per_span).checkpoint()
+    while most > FAN * rows_per_span:
+        # Very large groups: cut the spans that are still too large.
+        pieces = Spans(tuple(keys), "_place", borders).cut(rows, keys, "_place")
+        inner = pieces.groupBy(*keys, SPAN).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
+        wide = inner.filter((F.col("_n") > 2 * rows_per_span) & (F.col("_lo") < F.col("_hi"))).select(
+            *[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)], F.col(SPAN).alias("_s"), "_n").checkpoint()
+        most = wide.agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        again = pieces.join(broadcast_if_small(wide.drop("_n")), on & (F.col(SPAN) == F.col("_s")), "left_semi")
+        finer = _quantiles(again, [*keys, SPAN], most, rows_per_span).select(*keys, "_cuts")
+        borders = borders.unionByName(finer).groupBy(*keys).agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_cuts")))).alias("_cuts")).checkpoint()
+    return Spans(tuple(keys), order, borders)
+
+
+def _quantiles(rows: DataFrame, keys: list[str], most: int, rows_per_span: int) -> DataFrame:
+    """Sorted distinct borders of every group; the lowest place is never one."""
+    count = min(FAN, -(-most // rows_per_span))
+    cuts = F.percentile_approx("_place", [k / count for k in range(1, count)] or [0.5], max(10_000, 20 * count))
+    found = rows.groupBy(*keys).agg(cuts.alias("_q"), F.min("_place").alias("_low"))
+    return found.select(*keys, F.array_sort(F.array_distinct(F.filter("_q", lambda q: q > F.col("_low")))).alias("_cuts"))
 
 
 def ensure_spans(df: DataFrame, keys: list[str], order: str, spans: Spans | None) -> Spans:
-    """Caller's spans, or a fresh measurement when none were given."""
-    return measure_spans(df, keys, order) if spans is None else spans
+    """Caller's spans, or a fresh measurement when none were given or theirs belong to other keys."""
+    if spans is not None and (not spans.keys or list(spans.keys) == list(keys[: len(spans.keys)])):
+        return spans
+    return measure_spans(df, keys, order)
 
 
 def _on(keys: list[str], left: str, right: str) -> Column:
@@ -122,7 +161,7 @@ def with_neighbours(
         added = ([before.alias(prev)] if prev else []) + ([after.alias(next)] if next else [])
         return df.select("*", *added)
 
-    cut = df.withColumn(SPAN, spans.column(keys, order[0]))
+    cut = spans.cut(df, keys, order[0])
     inner = keys + [SPAN]
     window = Window.partitionBy(*inner).orderBy(*order)
     rows = cut.select("*", F.lag(record).over(window).alias("_lag"), F.lead(record).over(window).alias("_lead"))
@@ -130,7 +169,7 @@ def with_neighbours(
     ends = cut.groupBy(*inner).agg(
         F.min_by(record, place).alias("_head"), F.max_by(record, place).alias("_tail")
     )
-    # One row per span: a few thousand at most for a split group.
+    # One row per span.
     along = Window.partitionBy(*keys).orderBy(SPAN)
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before, after = F.lag("_tail").over(along), F.lead("_head").over(along)
@@ -165,7 +204,7 @@ def with_running(
         window = Window.partitionBy(*keys).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[fold[kind](value).over(window).alias(name) for name, (kind, value) in totals.items()])
 
-    cut = df.withColumn(SPAN, spans.column(keys, order[0]))
+    cut = spans.cut(df, keys, order[0])
     inner = keys + [SPAN]
     window = Window.partitionBy(*inner).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.select(

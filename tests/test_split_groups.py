@@ -7,7 +7,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 
 from sweepfield.operators import boxes, contours, curves, edits, fits, repair, segments, trials
-from sweepfield.plans.ordered import NO_SPLIT, Span, Spans, measure_spans, with_group, with_neighbours, with_running
+from sweepfield.plans.ordered import NO_SPLIT, measure_spans, with_group, with_neighbours, with_running
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,41 @@ def spans_of(df, keys, order, rows=17):
 
 def test_measure_finds_only_large_groups(sweeps):
     found = measure_spans(sweeps, ["design_id"], "freq", rows_per_span=100)
-    assert {s.key for s in found.items} == {(1,), (6,)}
+    assert {r.design_id for r in found.borders.collect()} == {1, 6}
+    assert not measure_spans(sweeps, ["design_id"], "freq", rows_per_span=1000)
+
+
+def test_many_large_groups_with_crowded_order(spark):
+    rng = random.Random(5)
+    rows = []
+    for design in range(300):
+        # Nearly all samples crowd into one stretch; some tie.
+        freqs = [rng.choice([1.0, 1.0 + rng.random() / 1000]) for _ in range(38)] + [1e6, 2e6]
+        rows += [(design, i, f, float(i)) for i, f in enumerate(sorted(freqs))]
+    rows += [(None, i, float(i), float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "design_id long, idx long, freq double, value double")
+    spans = measure_spans(df, ["design_id"], "freq", rows_per_span=10)
+    assert spans.borders.count() == 301
+    sizes = spans.cut(df, ["design_id"], "freq").groupBy("design_id", "_span").count()
+    spread = sizes.groupBy("design_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    assert spread >= 2
+    order = ["freq", "idx"]
+    make = lambda s: with_neighbours(df, ["design_id"], order, ["freq", "value"], s)
+    assert as_set(flat(make(NO_SPLIT))) == as_set(flat(make(spans)))
+    run = lambda s: with_running(df, ["design_id"], order, {"total": ("sum", F.col("value"))}, s)
+    assert as_set(run(NO_SPLIT)) == as_set(run(spans))
+    with pytest.raises(ValueError):
+        with_running(df, ["idx"], order, {"total": ("sum", F.col("value"))}, spans)
+
+
+def test_groups_beyond_one_fan_are_cut_again(spark, monkeypatch):
+    from sweepfield.plans import ordered
+
+    monkeypatch.setattr(ordered, "FAN", 4)
+    df = spark.range(2000).select(F.lit(1).cast("long").alias("g"), F.col("id").cast("double").alias("at"))
+    spans = measure_spans(df, ["g"], "at", rows_per_span=50)
+    largest = spans.cut(df, ["g"], "at").groupBy("_span").count().agg(F.max("count")).first()[0]
+    assert largest <= 2 * 50
 
 
 def test_primitives_match_plain_windows(spark, sweeps):
@@ -135,8 +169,6 @@ OUTLINES = {
 @pytest.mark.parametrize("name", OUTLINES)
 def test_outline_operators(points, name):
     spans = spans_of(points, ["contour_id"], "idx", 23)
-    if name == "arc":
-        spans = Spans(tuple(Span((*s.key, 0), s.start, s.width) for s in spans.items))
     operator = OUTLINES[name]
     assert as_set(operator(points, NO_SPLIT), 6) == as_set(operator(points, spans), 6)
 
