@@ -6,7 +6,7 @@ from sweepfield.catalog.registry import register
 from sweepfield.operators import text
 
 
-@register("assemble_text", """SELECT document, page // 1000 AS part, string_agg(chr(10) || '=== 第 ' || (page + 1) || ' 页 ===' || chr(10) || text || chr(10), '' ORDER BY page) AS text FROM pages_text GROUP BY ALL""")
+@register("assemble_text", """SELECT document, string_agg(chr(10) || '=== 第 ' || (page + 1) || ' 页 ===' || chr(10) || text || chr(10), '' ORDER BY page) AS text FROM pages_text GROUP BY ALL""")
 def _(t):
     return text.assemble_text(t.pages_text())
 
@@ -34,17 +34,18 @@ def mixed_replies(t):
     k = F.col("event_id") % 4
     body = (
         F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("Here: ```json\n"), "props", F.lit("\n``` and "), "props"))
-        .when(k == 2, F.concat(F.lit("{broken} then "), "props", F.lit(" {\"open\": "))).otherwise(F.concat(F.lit("no object "), "event_type"))
+        .when(k == 2, F.concat(F.lit("{broken} then "), "props", F.lit(" {\"open\": ")))
+        .when(F.col("event_id") % 8 == 3, F.concat(F.lit("never closed {\"open\": "), "props")).otherwise(F.concat(F.lit("a stray } and \" then "), "props"))
     )
     return t.table("events").select(F.col("event_id").alias("reply_id"), body.alias("reply"))
 
 
-@register("reply_objects", """SELECT event_id AS reply_id, unnest(CASE event_id % 4 WHEN 1 THEN [0, 1] WHEN 3 THEN []::INTEGER[] ELSE [0] END)::BIGINT AS position, props AS object FROM events""")
+@register("reply_objects", """SELECT event_id AS reply_id, unnest(CASE WHEN event_id % 4 = 1 THEN [0, 1] WHEN event_id % 8 = 3 THEN []::INTEGER[] ELSE [0] END)::BIGINT AS position, props AS object FROM events""")
 def _(t):
     return text.reply_objects(mixed_replies(t)).withColumn("position", F.col("position").cast("long"))
 
 
-@register("route_replies", """SELECT event_id AS reply_id, CASE event_id % 4 WHEN 3 THEN 'no JSON object' ELSE 'good' END AS route, CASE WHEN event_id % 4 <> 3 THEN props END AS object FROM events""")
+@register("route_replies", """SELECT event_id AS reply_id, CASE WHEN event_id % 8 = 3 THEN 'no JSON object' ELSE 'good' END AS route, CASE WHEN event_id % 8 <> 3 THEN props END AS object FROM events""")
 def _(t):
     good, bad = text.route_replies(mixed_replies(t), ["k"])
     failed = bad.select("reply_id", F.col("reason").alias("route"), F.lit(None).cast("string").alias("object"))

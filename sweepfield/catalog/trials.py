@@ -167,14 +167,17 @@ def _(t):
         row_number() OVER (PARTITION BY run_id ORDER BY iteration DESC) AS k FROM groups) WHERE k <= 5 GROUP BY run_id)
     SELECT run_id, resize::BIGINT AS resize, move::BIGINT AS move, add_::BIGINT AS "add", del::BIGINT AS "delete",
       av >= 3 AND im <= 1 AS weak, add_ > 0 AND del > 0 AS oscillation,
-      resize + move >= greatest(3, total // 2) AS dominant FROM sums""")
+      resize + move >= greatest(3, total // 2) AS dominant,
+      concat_ws(',', CASE WHEN av >= 3 AND im <= 1 THEN 'try_several_changes' END, CASE WHEN add_ > 0 AND del > 0 THEN 'stop_adding_and_deleting' END,
+        CASE WHEN resize + move >= greatest(3, total // 2) THEN 'change_shape' END) AS advice FROM sums""")
 def _(t):
     group = F.floor((F.col("iteration") - 1) / 3)
     lists = t.attempts().groupBy("run_id", group.alias("iteration")).agg(
         F.collect_list("operation").alias("operations"), (F.max("value") > 5).alias("effect_available"),
         (F.max("value") > 60).alias("improved"),
     )
-    return trials.pattern_flags(lists, 5, KINDS).drop("advice")
+    out = trials.pattern_flags(lists, 5, KINDS)
+    return out.withColumn("advice", F.array_join("advice", ","))
 
 
 @register("distinct_in_order", """WITH recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY page DESC) AS k

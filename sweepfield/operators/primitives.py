@@ -15,7 +15,6 @@ from sweepfield.plans.sizing import broadcast_if_small
 DESIGN = ["design_id"]
 # Port connection walk.
 STEP, TOUCH, MAX_SHIFT, WIDTH_SCALE = 0.2, 0.15, 120.0, 1.5
-PART_ROWS = 10_000
 # Designs up to this many primitive ends are clustered in one piece.
 FOLD_LIMIT = 2_000
 CURVE_TYPES = ["ARC", "CURVE", "BSPLINE"]
@@ -451,17 +450,13 @@ def variable_plan_slots(
 
 
 def variable_groups(variables: DataFrame) -> DataFrame:
-    """Names of each design's variables by target, type and slot.
-
-    Lists are cut into parts of 10,000 names in ``seq`` order.
-    """
+    """Names of each design's variables by target, type and slot, each list one row in ``seq`` order."""
     unknown = lambda v: F.coalesce(F.when(F.col(v) != "", F.col(v)), F.lit("unknown"))
     entry = lambda kind, value: F.struct(F.lit(kind).alias("grouping"), value.alias("value"))
     tagged = variables.select(*DESIGN, "seq", "name", F.inline(F.array(
         entry("target", unknown("target")), entry("type", unknown("variable_type")), entry("slot", F.col("slot_id"))
     ))).filter(F.col("value").isNotNull())
-    part = F.floor(F.col("seq") / PART_ROWS).cast("long")
-    return tagged.groupBy(*DESIGN, "grouping", "value", part.alias("part")).agg(
+    return tagged.groupBy(*DESIGN, "grouping", "value").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda s: s["name"]).alias("names")
     )
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PART_PAGES = 1000
 # Page marker, required reply keys and fall-back sizes.
 PAGE_MARK = "\n=== 第 {} 页 ===\n"
 REQUIRED_KEYS = ["X", "Y", "Z", "Unit"]
@@ -20,14 +16,12 @@ DEFAULT_SIZES = {"X": 6.6, "Y": 6.6, "Z": 1.6}
 def assemble_text(pages: DataFrame) -> DataFrame:
     """Page texts in order, each under its marker: ``pages(document, page, text)``, pages from 0.
 
-    Long documents come as several parts of 1000 pages, in order of ``part``;
-    joined they are the whole text. So no document has to fit into one value.
+    One row per document at every size; its text has to fit into a row.
     """
     before, after = PAGE_MARK.split("{}")
     block = F.concat(F.lit(before), (F.col("page") + 1).cast("string"), F.lit(after), "text", F.lit("\n"))
-    part = F.floor(F.col("page") / PART_PAGES).cast("long")
     entries = F.array_sort(F.collect_list(F.struct("page", block.alias("block"))))
-    return pages.groupBy("document", part.alias("part")).agg(
+    return pages.groupBy("document").agg(
         F.array_join(F.transform(entries, lambda e: e["block"]), "").alias("text")
     )
 
@@ -71,52 +65,49 @@ def fill_defaults(sizes: Column, overrides: dict[str, Column] | None = None) ->
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _objects(texts: pd.Series) -> pd.Series:
-    """Balanced top-level JSON objects of each text; unreadable ones are skipped."""
-
-    def one(text: str | None) -> list[str]:
-        if text is None:
-            return []
-        clean = text.replace("```json", "").replace("```", "")
-        found, at = [], clean.find("{")
-        while at >= 0:
-            depth, quoted, skip, end = 0, False, False, -1
-            for i in range(at, len(clean)):
-                mark = clean[i]
-                if quoted:
-                    if skip:
-                        skip = False
-                    elif mark == "\\":
-                        skip = True
-                    elif mark == '"':
-                        quoted = False
-                elif mark == '"':
-                    quoted = True
-                elif mark == "{":
-                    depth += 1
-                elif mark == "}":
-                    depth -= 1
-                    if depth == 0:
-                        end = i + 1
-                        break
-            if end < 0:
-                break
-            try:
-                if isinstance(json.loads(clean[at:end]), dict):
-                    found.append(clean[at:end])
-            except json.JSONDecodeError:
-                pass
-            at = clean.find("{", end)
-        return found
-
-    return texts.map(one)
+# What the brace count depends on: an escaped character, a quote, a brace.
+_MARKS = r'\\[\s\S]|["{}]'
+
+
+def _objects(reply: Column) -> Column:
+    """Balanced top-level JSON objects of a text, in order; unreadable ones are left out.
+
+    The marks of the text and the stretches between them are folded once: the
+    state knows the position, the brace depth and whether a string is open.
+    """
+    text = F.regexp_replace(reply, "```(json)?", "")
+    marks, gaps = F.regexp_extract_all(text, F.lit(_MARKS), F.lit(0)), F.split(text, _MARKS, -1)
+    steps = F.filter(F.zip_with(marks, gaps, lambda m, g: F.struct(m.alias("mark"), F.char_length(g).alias("gap"))), lambda s: s["mark"].isNotNull())
+    none = F.array().cast("array<struct<start:int,size:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("open"), none.alias("found"))
+
+    def step(state: Column, s: Column) -> Column:
+        at = state["at"] + s["gap"]
+        end = at + F.char_length(s["mark"])
+        # Outside strings a backslash escapes nothing.
+        sign = F.when(state["quoted"], s["mark"]).otherwise(F.right(s["mark"], F.lit(1)))
+        inside = state["depth"] > 0
+        opens, closes = ~state["quoted"] & (sign == "{"), ~state["quoted"] & inside & (sign == "}")
+        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        done = closes & (depth == 0)
+        first = F.when(opens & ~inside, end - 1).otherwise(state["open"])
+        span = F.struct(first.alias("start"), (end - first).alias("size"))
+        return F.struct(
+            end.alias("at"), depth.alias("depth"),
+            F.when(inside & (sign == '"'), ~state["quoted"]).otherwise(state["quoted"]).alias("quoted"), first.alias("open"),
+            F.when(done, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+
+    spans = F.aggregate(steps, start, step, lambda state: state["found"])
+    pieces = F.transform(spans, lambda s: text.substr(s["start"] + 1, s["size"]))
+    return F.filter(F.coalesce(pieces, F.array().cast("array<string>")), lambda p: F.json_object_keys(p).isNotNull())
 
 
 def reply_objects(replies: DataFrame, text: str = "reply") -> DataFrame:
     """One row per JSON object found in each reply, in order."""
     kept = [c for c in replies.columns if c != text]
-    return replies.select(*kept, F.posexplode(_objects(F.col(text))).alias("position", "object"))
+    # The outer form: for the inner one Catalyst computes the array twice.
+    found = replies.select(*kept, F.posexplode_outer(_objects(F.col(text))).alias("position", "object"))
+    return found.filter("object IS NOT NULL")
 
 
 def route_replies(replies: DataFrame, required: list[str], text: str = "reply") -> tuple[DataFrame, DataFrame]:
@@ -127,8 +118,9 @@ def route_replies(replies: DataFrame, required: list[str], text: str = "reply")
     """
     is_object = lambda v: F.coalesce(F.schema_of_variant(F.try_parse_json(v)).startswith("OBJECT"), F.lit(False))
     stripped = F.trim(F.regexp_replace(F.col(text), "```(json)?", ""))
-    found = _objects(F.col(text))
-    rows = replies.select("*", F.when(is_object(stripped), stripped).alias("_whole"), F.get(found, F.lit(0)).alias("_first"))
+    whole = F.when(is_object(stripped), stripped)
+    # Only replies that are no object as a whole are scanned for one.
+    rows = replies.select("*", whole.alias("_whole"), F.when(whole.isNull(), F.get(_objects(F.col(text)), F.lit(0))).alias("_first"))
     rows = rows.withColumn("object", F.coalesce("_whole", "_first"))
     fits = lambda v: reduce(
         lambda a, b: a & b, [F.try_variant_get(F.try_parse_json(v), f"$.{k}", "variant").isNotNull() for k in required], v.isNotNull()
