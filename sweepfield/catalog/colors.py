@@ -57,12 +57,15 @@ def _(t):
 
 # Clusters by brightness band stand in for a finished clustering.
 CLUSTERED = """cl AS (SELECT image_id, px, py, r, g, b, ((r + g + b) // 100)::BIGINT AS cluster FROM pixels),
+    cw AS (SELECT image_id, cluster, px, py, px AS rx, py AS ry FROM cl UNION SELECT f.image_id, f.cluster, f.px, f.py, w.rx, w.ry FROM cw w
+      JOIN cl f ON f.image_id = w.image_id AND f.cluster = w.cluster AND abs(f.px - w.px) <= 1 AND abs(f.py - w.py) <= 1),
+    comps AS (SELECT image_id, cluster, count(DISTINCT spot) AS comp_count FROM (SELECT image_id, cluster, min((rx, ry)) AS spot FROM cw GROUP BY image_id, cluster, px, py) AS o GROUP BY image_id, cluster),
     part AS (SELECT image_id, cluster, count(*) AS area, count(*) FILTER (px < 2 OR px > 4 OR py < 2 OR py > 0) AS hits, avg(r) AS r, avg(g) AS g, avg(b) AS b,
       (max(px) - min(px) + 1) * (max(py) - min(py) + 1) AS box FROM cl GROUP BY image_id, cluster),
     whole AS (SELECT image_id, sum(hits) AS border, sum(area) AS total, 200.0::DOUBLE + image_id % 56 AS bg FROM part GROUP BY image_id),
-    stats AS (SELECT p.image_id, cluster, area, area / total AS area_ratio, hits / greatest(1, border) AS border_ratio, area / greatest(1, box) AS fill_ratio,
+    stats AS (SELECT p.image_id, p.cluster, area, area / total AS area_ratio, hits / greatest(1, border) AS border_ratio, area / greatest(1, box) AS fill_ratio,
       sqrt(r * r + g * g + b * b) AS dist_black, sqrt((r - 255) ** 2 + (g - 255) ** 2 + (b - 255) ** 2) AS dist_white, sqrt((r - bg) ** 2 + (g - bg) ** 2 + (b - bg) ** 2) AS dist_bg,
-      sqrt(3 * (bg - 255) ** 2) AS bg_white, (cluster * 5) % 30 AS comp_count FROM part p JOIN whole w ON p.image_id = w.image_id)"""
+      sqrt(3 * (bg - 255) ** 2) AS bg_white, comp_count FROM part p JOIN whole w ON p.image_id = w.image_id JOIN comps c ON p.image_id = c.image_id AND p.cluster = c.cluster)"""
 
 
 def clustered(t):
@@ -73,11 +76,11 @@ def clustered(t):
     return colors.cluster_stats(rows, known)
 
 
-@register("cluster_stats", f"""WITH {CLUSTERED} SELECT image_id, cluster, area, round(area_ratio, 6) AS area_ratio, round(border_ratio, 6) AS border_ratio, round(fill_ratio, 6) AS fill_ratio,
-    round(dist_black, 5) AS dist_black, round(dist_white, 5) AS dist_white, round(dist_bg, 5) AS dist_bg FROM stats""")
+@register("cluster_stats", f"""WITH RECURSIVE {CLUSTERED} SELECT image_id, cluster, area, round(area_ratio, 6) AS area_ratio, round(border_ratio, 6) AS border_ratio, round(fill_ratio, 6) AS fill_ratio,
+    round(dist_black, 5) AS dist_black, round(dist_white, 5) AS dist_white, round(dist_bg, 5) AS dist_bg, comp_count FROM stats""")
 def _(t):
     return clustered(t).select(
-        "image_id", "cluster", "area", *r("area_ratio", "border_ratio", "fill_ratio"), *r("dist_black", "dist_white", "dist_bg", digits=5)
+        "image_id", "cluster", "area", *r("area_ratio", "border_ratio", "fill_ratio"), *r("dist_black", "dist_white", "dist_bg", digits=5), "comp_count"
     )
 
 
@@ -86,7 +89,7 @@ def first_max(score, among):
     return f"arg_max(cluster, ({score}, -cluster)) FILTER ({among}) OVER (PARTITION BY image_id)"
 
 
-@register("cluster_roles", f"""WITH {CLUSTERED},
+@register("cluster_roles", f"""WITH RECURSIVE {CLUSTERED},
     s0 AS (SELECT *, 0.62 * (1 - least(1.0, dist_white / 160)) + 0.26 * border_ratio + 0.12 * (1 - least(1.0, area_ratio / 0.9::DOUBLE)) AS ps,
       0.54 * (1 - least(1.0, dist_bg / 180)) + 0.16 * border_ratio + 0.16 * least(1.0, dist_black / 150) + 0.14 * least(1.0, dist_white / 150) AS bs,
       0.18 * (1 - least(1.0, dist_black / 180)) + 0.18 * least(1.0, dist_white / 180) + 0.22 * least(1.0, dist_bg / 180) + 0.24 * least(1.0, area_ratio / 0.12::DOUBLE) + 0.18 * least(1.0, fill_ratio) AS fs,
@@ -108,12 +111,9 @@ def first_max(score, among):
     t6 AS (SELECT *, fig AND coalesce(cluster <> outl, true) AND cluster <> bk AS f2 FROM t5),
     t7 AS (SELECT *, bool_or(f2) OVER (PARTITION BY image_id) AS af2, {first_max('area_ratio', 'coalesce(cluster <> outl, true) AND cluster <> bk')} AS sp FROM t6)
     SELECT image_id, cluster, cluster = pad AS is_padding, cluster = bk AS is_background, CASE WHEN af2 THEN f2 ELSE cluster = coalesce(sp, outl) END AS is_figure, coalesce(cluster = outl, false) AS is_outline
-    FROM t7 WHERE a2""")
+    FROM t7""")
 def _(t):
-    # An image with a single cluster has no figure to tell from the background.
-    stats = clustered(t).withColumn("comp_count", (F.col("cluster") * 5) % 30)
-    many = stats.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("image_id")
-    return colors.cluster_roles(stats.join(many, "image_id", "left_semi"))
+    return colors.cluster_roles(clustered(t))
 
 
 def bright(t):
@@ -143,7 +143,7 @@ def _(t):
     return colors.filter_small_regions(bright(t), sizes, 0.15, 2, 1).select("image_id", "px", "py", "area")
 
 
-@register("figure_share_filter", f"WITH {CLUSTERED} SELECT image_id, cluster, round(area_ratio, 6) AS area_ratio FROM stats WHERE area_ratio >= 0.1")
+@register("figure_share_filter", f"WITH RECURSIVE {CLUSTERED} SELECT image_id, cluster, round(area_ratio, 6) AS area_ratio FROM stats WHERE area_ratio >= 0.1")
 def _(t):
     rows = t.pixels().select("*", F.floor((F.col("r") + F.col("g") + F.col("b")) / 100).cast("long").alias("cluster"))
     sizes = t.pixels().groupBy("image_id").agg(F.count(F.lit(1)).alias("total"))

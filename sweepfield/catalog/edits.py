@@ -93,7 +93,7 @@ def _(t):
 
 
 @register("slot_value_mapping", f"""WITH {SLOTS}, h AS (SELECT *, 1.0::DOUBLE + design_id % 3 * 0.1::DOUBLE AS kx, 0.9::DOUBLE AS ky, CASE WHEN design_id % 2 = 0 THEN 2.0::DOUBLE END AS vl, CASE WHEN design_id % 5 = 0 THEN 1.0::DOUBLE END AS vd,
-      greatest(1e-9, max_x - min_x) AS sx, greatest(1e-9, max_y - min_y) AS sy FROM homes WHERE px0 IS NOT NULL),
+      greatest(1e-9, max_x - min_x) AS sx, greatest(1e-9, max_y - min_y) AS sy FROM homes),
     g AS (SELECT *, 1 + (min_x - 1) * kx AS a, 1 + (max_x - 1) * kx AS b, 2 + (min_y - 2) * ky AS c, 2 + (max_y - 2) * ky AS d, 1 + (px0 - 1) * kx AS pa, 1 + (px1 - 1) * kx AS pb, 2 + (py0 - 2) * ky AS pc, 2 + (py1 - 2) * ky AS pd,
       coalesce(vl, greatest(sx, sy)) AS len, least(sx, sy) AS wid FROM h),
     q AS (SELECT *, CASE WHEN sx >= sy THEN len ELSE wid END AS wx, CASE WHEN sx >= sy THEN wid ELSE len END AS wy FROM g),
@@ -104,7 +104,7 @@ def _(t):
 def _(t):
     c = F.col
     sx, sy = F.greatest(F.lit(1e-9), c("max_x") - c("min_x")), F.greatest(F.lit(1e-9), c("max_y") - c("min_y"))
-    slots = slot_tables(t)[0].filter(c("parent_min_x").isNotNull()).select(
+    slots = slot_tables(t)[0].select(
         "*", F.greatest(sx, sy).alias("length"), F.least(sx, sy).alias("width"), F.when(sx >= sy, "x").otherwise("y").alias("length_axis")
     )
     d = c("design_id")

@@ -29,10 +29,9 @@ def _(t):
 
 
 @register("threshold_error", f"""WITH {PAIRS} SELECT event_id, CASE WHEN actual <= target THEN 0.0::DOUBLE
-    ELSE round((actual - target) / greatest(abs(target), 1e-9), 9) END AS error FROM pairs WHERE target IS NOT NULL""")
+    WHEN target IS NOT NULL THEN round((actual - target) / greatest(abs(target), 1e-9), 9) END AS error FROM pairs""")
 def _(t):
-    rows = pairs(t).filter(F.col("target").isNotNull())
-    return rows.select(
+    return pairs(t).select(
         "event_id", rounded(objectives.threshold_error(F.col("actual"), F.col("target")), 9).alias("error")
     )
 

@@ -30,7 +30,7 @@ def tracks(t):
 
 
 def spans(t):
-    return t.spans("circles")
+    return t.measured("tracks", tracks(t), ["contour_id"], "idx")
 
 
 def split(t):
@@ -64,9 +64,12 @@ CHORD = f"""{SPLIT}, ends AS (SELECT contour_id, segment, count(*) AS n, arg_min
       any_value(sqrt((bx - ax) ** 2 + (b_y - ay) ** 2)) AS c FROM segs s JOIN ends e ON s.contour_id = e.contour_id AND s.segment = e.segment GROUP BY s.contour_id, s.segment)"""
 
 
-@register("line_fit_chord", f"WITH {CHORD} SELECT contour_id, segment, n, round(e, 6) + 0.0 AS line_error, round(c, 6) AS chord FROM chord WHERE n >= 2")
+@register("line_fit_chord", f"WITH {CHORD} SELECT contour_id, segment, n, CASE WHEN n < 2 THEN -1.0 ELSE round(e, 6) END + 0.0 AS line_error, round(c, 6) AS chord FROM chord")
 def _(t):
-    return segments.line_fit_chord(split(t)).filter("n >= 2").select("contour_id", "segment", "n", *r("line_error", "chord"))
+    # A segment of one point has no line; its infinite error shows as -1.
+    out = segments.line_fit_chord(split(t))
+    error = F.when(F.col("n") < 2, -1.0).otherwise(rounded(F.col("line_error")))
+    return out.select("contour_id", "segment", "n", error.alias("line_error"), *r("chord"))
 
 
 PCA = f"""{SPLIT}, {SEGW}, mo AS (SELECT contour_id, segment, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM segs GROUP BY contour_id, segment),
@@ -78,9 +81,9 @@ PCA = f"""{SPLIT}, {SEGW}, mo AS (SELECT contour_id, segment, count(*) AS n, avg
       AND sqrt(l1 * n) / (sqrt(l0 * n) + 1e-9) < 0.02 AND res < 1.0 AND turn < 10) AS is_line FROM re)"""
 
 
-@register("line_fit_pca", f"WITH {PCA} SELECT contour_id, segment, n, round(q, 4) + 0.0 AS linearity, round(res, 5) + 0.0 AS max_residual, round(turn, 3) + 0.0 AS total_turn, is_line FROM lin WHERE n >= 2")
+@register("line_fit_pca", f"WITH {PCA} SELECT contour_id, segment, n, round(q, 4) + 0.0 AS linearity, round(res, 5) + 0.0 AS max_residual, round(turn, 3) + 0.0 AS total_turn, is_line FROM lin")
 def _(t):
-    out = segments.line_fit_pca(split(t), spans=spans(t)).filter("n >= 2")
+    out = segments.line_fit_pca(split(t), spans=spans(t))
     return out.select("contour_id", "segment", "n", *r("linearity", digits=4), *r("max_residual", digits=5), *r("total_turn", digits=3), "is_line")
 
 
@@ -95,11 +98,15 @@ FIT = f"""{SPLIT}, {SEGW}, {CIRCLE},
     arc AS (SELECT *, CASE WHEN sd / (radius + 1e-9) <= 0.05 AND sn <= 0.1 THEN greatest(abs(hi - radius), abs(lo - radius)) ELSE 'inf'::DOUBLE END AS e FROM fit)"""
 
 
-@register("circle_fit", f"WITH {FIT} SELECT contour_id, segment, round(cx, 3) + 0.0 AS cx, round(cy, 3) + 0.0 AS cy, round(radius, 3) AS radius, CASE WHEN isinf(e) THEN -1.0 ELSE round(e, 4) END + 0.0 AS arc_error FROM arc WHERE radius < 1e4")
+@register("circle_fit", f"""WITH {FIT} SELECT contour_id, segment, CASE WHEN radius < 1e4 THEN round(cx, 3) + 0.0 END AS cx, CASE WHEN radius < 1e4 THEN round(cy, 3) + 0.0 END AS cy,
+    CASE WHEN radius < 1e4 THEN round(radius, 3) END AS radius, CASE WHEN NOT coalesce(radius < 1e4, false) THEN NULL WHEN isinf(e) THEN -1.0 ELSE round(e, 4) END + 0.0 AS arc_error FROM arc""")
 def _(t):
-    out = segments.circle_fit(split(t), spans=spans(t)).filter("radius < 1e4")
+    # Circles that are straight to within rounding are shown without figures.
+    out = segments.circle_fit(split(t), spans=spans(t))
+    bent = F.col("radius") < 1e4
     error = F.when(F.col("arc_error") == float("inf"), -1.0).otherwise(rounded(F.col("arc_error"), 4))
-    return out.select("contour_id", "segment", *r("cx", "cy", "radius", digits=3), error.alias("arc_error"))
+    return out.select(
+        "contour_id", "segment", *[F.when(bent, rounded(F.col(n), 3)).alias(n) for n in ("cx", "cy", "radius")], F.when(bent, error).alias("arc_error"))
 
 
 @register("classify_segments", f"""WITH {FIT}, {CHORD[len(SPLIT) + 2:]}

@@ -51,7 +51,7 @@ SQL = {
         floor(least(255, greatest(0, (embedding[3 * i + 1]::DOUBLE + 0.6::DOUBLE) / 1.2::DOUBLE * 255)))::INTEGER AS r,
         floor(least(255, greatest(0, (embedding[3 * i + 2]::DOUBLE + 0.6::DOUBLE) / 1.2::DOUBLE * 255)))::INTEGER AS g,
         floor(least(255, greatest(0, (embedding[3 * i + 3]::DOUBLE + 0.6::DOUBLE) / 1.2::DOUBLE * 255)))::INTEGER AS b
-        FROM embeddings, (SELECT unnest(range(0, 21)) AS i) AS positions""",
+        FROM embeddings, (SELECT unnest(range(0, 22)) AS i) AS positions""",
     "boxes": """SELECT user_id AS image_id, event_id AS box_id,
         (event_id % 97)::DOUBLE AS x0, (event_id % 89)::DOUBLE AS y0,
         (event_id % 97 + 10 + event_id % 13)::DOUBLE AS x1,
@@ -116,6 +116,10 @@ class Tables:
             _SPANS[key] = measure_spans(getattr(self, view)(), keys, order)
         return _SPANS[key]
 
+    def measured(self, name: str, df: DataFrame, keys: list[str], order: str) -> Spans:
+        """Groups of a derived table to split, measured once per session and data set."""
+        return self._cached((name, order), lambda: measure_spans(df, keys, order))
+
     def sweeps(self) -> DataFrame:
         micros = F.unix_micros(F.col("ts").cast("timestamp"))
         return self.table("events").select(
@@ -232,7 +236,7 @@ class Tables:
             level(i * 3 + 2).alias("b"),
         )
         return self.table("embeddings").select(
-            F.col("vec_id").alias("image_id"), F.inline(F.transform(F.sequence(F.lit(0), F.lit(20)), pixel))
+            F.col("vec_id").alias("image_id"), F.inline(F.transform(F.sequence(F.lit(0), F.lit(21)), pixel))
         )
 
     def boxes(self) -> DataFrame:

@@ -164,7 +164,7 @@ def quantize_colors(
 
 
 def cluster_stats(pixels: DataFrame, backgrounds: DataFrame) -> DataFrame:
-    """Shape and colour figures of each cluster of an image.
+    """Shape and colour figures of each cluster of an image, and its number of 8-connected pieces.
 
     ``pixels(image_id, px, py, cluster, r, g, b)`` with the cluster's colour;
     ``backgrounds(image_id, bg_r, bg_g, bg_b)`` gives the known background. The
@@ -186,7 +186,9 @@ def cluster_stats(pixels: DataFrame, backgrounds: DataFrame) -> DataFrame:
         ((F.max("px") - F.min("px") + 1) * (F.max("py") - F.min("py") + 1)).alias("_box"),
     )
     whole = part.groupBy(*IMAGE).agg(F.sum("_hits").alias("_border"), F.sum("area").alias("_total"))
-    joined = part.join(whole, IMAGE).join(broadcast_if_small(backgrounds), IMAGE)
+    pieces = connected_regions(pixels, [*IMAGE, "cluster"]).groupBy(*IMAGE, "cluster").agg(
+        F.count_distinct("region").alias("comp_count"))
+    joined = part.join(whole, IMAGE).join(broadcast_if_small(backgrounds), IMAGE).join(pieces, [*IMAGE, "cluster"])
 
     def away(a: list[Column], b: list[Column]) -> Column:
         return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b)), F.lit(0.0)))
@@ -197,15 +199,15 @@ def cluster_stats(pixels: DataFrame, backgrounds: DataFrame) -> DataFrame:
         *IMAGE, "cluster", "area", (c("area") / c("_total")).alias("area_ratio"),
         (c("_hits") / F.greatest(F.lit(1), c("_border"))).alias("border_ratio"), (c("area") / F.greatest(F.lit(1), c("_box"))).alias("fill_ratio"),
         away(own, level(0.0)).alias("dist_black"), away(own, level(255.0)).alias("dist_white"), away(own, known).alias("dist_bg"),
-        away(known, level(255.0)).alias("bg_white"),
+        away(known, level(255.0)).alias("bg_white"), "comp_count",
     )
 
 
 def cluster_roles(stats: DataFrame, min_figure: float = 0.01, white_limit: float = 18.0) -> DataFrame:
     """Padding, background, figure or outline role of each cluster.
 
-    ``stats`` comes from ``cluster_stats`` with ``comp_count`` added; an image
-    has a handful of clusters, so each image's array is judged in place.
+    ``stats`` comes from ``cluster_stats``. An image has a handful of clusters,
+    judged in one window; the only cluster of an image is its figure and background.
     """
     c = F.col
     part = lambda value, limit: F.least(F.lit(1.0), value / limit)

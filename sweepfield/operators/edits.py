@@ -139,7 +139,8 @@ def slot_value_mapping(slots: DataFrame, values: DataFrame) -> DataFrame:
 
     ``slots(design_id, slot_id, min_x…max_y, parent_min_x…parent_max_y, length,
     width, length_axis)``; ``values(design_id, slot_id, scale_x, scale_y, cx,
-    cy, length, width, dx, dy)`` with null for a missing value.
+    cy, length, width, dx, dy)`` with null for a missing value. A slot without
+    a parent box moves as sampled, with nothing to hold it in.
     """
     c = F.col
     given = values.select(*DESIGN, "slot_id", "scale_x", "scale_y", "cx", "cy", *[c(n).alias(f"v_{n}") for n in ("length", "width", "dx", "dy")])

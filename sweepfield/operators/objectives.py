@@ -33,10 +33,9 @@ def relative_error(actual: Column, target: Column) -> Column:
 
 
 def threshold_error(actual: Column, target: Column) -> Column:
-    """Zero at or below the target, else the relative excess."""
-    return F.when(actual <= target, F.lit(0.0)).otherwise(
-        (actual - target) / F.greatest(F.abs(target), F.lit(EPS))
-    )
+    """Zero at or below the target, else the relative excess; null when either is unknown."""
+    excess = (actual - target) / F.greatest(F.abs(target), F.lit(EPS))
+    return F.when(actual <= target, F.lit(0.0)).when(actual > target, excess)
 
 
 def multi_resonance_error(actuals: Column, targets: Column) -> Column:

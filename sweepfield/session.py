@@ -1,4 +1,4 @@
-"""Session helpers: settings the operators rely on, and the checkpoint folder."""
+"""Session helpers: settings the operators rely on, and the shared folder."""
 
 from __future__ import annotations
 
@@ -35,10 +35,17 @@ def build_session(app: str = "sweepfield", master: str | None = None, **settings
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Checkpoint folder of the cluster; a local one is made only where none is set."""
+    """Checkpoint folder of the cluster, as set in ``spark.checkpoint.dir``.
+
+    Only a single-machine session may do without the setting: it gets a folder
+    of its own under /tmp. On a cluster a missing setting is an error, since
+    hosts don't see each other's folders.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
