@@ -6,7 +6,10 @@ Neighbouring segments share their boundary point, as one row in each.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -350,34 +353,131 @@ def _runs(segments: DataFrame, reach: float, same_type: bool, spans: Spans) -> D
     return segments.join(marked.select(*SEGMENT, "run"), SEGMENT)
 
 
-def _unpack(group: Columns) -> list[dict]:
-    borders = np.concatenate([[0], np.flatnonzero(np.diff(group["segment"])) + 1, [len(group["segment"])]])
-    points = np.column_stack([group["x"], group["y"]])
-    errors = np.nan_to_num(group["error"].astype(float)) if "error" in group else np.zeros(len(points))
-    return [
-        {
-            "segment": group["segment"][i], "type": group["type"][i], "points": points[i:j],
-            "idx": group["idx"][i:j], "error": float(errors[i]),
+@dataclass(eq=False)
+class Piece:
+    """A segment in a chain of neighbours, with the model of its last fit."""
+
+    segment: int
+    kind: str
+    points: np.ndarray
+    idx: np.ndarray
+    error: float
+    axis: tuple[np.ndarray, np.ndarray] | None = None  # ends of a fitted line
+    circle: tuple[np.ndarray, float] | None = None  # centre and radius of a fitted arc
+    before: Piece | None = None
+    after: Piece | None = None
+    gone: bool = False
+
+    @property
+    def length(self) -> float:
+        return float(np.linalg.norm(np.diff(self.points, axis=0), axis=1).sum())
+
+    def with_next(self, kind: str, error: float, **model) -> Piece:
+        """This piece and the one after it as a new piece; the shared point counts once."""
+        return Piece(
+            self.segment, kind, np.vstack([self.points, self.after.points[1:]]), np.concatenate([self.idx, self.after.idx[1:]]), error, **model)
+
+
+class Chain:
+    """Pieces of one run as a linked list, so a merge touches its two neighbours only."""
+
+    def __init__(self, group: Columns) -> None:
+        self.contour = group["contour_id"][0]
+        cuts = np.flatnonzero(np.diff(group["segment"])) + 1
+        points = np.column_stack([group["x"], group["y"]])
+        errors = np.nan_to_num(group["error"].astype(float)) if "error" in group else np.zeros(len(points))
+        columns = zip(*[np.split(c, cuts) for c in (group["segment"], group["type"], points, group["idx"], errors)])
+        pieces = [Piece(s[0], k[0], p, i, float(e[0])) for s, k, p, i, e in columns]
+        for left, right in zip(pieces, pieces[1:]):
+            left.after, right.before = right, left
+        self.head, self.size = pieces[0], len(pieces)
+
+    def __iter__(self):
+        piece = self.head
+        while piece is not None:
+            yield piece
+            piece = piece.after
+
+    def put(self, left: Piece, made: Piece) -> Piece:
+        """Replace ``left`` and its follower by ``made``."""
+        right = left.after
+        made.before, made.after = left.before, right.after
+        left.gone = right.gone = True
+        if made.before is None:
+            self.head = made
+        else:
+            made.before.after = made
+        if made.after is not None:
+            made.after.before = made
+        self.size -= 1
+        return made
+
+    def merge_best(self, offer, until: int = 1) -> None:
+        """Take the offer of lowest price, the first of equals, until none or ``until`` pieces are left.
+
+        ``offer(piece)`` gives the price and the merged piece for a piece and
+        its follower, or nothing. Offers wait in a heap; those of pieces that
+        are gone are passed over.
+        """
+        heap: list = []
+        count = itertools.count()
+
+        def ask(piece: Piece | None) -> None:
+            if piece is not None and piece.after is not None and (made := offer(piece)):
+                heapq.heappush(heap, (made[0], piece.idx[0], next(count), piece, piece.after, made[1]))
+
+        for piece in self:
+            ask(piece)
+        while heap and self.size > until:
+            *_, left, right, made = heapq.heappop(heap)
+            if not (left.gone or right.gone):
+                self.put(left, made)
+                ask(made.before)
+                ask(made)
+
+    def columns(self) -> Columns:
+        pieces = list(self)
+        sizes = [len(p.idx) for p in pieces]
+        points = np.vstack([p.points for p in pieces])
+        return {
+            "contour_id": self.contour, "segment": np.repeat([p.segment for p in pieces], sizes),
+            "type": np.repeat(np.array([p.kind for p in pieces], dtype=object), sizes),
+            "idx": np.concatenate([p.idx for p in pieces]), "x": points[:, 0], "y": points[:, 1],
+            "error": np.repeat([p.error for p in pieces], sizes),
         }
-        for i, j in zip(borders[:-1], borders[1:])
-    ]
 
 
-def _joined(a: dict, b: dict, kind: str, error: float, **model) -> dict:
-    return {
-        "segment": a["segment"], "type": kind, "points": np.vstack([a["points"], b["points"][1:]]),
-        "idx": np.concatenate([a["idx"], b["idx"][1:]]), "error": error, **model,
-    }
+def _line_of(points: np.ndarray) -> dict:
+    error, start, end = _pca_line(points)
+    return {"error": error, "axis": (start, end)}
 
 
-def _pack(contour, parts: list[dict]) -> Columns:
-    sizes = [len(p["idx"]) for p in parts]
-    spread = lambda name: np.repeat([p[name] for p in parts], sizes)
-    points = np.vstack([p["points"] for p in parts])
-    return {
-        "contour_id": contour, "segment": spread("segment"), "type": np.repeat(np.array([p["type"] for p in parts], dtype=object), sizes),
-        "idx": np.concatenate([p["idx"] for p in parts]), "x": points[:, 0], "y": points[:, 1], "error": spread("error"),
-    }
+def _like_lines(a: Piece, b: Piece, turn: float, worst: float) -> Piece | None:
+    """Two chords that point the same way and whose joint line fits."""
+    chords = [p.points[-1] - p.points[0] for p in (a, b)]
+    if min(np.linalg.norm(c) for c in chords) <= 1e-8 or _angle(*chords) > turn:
+        return None
+    joint = a.with_next("line", 0.0)
+    joint.error = _pca_line(joint.points)[0]
+    return joint if joint.error <= worst else None
+
+
+def _like_arcs(a: Piece, b: Piece, shift: float, ratio: float, worst: float) -> Piece | None:
+    """Two arcs of nearly one circle that also fit one circle together."""
+    (_, ca, ra), (_, cb, rb) = (_least_squares_circle(p.points) for p in (a, b))
+    if np.linalg.norm(ca - cb) > shift or abs(ra - rb) / max(ra, rb, 1e-9) > ratio:
+        return None
+    joint = a.with_next("arc", 0.0)
+    joint.error = _least_squares_circle(joint.points)[0]
+    return joint if joint.error <= worst else None
+
+
+# Largest turn (degrees), circle shift and radius ratio, and error of a merged pair.
+ADJACENT = {
+    "line": lambda a, b: _like_lines(a, b, 5.0, 3.0),
+    "arc": lambda a, b: _like_arcs(a, b, 4.0, 0.05, 3.0),
+    "spline": lambda a, b: a.with_next("spline", 0.0),
+}
 
 
 def merge_adjacent(segments: DataFrame, spans: Spans | None = None) -> DataFrame:
@@ -389,36 +489,67 @@ def merge_adjacent(segments: DataFrame, spans: Spans | None = None) -> DataFrame
     """
     spans = ensure_spans(segments, SEGMENT, "idx", spans)
 
-    def fuse(a: dict, b: dict) -> dict | None:
-        if len(a["points"]) < 2 or len(b["points"]) < 2 or a["type"] != b["type"]:
-            return None
-        both = np.vstack([a["points"], b["points"][1:]])
-        if a["type"] == "line":
-            va, vb = a["points"][-1] - a["points"][0], b["points"][-1] - b["points"][0]
-            if min(np.linalg.norm(va), np.linalg.norm(vb)) <= 1e-8 or _angle(va, vb) > 5.0:
-                return None
-            error = _pca_line(both)[0]
-            return _joined(a, b, "line", error) if error <= 3.0 else None
-        if a["type"] == "arc":
-            _, ca, ra = _least_squares_circle(a["points"])
-            _, cb, rb = _least_squares_circle(b["points"])
-            if np.linalg.norm(ca - cb) > 4.0 or abs(ra - rb) / max(ra, rb, 1e-9) > 0.05:
-                return None
-            error = _least_squares_circle(both)[0]
-            return _joined(a, b, "arc", error) if error <= 3.0 else None
-        return _joined(a, b, "spline", 0.0) if a["type"] == "spline" else None
-
     def one_pass(group: Columns) -> Columns:
-        parts, out, i = _unpack(group), [], 0
-        while i < len(parts):
-            merged = fuse(parts[i], parts[i + 1]) if i + 1 < len(parts) else None
-            out.append(merged or parts[i])
-            i += 2 if merged else 1
-        return _pack(group["contour_id"][0], out)
+        chain = Chain(group)
+        piece = chain.head
+        while piece is not None and piece.after is not None:
+            right = piece.after
+            like = piece.kind == right.kind and min(len(piece.points), len(right.points)) >= 2
+            made = ADJACENT[piece.kind](piece, right) if like and piece.kind in ADJACENT else None
+            piece = (chain.put(piece, made) if made else piece).after
+        return chain.columns()
 
     return fold_groups(_runs(segments, 3.0, True, spans), [*KEY, "run"], ["segment", "idx"], one_pass, OUT)
 
 
+@dataclass(frozen=True)
+class MergeRule:
+    """When two neighbours become one, and what they become.
+
+    Fixed rule: equal lines within a turn and equal arcs within a reach may
+    merge when the error grows by ``slack`` at most; a line and another kind
+    become a line when that fits within 1; all other pairs keep the first kind
+    and the worse error.
+    """
+
+    angle: float
+    reach: float
+    slack: float
+
+    def __call__(self, a: Piece) -> Piece | None:
+        b = a.after
+        if min(len(a.points), len(b.points)) < 2 or np.linalg.norm(a.points[-1] - b.points[0]) > self.reach:
+            return None
+        kinds, limit = {a.kind, b.kind}, max(a.error, b.error)
+        if kinds == {"line"}:
+            return self._lines(a, b, limit * self.slack)
+        if kinds == {"arc"}:
+            return self._arcs(a, b, limit * self.slack)
+        if "line" in kinds:
+            joint = a.with_next("line", 0.0)
+            model = _line_of(joint.points)
+            if model["error"] < 1.0:
+                return replace(joint, **model)
+        return a.with_next(a.kind, limit)
+
+    def _lines(self, a: Piece, b: Piece, limit: float) -> Piece | None:
+        joint = a.with_next("line", 0.0)
+        # A line never fitted lends the outer ends of the pair.
+        outer = (joint.points[0], joint.points[-1])
+        (a0, a1), (b0, b1) = a.axis or outer, b.axis or outer
+        model = _line_of(joint.points)
+        return replace(joint, **model) if _angle(a1 - a0, b1 - b0) <= self.angle and model["error"] <= limit else None
+
+    def _arcs(self, a: Piece, b: Piece, limit: float) -> Piece | None:
+        (ca, ra), (cb, rb) = (p.circle or _least_squares_circle(p.points)[1:] for p in (a, b))
+        if np.linalg.norm(ca - cb) >= 2 * self.reach or abs(ra - rb) >= self.reach:
+            return None
+        centre, radius = (ca + cb) / 2, (ra + rb) / 2
+        joint = a.with_next("arc", 0.0, circle=(centre, radius))
+        joint.error = float(np.abs(np.linalg.norm(joint.points - centre, axis=1) - radius).max())
+        return joint if joint.error <= limit else None
+
+
 def merge_greedy(
     segments: DataFrame, cap: int | None = None, angle: float = 15.0, reach: float = 5.0, min_length: float = 20.0,
     slack: float = 1.5, spans: Spans | None = None,
@@ -430,92 +561,42 @@ def merge_greedy(
     outlines that still exceed ``cap`` are gathered once more and forced down.
     """
     spans = ensure_spans(segments, SEGMENT, "idx", spans)
-
-    def ends(part: dict, key: str, default: np.ndarray) -> np.ndarray:
-        return part.get(key, default)
-
-    def fuse(a: dict, b: dict) -> dict | None:
-        pa, pb = a["points"], b["points"]
-        if len(pa) < 2 or len(pb) < 2 or np.linalg.norm(pa[-1] - pb[0]) > reach:
-            return None
-        both = np.vstack([pa, pb[1:]])
-        worst = max(a["error"], b["error"])
-        if a["type"] == b["type"] == "line":
-            va = ends(a, "end", both[-1]) - ends(a, "start", both[0])
-            vb = ends(b, "end", both[-1]) - ends(b, "start", both[0])
-            if _angle(va, vb) > angle:
-                return None
-            error, start, end = _pca_line(both)
-            return _joined(a, b, "line", error, start=start, end=end) if error <= worst * slack else None
-        if a["type"] == b["type"] == "arc":
-            ca, ra = a.get("centre"), a.get("radius")
-            cb, rb = b.get("centre"), b.get("radius")
-            if ca is None:
-                _, ca, ra = _least_squares_circle(pa)
-            if cb is None:
-                _, cb, rb = _least_squares_circle(pb)
-            if np.linalg.norm(ca - cb) >= 2 * reach or abs(ra - rb) >= reach:
-                return None
-            centre, radius = (ca + cb) / 2, (ra + rb) / 2
-            error = float(np.abs(np.linalg.norm(both - centre, axis=1) - radius).max())
-            return _joined(a, b, "arc", error, centre=centre, radius=radius) if error <= worst * slack else None
-        if a["type"] != b["type"] and "line" in (a["type"], b["type"]):
-            error, start, end = _pca_line(both)
-            if error < 1.0:
-                return _joined(a, b, "line", error, start=start, end=end)
-        return _joined(a, b, a["type"], worst)
-
-    def length(part: dict) -> float:
-        return float(np.linalg.norm(np.diff(part["points"], axis=0), axis=1).sum())
-
-    def short_first(parts: list[dict]) -> list[dict]:
-        out, i = [], 0
-        while i < len(parts):
-            if length(parts[i]) < min_length:
-                ahead = fuse(parts[i], parts[i + 1]) if i + 1 < len(parts) else None
-                if ahead is not None:
-                    out.append(ahead)
-                    i += 2
-                    continue
-                behind = fuse(out[-1], parts[i]) if out else None
-                if behind is not None:
-                    out[-1] = behind
-                    i += 1
-                    continue
-            out.append(parts[i])
-            i += 1
-        return out
-
-    def cheapest(parts: list[dict]) -> list[dict]:
-        options = [fuse(a, b) for a, b in zip(parts, parts[1:])]
-        while any(o is not None for o in options):
-            at = min((i for i, o in enumerate(options) if o is not None), key=lambda i: options[i]["error"])
-            parts[at : at + 2] = [options[at]]
-            # Only the two borders of the new segment change.
-            options[max(at - 1, 0) : at + 2] = [
-                fuse(parts[i], parts[i + 1]) for i in range(max(at - 1, 0), min(at + 1, len(parts) - 1))
-            ]
-        return parts
+    rule = MergeRule(angle, reach, slack)
 
     def run(group: Columns) -> Columns:
-        parts = _unpack(group)
-        return _pack(group["contour_id"][0], cheapest(short_first(parts)) if len(parts) > 1 else parts)
+        chain = Chain(group)
+        piece = chain.head
+        while piece is not None:
+            # A short piece goes to the one after it, else to the one before.
+            if piece.length < min_length:
+                for left in (piece, piece.before):
+                    made = rule(left) if left is not None and left.after is not None else None
+                    if made:
+                        piece = chain.put(left, made)
+                        break
+            piece = piece.after
+
+        def cheapest(left: Piece) -> tuple[float, Piece] | None:
+            made = rule(left)
+            return (made.error, made) if made else None
+
+        chain.merge_best(cheapest)
+        return chain.columns()
 
     merged = fold_groups(_runs(segments, reach, False, spans), [*KEY, "run"], ["segment", "idx"], run, OUT)
     if cap is None:
         return merged
 
     def force(group: Columns) -> Columns:
-        parts = _unpack(group)
-        while len(parts) > cap:
-            at = min(range(len(parts) - 1), key=lambda i: max(parts[i]["error"], parts[i + 1]["error"]))
-            a, b = parts[at], parts[at + 1]
-            parts[at : at + 2] = [fuse(a, b) or _joined(a, b, "spline", max(a["error"], b["error"]))]
-        return _pack(group["contour_id"][0], parts)
+        def any_pair(left: Piece) -> tuple[float, Piece]:
+            worse = max(left.error, left.after.error)
+            return worse, rule(left) or left.with_next("spline", worse)
+
+        chain = Chain(group)
+        chain.merge_best(any_pair, cap)
+        return chain.columns()
 
     counts = merged.groupBy(*KEY).agg(F.count_distinct("segment").alias("_parts"))
     sized = merged.join(counts, KEY)
     forced = fold_groups(sized.filter(F.col("_parts") > cap).drop("_parts"), KEY, ["segment", "idx"], force, OUT)
     return sized.filter(F.col("_parts") <= cap).drop("_parts").unionByName(forced)
-
-
