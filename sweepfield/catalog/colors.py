@@ -52,7 +52,7 @@ def _(t):
 @register("quantize_colors")
 def _(t):
     out = colors.quantize_colors(t.pixels())
-    return out.groupBy("cluster", "palette").agg(F.count(F.lit(1)).alias("pixels"))
+    return out.groupBy("image_id", "cluster", "palette").agg(F.count(F.lit(1)).alias("pixels"))
 
 
 # Clusters by brightness band stand in for a finished clustering.

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,72 +100,123 @@ def solid_material(pixels: DataFrame, materials: DataFrame, ranges=None) -> Data
     )
 
 
-def vote_clusters(costs: list[float], silhouettes: list[float], calinski: list[float], max_k: int, vote: str = "least") -> int:
-    """Number of clusters from three indicators.
+def vote_clusters(costs, silhouettes, ratios, max_k: int, vote: str = "least") -> int:
+    """Number of clusters from three indicators, each listed from one cluster on.
 
-    Elbow, silhouette and variance-ratio candidates are put to the vote. As it
-    stands the rule takes the least frequent one; ``vote="most"`` the opposite.
+    The bend of the cost curve, the silhouette and the variance ratio name one
+    number each. As it stands the rule takes the number named least often, the
+    smallest of several; ``vote="most"`` takes the one named most often.
     """
-    steps = [b - a for a, b in zip(costs, costs[1:])]
-    rates = [abs(b / a) if a else float("inf") for a, b in zip(steps, steps[1:])]
-    elbow = rates.index(min(rates)) + 1 if rates else 1
-    best = lambda scores: scores[1:].index(max(scores[1:])) + 1 if len(scores) > 1 else 1
-    candidates = [k for k in (elbow + 1, best(silhouettes) + 1, best(calinski) + 1) if 2 <= k <= max_k]
-    if not candidates:
-        return 2
-    pick = min if vote == "least" else max
-    return pick(sorted(set(candidates)), key=candidates.count)
-
-
-def quantize_colors(
-    pixels: DataFrame, max_k: int = 6, sample: int = 15_000, min_difference: float = 30.0, vote: str = "least", seed: int = 42,
-    border_white: float = 0.0,
-) -> DataFrame:
-    """Assign every pixel to one of ``k`` colour clusters of the table.
-
-    The number of clusters is chosen on a bounded sample, as the operator
-    defines it; the final clustering runs over all pixels. One more cluster is
-    used when two centres are close, or when a white border (``border_white``
-    share) merged into a near-white shape.
+    drops = np.diff(np.asarray(costs, float))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bends = np.nan_to_num(np.abs(drops[1:] / drops[:-1]), nan=np.inf, posinf=np.inf)
+    named = [2 + int(np.argmin(bends)) if len(bends) else 2]
+    named += [2 + int(np.argmax(scores[1:])) if len(scores) > 1 else 2 for scores in (silhouettes, ratios)]
+    votes = Counter(k for k in named if k <= max_k)
+    wanted = (min if vote == "least" else max)(votes.values(), default=0)
+    return min((k for k, n in votes.items() if n == wanted), default=2)
+
+
+def lab_of(rgb: np.ndarray) -> np.ndarray:
+    """CIE LAB under D65, on the scale of eight-bit images (lightness 0 to 255)."""
+    linear = np.where(rgb > 10.31475, ((rgb / 255 + 0.055) / 1.055) ** 2.4, rgb / 255 / 12.92)
+    # sRGB primaries and the white point.
+    xyz = linear @ np.array([[0.412453, 0.212671, 0.019334], [0.357580, 0.715160, 0.119193], [0.180423, 0.072169, 0.950227]]) / [0.950456, 1.0, 1.088754]
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    return np.stack([(116 * f[..., 1] - 16) * 2.55, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def _far_seeds(colors: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """The commonest colour, then always the colour farthest from those taken; the first of equals."""
+    taken = [int(np.argmax(weights))]
+    away = ((colors - colors[taken[0]]) ** 2).sum(axis=1)
+    while len(taken) < k:
+        taken.append(int(np.argmax(away)))
+        away = np.minimum(away, ((colors - colors[taken[-1]]) ** 2).sum(axis=1))
+    return colors[taken].astype(float)
+
+
+def weighted_clusters(colors: np.ndarray, weights: np.ndarray, k: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lloyd rounds over distinct colours: centres, label and squared distances of every colour to every centre."""
+    centres = _far_seeds(colors, weights, k)
+    label = None
+    for _ in range(rounds):
+        away = ((colors[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+        new = away.argmin(axis=1)
+        if label is not None and (new == label).all():
+            break
+        label = new
+        mass = np.bincount(label, weights, minlength=k)
+        for c in range(3):
+            sums = np.bincount(label, weights * colors[:, c], minlength=k)
+            centres[:, c] = np.where(mass > 0, sums / np.maximum(mass, 1), centres[:, c])
+    return centres, label, away
+
+
+def _palette(colors: np.ndarray, weights: np.ndarray, white_border: float, max_k: int, min_difference: float, vote: str):
+    """Cluster of every colour of one image, and the centres."""
+    total, most = weights.sum(), min(max_k, len(colors))
+    fits, costs, silhouettes, ratios = [], [], [], []
+    for k in range(1, most + 1):
+        centres, label, away = weighted_clusters(colors, weights, k)
+        own = away[np.arange(len(colors)), label]
+        other = np.where(np.arange(k) == label[:, None], np.inf, away).min(axis=1) if k > 1 else own
+        a, b = np.sqrt(own), np.sqrt(other)
+        fits.append((centres, label))
+        costs.append(float(weights @ own))
+        # Distances to centres stand for those to all members.
+        silhouettes.append(float(weights @ ((b - a) / np.maximum(np.maximum(a, b), 1e-12)) / total) if k > 1 else 0.0)
+        spread = (costs[0] - costs[-1]) / (k - 1) / (costs[-1] / (total - k)) if k > 1 and costs[-1] > 0 and total > k else 0.0
+        ratios.append(float(spread))
+    k = min(vote_clusters(costs, silhouettes, ratios, most, vote), most)
+    centres, label = fits[k - 1]
+    lab = lab_of(np.floor(centres))
+    gaps = np.sqrt(((lab[:, None] - lab[None]) ** 2).sum(axis=2))[np.triu_indices(k, 1)]
+    if k < most and (gaps < min_difference).any():
+        k += 1  # two centres look alike
+    # How near to white a centre is pure or merged, its share, and the border's share.
+    to_white = np.sqrt(((centres - 255.0) ** 2).sum(axis=1))
+    share = np.bincount(label, weights, minlength=len(centres)) / total
+    hidden = ((to_white > 18) & (to_white <= 85) & (share >= 0.08)).any() and not (to_white <= 18).any()
+    if k < most and white_border >= 0.06 and hidden:
+        k += 1  # a white border has merged into a light shape
+    return fits[k - 1]
+
+
+def quantize_colors(pixels: DataFrame, max_k: int = 6, min_difference: float = 30.0, vote: str = "least") -> DataFrame:
+    """Assign every pixel to a colour cluster of its own image: adds ``cluster`` and ``palette``.
+
+    Each image's pixels are first counted by colour, so what a task holds of an
+    image is its distinct colours, 2^24 at most whatever its size. All of them
+    are clustered; the number of clusters follows from three indicators, more
+    by one when two centres look alike, and by one when a white border (within
+    24 of white, on a strip of 1/80 of the shorter side) hides in a light shape.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    features = pixels.select("*", array_to_vector(F.array(*[F.col(c).cast("double") for c in "rgb"])).alias("features"))
-    total = features.count()
-    share = min(1.0, 1.2 * sample / max(total, 1))
-    tried_rgb = features.sample(share, seed).limit(sample).cache()
-    tried = tried_rgb.select("features")
-    size = tried_rgb.count()
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    # One cluster costs the total variance.
-    single = tried_rgb.agg(sum((F.var_pop(c) for c in "rgb"), F.lit(0.0))).first()[0] * size
-    costs, silhouettes, calinski, models = [single], [0.0], [0.0], [None]
-    for k in range(2, max_k + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="features").fit(tried)
-        models.append(model)
-        costs.append(model.summary.trainingCost)
-        used = sum(1 for n in model.summary.clusterSizes if n > 0)
-        silhouettes.append(judge.evaluate(model.transform(tried)) if used > 1 else 0.0)
-        within, between = costs[-1], single - costs[-1]
-        calinski.append(between / (used - 1) / (within / (size - used)) if used > 1 and within > 0 and size > used else 0.0)
-    k = vote_clusters(costs, silhouettes, calinski, max_k, vote)
-    trial = models[k - 1]
-    centres = [[int(v) for v in c] for c in trial.clusterCenters()]
-    away = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
-    if k < max_k and any(away(a, b) < min_difference for i, a in enumerate(centres) for b in centres[i + 1 :]):
-        k += 1
-    white = [away(c, (255, 255, 255)) for c in trial.clusterCenters()]
-    part = [n / max(1, size) for n in trial.summary.clusterSizes]
-    merged = any(18.0 < d <= 85.0 and p >= 0.08 for d, p in zip(white, part))
-    if k < max_k and border_white >= 0.06 and merged and not any(d <= 18.0 for d in white):
-        k += 1
-    tried_rgb.unpersist()
-    final = KMeans(k=k, seed=seed, featuresCol="features").fit(features)
-    palette = F.array(*[F.array(*[F.lit(int(v)) for v in c]) for c in final.clusterCenters()])
-    named = final.transform(features).select(*pixels.columns, F.col("prediction").alias("cluster"))
-    return named.select("*", F.get(palette, "cluster").alias("palette"))
+    c = F.col
+    extent = pixels.groupBy(*IMAGE).agg(*[f(n).alias(f"_{f.__name__}_{n}") for n in ("px", "py") for f in (F.min, F.max)])
+    short = F.least(c("_max_px") - c("_min_px"), c("_max_py") - c("_min_py")) + 1
+    strip = F.greatest(F.lit(2), F.floor(short / 80))
+    placed = pixels.join(broadcast_if_small(extent), IMAGE)
+    # Corner pixels belong to two sides and count twice.
+    sides = reduce(lambda x, y: x + y, [
+        F.when(near, 1).otherwise(0) for n in ("px", "py") for near in (c(n) < c(f"_min_{n}") + strip, c(n) > c(f"_max_{n}") - strip)])
+    counts = placed.groupBy(*IMAGE, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(sides).alias("edge"))
+
+    def cluster(image: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(n, "ascending") for n in "rgb"])
+        colors = np.column_stack([table.column(n).to_numpy() for n in "rgb"]).astype(float)
+        weights, edge = (table.column(n).to_numpy().astype(float) for n in ("n", "edge"))
+        white = np.sqrt(((colors - 255.0) ** 2).sum(axis=1)) <= 24.0
+        centres, label = _palette(colors, weights, float(edge[white].sum() / max(edge.sum(), 1.0)), max_k, min_difference, vote)
+        palette = np.floor(centres).astype(int)
+        return pa.table({
+            "image_id": table.column("image_id"), **{n: table.column(n) for n in "rgb"}, "cluster": pa.array(label, pa.int32()),
+            "palette": pa.array([palette[k].tolist() for k in label], pa.list_(pa.int32()))})
+
+    fields = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    schema = ", ".join(f"{n} {fields[n]}" for n in ("image_id", "r", "g", "b")) + ", cluster int, palette array<int>"
+    named = counts.groupBy(*IMAGE).applyInArrow(cluster, schema)
+    return pixels.join(named, [*IMAGE, "r", "g", "b"]).select(*pixels.columns, "cluster", "palette")
 
 
 def cluster_stats(pixels: DataFrame, backgrounds: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small inputs with known answers."""
 
+import numpy as np
 import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
@@ -105,6 +106,20 @@ def test_cluster_vote():
     assert colors.vote_clusters([100, 40, 30, 28], [0, 0.9, 0.5, 0.4], [0, 5, 4, 3], 4, "most") == 2
 
 
+def test_each_image_has_its_own_palette(spark):
+    def image(i, blocks):
+        return [(i, x, y, *blocks[(x // 10) % len(blocks)]) for x in range(40) for y in range(12)]
+
+    rows = image(1, [(250, 10, 10), (10, 10, 250)]) + image(2, [(0, 0, 0), (128, 128, 128), (255, 255, 255), (0, 200, 0)]) + image(3, [(7, 7, 7)])
+    df = spark.createDataFrame(rows, "image_id long, px long, py long, r int, g int, b int")
+    out = colors.quantize_colors(df).collect()
+    assert len(out) == len(rows)
+    seen = lambda i: {tuple(r.palette) for r in out if r.image_id == i}
+    assert seen(1) == {(250, 10, 10), (10, 10, 250)} and seen(3) == {(7, 7, 7)}
+    assert 2 <= len(seen(2)) <= 4 and all(len({r.cluster for r in out if r.image_id == 2 and (r.r, r.g, r.b) == c}) == 1 for c in [(0, 0, 0), (0, 200, 0)])
+    assert abs(colors.lab_of(np.array([255.0, 255.0, 255.0]))[0] - 255) < 0.5
+
+
 def test_next_iteration_empty(spark):
     runs = spark.createDataFrame([(1,), (2,), (3,)], "run_id long")
     log = spark.createDataFrame([(1, "4"), (1, "x"), (2, "x")], "run_id long, iteration string")
