@@ -23,17 +23,27 @@ def lines(t):
     rows = t.table("events").select(
         c("user_id").alias("design_id"), "event_id", "ts", ((micros - 1704067200000000) / 3600000000.0).alias("freq"), (-c("value")).alias("value")
     )
-    literal = F.concat(F.lit("[("), f, F.lit(", ("), level, F.lit("-0.00j), 50.0)]"))
-    return rows.select(
-        c("design_id").cast("string").alias("path"), F.lit(0).alias("block"), c("event_id").alias("line_no"),
-        F.when(k == 0, literal).when(k == 1, F.concat(f, F.lit(";"), v)).otherwise(F.concat(F.lit("f="), f, F.lit(" GHz, level "), v, F.lit(" dB"))).alias("value"),
-    )
+    # A literal list stands over many lines, each tuple over two.
+    tuple_lines = F.array(F.concat(F.lit("("), f, F.lit(",")), F.concat(F.lit("  ("), level, F.lit("-0.00j), 50.0),")))
+    marked = rows.select(
+        c("design_id").alias("design"), c("event_id").alias("line_no"),
+        F.explode(F.when(k == 0, tuple_lines).when(k == 1, F.array(F.concat(f, F.lit(";"), v))).otherwise(
+            F.array(F.concat(F.lit("f="), f, F.lit(" GHz, level "), v, F.lit(" dB"))))).alias("value"))
+    ends = rows.select("design_id").distinct().filter(k == 0).select(
+        c("design_id").alias("design"), F.inline(F.array(
+            F.struct(F.lit(-1).cast("long").alias("line_no"), F.lit("[").alias("value")),
+            F.struct(F.lit(2**62).alias("line_no"), F.lit("]").alias("value")))))
+    return marked.unionByName(ends)
 
 
 @register("read_sweeps", """SELECT user_id::VARCHAR AS path, ((epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE)::DECIMAL(18, 6)::DOUBLE AS freq,
     CASE WHEN user_id % 3 = 0 THEN round(20 * log10((event_id % 90 + 10) / 100.0::DOUBLE), 3) ELSE -value END AS value FROM events""")
 def _(t):
-    out = sweeps.parse_sweep_lines(lines(t))
+    # One file per design in the shared folder, read back as any export is.
+    folder = f"{shared_folder(t.spark)}/sweeps-{uuid.uuid4().hex}"
+    rows = lines(t).repartition("design").sortWithinPartitions("design", "line_no", F.desc("value"))
+    rows.select("design", "value").write.partitionBy("design").text(folder)
+    out = sweeps.read_sweeps(t.spark, folder).withColumn("path", F.regexp_extract("path", "design=([0-9]+)", 1))
     return out.select("path", rounded(F.col("freq")).alias("freq"), rounded(F.col("value"), 3).alias("value"))
 
 

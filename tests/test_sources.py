@@ -20,6 +20,9 @@ FILES = {
     "tabs.csv": "f\tdb\n1\t-2\n3\t-4.5\n",
     "prose.txt": "# export\nat 8.5 GHz level -12.25 dB\nonly 7\n9e0 and -1e1 and 5\n",
     "late.txt": "first line\n[(1.0, 2.0)]\n",
+    "spread.txt": "[\n(1.0,\n(0.5+0j), 50.0),\n(2.0,\n(0.25 + 0j), 50.0)\n]\n",
+    "broken.txt": "[(1.0, 2.0),\n3,4\n",
+    "odd.txt": "[(1, (2, 3)), ('a', 2), (5,), [6, -7, 0], (8, None), (9, .5j)]",
 }
 
 
@@ -35,6 +38,9 @@ def test_read_sweeps(spark, tmp_path):
     assert got["tabs.csv"] == [(1.0, -2.0), (3.0, -4.5)]
     assert got["prose.txt"] == [(8.5, -12.25), (9.0, -10.0)]
     assert got["late.txt"] == [(1.0, 2.0)]
+    assert got["spread.txt"] == [(1.0, pytest.approx(-6.0206)), (2.0, pytest.approx(-12.0412))]
+    assert got["broken.txt"] == [(3.0, 4.0)]  # no literal without its bracket
+    assert got["odd.txt"] == [(6.0, -7.0), (9.0, pytest.approx(-6.0206))]
 
 
 def test_latest_file(spark, tmp_path):
