@@ -175,15 +175,17 @@ def _(t):
 
 @register("append_trials", """SELECT run_id, min(objective) AS best, arg_min(trial_id, (objective, trial_id)) AS best_evaluation, count(*) AS trials, count(*) FILTER (status = 'failed') AS failed FROM trials GROUP BY run_id""")
 def _(t):
-    stream = t.spark.readStream.schema(t.table("orders").schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "orders.parquet").parquet(t.sf_dir)
+    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    # The table arrives as six files, one per micro-batch; every second batch is compacted.
+    t.table("orders").repartition(6).write.parquet(f"{folder}/arriving")
+    stream = t.spark.readStream.schema(t.table("orders").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
     log = stream.select(
         F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("evaluation"), (F.col("o_totalprice") / F.lit(1e5)).alias("objective"),
         F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"),
     )
-    folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     streaming.append_trials(log, f"{folder}/log", f"{folder}/log-state").awaitTermination()
-    appended = t.spark.readStream.schema(log.schema).parquet(f"{folder}/log")
-    streaming.refresh_best(appended, f"{folder}/best", f"{folder}/best-state").awaitTermination()
+    appended = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    streaming.refresh_best(appended, f"{folder}/best", f"{folder}/best-state", compact_every=2).awaitTermination()
     return streaming.read_best(t.spark, f"{folder}/best")
 
 

@@ -268,6 +268,7 @@ def cluster_roles(stats: DataFrame, min_figure: float = 0.01, white_limit: float
     c = F.col
     part = lambda value, limit: F.least(F.lit(1.0), value / limit)
     black, white, bg = c("dist_black"), c("dist_white"), c("dist_bg")
+    # The weights and limits of the four scores.
     scored = stats.select(
         "*",
         (0.62 * (1.0 - part(white, 160.0)) + 0.26 * c("border_ratio") + 0.12 * (1.0 - part(c("area_ratio"), 0.9))).alias("padding_score"),

@@ -611,6 +611,7 @@ def curve_geometry_score(features: DataFrame) -> DataFrame:
     image_perimeter, image_area``.
     """
     c = F.col
+    # The weights of the four rules.
     fit = F.when(c("fits"), 0.4 * c("fit_quality")).otherwise(0.1 * (1.0 - c("fit_quality")))
     length = F.least(F.lit(1.0), F.try_divide("length", "image_perimeter") * 10.0)
     size = F.when(

@@ -58,6 +58,7 @@ def port_zones(boxes: DataFrame) -> DataFrame:
     # Which border the boxes grow from.
     border = F.when(F.col("side").isNull(), F.when(flat, "low_x").otherwise("low_y")).when(
         F.col("side") == "left", "low_x").when(F.col("side") == "right", "high_x").when(F.col("side") == "top", "low_y").otherwise("high_y")
+    # Depth of the port zone, and of the feed zone behind it.
     mx, my = 0.08 * width, 0.08 * height
     box = lambda a, b, c, d: F.array(a, b, c, d)
     core = (
@@ -90,6 +91,7 @@ def primitive_role(rows: DataFrame, zones: DataFrame) -> DataFrame:
     length = F.hypot(dx, dy)
     diagonal = F.greatest(F.lit(1e-9), F.hypot(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))
     straight = (length > 0.20 * diagonal) & ((dx < 0.15 * length) | (dy < 0.15 * length))
+    # Role names and their order.
     role = (
         F.when(_in_box(F.col("cx"), F.col("cy"), "core"), "PORT").when(_in_box(F.col("cx"), F.col("cy"), "near"), "FEEDLINE")
         .when(F.col("type") == "BSPLINE", "RESONANT_SLOT").when((F.col("type") == "LINE") & straight, "FEEDLINE").otherwise("STRUCTURAL")
@@ -98,6 +100,7 @@ def primitive_role(rows: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def optimization_mode(kind: Column, role: Column) -> Column:
+    """How a primitive may move. The mode names."""
     return (
         F.when(role == "PORT", "FROZEN").when(role == "FEEDLINE", "FEED_DIRECTION_ONLY")
         .when(kind == "LINE", "RIGID_LINE_OFFSET").when(kind == "BSPLINE", "SMOOTH_DEFORM")
@@ -259,6 +262,7 @@ def feed_rules_score(df: DataFrame) -> DataFrame:
     num = lambda name, default=0.0: F.coalesce(F.when(F.col(name) != 0, F.col(name)), F.lit(default))
     mean, deviation, low, high = num("mean_width"), num("width_std"), num("min_width"), num("max_width")
     aspect, bend, length = num("feed_aspect_ratio"), num("branch_tortuosity", 99.0), num("branch_length")
+    # Rule names, limits and points.
     scores = {
         "width_stability": F.when(deviation / F.greatest(mean, F.lit(1e-6)) < 0.35, 2.0).otherwise(-2.0),
         "width_range": F.when(high / F.greatest(low, F.lit(1e-6)) < 2.0, 1.5).otherwise(-1.5),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+COMPACT_EVERY = 32
+
 
 def append_trials(stream: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None):
     """Append every new trial to a Parquet log, exactly once."""
@@ -27,15 +30,19 @@ def running_best(stream: DataFrame) -> DataFrame:
     ).select("run_id", F.col("_best.objective").alias("best"), F.col("_best.evaluation").alias("best_evaluation"), "trials", "failed")
 
 
-def refresh_best(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+def refresh_best(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_every: int = COMPACT_EVERY):
     """Write the changed runs of each micro-batch under its batch number.
 
     A repeated batch overwrites its own folder, so a restart changes nothing.
-    ``read_best`` takes the latest row of each run.
+    Every ``compact_every`` batches the best of all runs is written whole, so
+    ``read_best`` reads one whole table and a few batches of changes however
+    long the stream has run.
     """
 
     def save(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+        if (batch + 1) % compact_every == 0:
+            read_best(rows.sparkSession, path).write.mode("overwrite").parquet(f"{path}/whole/batch={batch}")
 
     return (
         running_best(stream).writeStream.outputMode("update").foreachBatch(save)
@@ -44,7 +51,14 @@ def refresh_best(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 
 def read_best(spark, path: str) -> DataFrame:
-    """Current best of every run from the refreshed batches."""
-    rows = spark.read.parquet(path)
+    """Current best of every run: the last whole table and the changes after it."""
+    rows = spark.read.parquet(f"{path}/changes")
+    try:
+        whole = spark.read.parquet(f"{path}/whole")
+    except AnalysisException:  # none written yet
+        whole = None
+    if whole is not None:
+        last = whole.agg(F.max("batch")).first()[0]
+        rows = rows.filter(F.col("batch") > last).unionByName(whole.filter(F.col("batch") == last))
     rest = F.struct(*[c for c in rows.columns if c not in ("run_id", "batch")])
     return rows.groupBy("run_id").agg(F.max_by(rest, "batch").alias("r")).select("run_id", "r.*")
