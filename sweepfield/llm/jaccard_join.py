@@ -14,7 +14,8 @@ set that keeps its margin without its hot signatures has met every partner
 elsewhere; only pairs of sets that both lack that margin are looked at again,
 and only where the first links have left them in different components.
 
-Equal sets are one node from the start. Every link is verified on the whole
+Equal sets are one node from the start. A candidate pair is first bounded from
+above by small histograms of the two sets; what passes is verified on the whole
 shingle sets, so the result is exact up to 64-bit hashes of shingles and sets.
 """
 
@@ -169,8 +170,32 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, similarity: int = SIMILAR
     return np.concatenate(rows), np.concatenate(found), margin
 
 
+def histograms(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """How many shingles of each set fall into each of a power of two of buckets, about four in a bucket.
+
+    Sets that share n shingles share at least n when buckets are compared, so
+    the sum of the smaller counts bounds the intersection from above. A set
+    with a count beyond one byte has no histogram and passes every bound.
+    """
+    out, ends = [], np.cumsum(counts)
+    for end, n in zip(ends.tolist(), counts.tolist()):
+        buckets = 1 << max(0, (n // 4).bit_length())
+        seen = np.bincount((hashes[end - n:end] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        out.append(seen.astype(np.uint8).tobytes() if n and seen.max() < 256 else b"")
+    return out
+
+
+def most_shared(a: bytes, b: bytes) -> float:
+    """Upper bound of the shingles that two sets share, from their histograms."""
+    if not a or not b:
+        return math.inf
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    width = min(len(x), len(y))  # the longer one folds onto the shorter
+    return int(np.minimum(x.reshape(-1, width).sum(axis=0), y.reshape(-1, width).sum(axis=0)).sum())
+
+
 def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, fp, n_shingles, node, margin)``, one row per input row; node is null for an empty set."""
+    """``(id, fp, n_shingles, node, margin, sketch)``, one row per input row; node is null for an empty set."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("fp"), text.alias("t"))
 
@@ -180,10 +205,11 @@ def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             node = pa.array(node_of(hashes, counts).view(np.int64), mask=counts == 0)
             _, _, margin = signatures(hashes, counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), node, pa.array(margin, pa.int64())],
-                names=["id", "fp", "n_shingles", "node", "margin"])
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), node, pa.array(margin, pa.int64()),
+                 pa.array(histograms(hashes, counts), pa.binary())],
+                names=["id", "fp", "n_shingles", "node", "margin", "sketch"])
 
-    return rows.mapInArrow(run, "id long, fp long, n_shingles long, node long, margin long")
+    return rows.mapInArrow(run, "id long, fp long, n_shingles long, node long, margin long, sketch binary")
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -347,15 +373,17 @@ def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "node long, hashes binary")
 
 
-def verified(docs: DataFrame, text_col: str, pairs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def verified(docs: DataFrame, text_col: str, pairs: DataFrame, nodes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the similarity.
 
-    Only sets that occur in a pair are moved. Each pair carries one set to the
-    other, so a task holds a batch of pairs at a time.
+    Only texts of sets that occur in a pair are read into sets and moved. Each
+    pair carries one set to the other, so a task holds a batch of pairs at a time.
     """
-    needed = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    needed = broadcast_if_counted(written(needed, "nodes"))
-    sets = shingle_sets(docs, text_col).join(needed, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = broadcast_if_counted(written(needed.join(nodes, "node").select("node", "fp"), "nodes"))
+    own = docs.select(text_of(text_col).alias("t"))
+    own = own.join(texts.select("fp"), F.xxhash64("t") == F.col("fp"), "left_semi")
+    sets = shingle_sets(own, "t").join(texts.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(
         F.first("hashes").alias("hashes"))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("s")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("t")), "b").select("a", "b", "s", "t")
@@ -372,12 +400,22 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, similarity: int =
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _sized(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("_x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("_y"))
-    close = 100 * F.least("_x", "_y") >= similarity * F.greatest("_x", "_y")
-    return pairs.join(left, "a").join(right, "b").filter(close).select("a", "b")
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs whose sizes and histograms allow the similarity."""
+    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("x"), F.col("sketch").alias("s"))
+    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("y"), F.col("sketch").alias("t"))
+    close = 100 * F.least("x", "y") >= similarity * F.greatest("x", "y")
+    both = pairs.join(left, "a").join(right, "b").filter(close).select("a", "b", "x", "y", "s", "t")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = np.array([most_shared(s.as_py(), t.as_py()) for s, t in zip(batch.column(4), batch.column(5))])
+            # shared / (sizes - shared) >= similarity, with the bound in place of shared
+            may = pa.array((100 + similarity) * most >= similarity * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(may), batch.column(1).filter(may)], names=["a", "b"])
+
+    return both.mapInArrow(bound, "a long, b long")
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -386,13 +424,13 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified edges between nodes and the label of every node that has one; ``nodes(node, size, margin)``."""
+    """Verified edges between nodes and the label of every node that has one; ``nodes(node, size, margin, fp, sketch)``."""
     total = nodes.agg(F.sum("size")).first()[0] or 0
     bits = min(14, max(2, math.ceil(math.log2(max(1, 0.7 * total / SHARD_SIGNATURES)))))
     found = written(candidates(docs, text_col, bits), "candidates")
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = written(_sized(pair(found.filter(F.col("kind") == PAIR)), nodes, similarity), "pairs")
-    edges = written(verified(docs, text_col, tried, similarity), "edges")
+    tried = written(_possible(pair(found.filter(F.col("kind") == PAIR)), nodes, similarity), "pairs")
+    edges = written(verified(docs, text_col, tried, nodes, similarity), "edges")
     labels = _components(edges)
     # Sets that lost their margin to hot signatures meet there once more.
     hot = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
@@ -416,10 +454,10 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int
             other = rest_now.select("sig", F.col("node").alias("b"), F.col("label").alias("_other"))
             met = rest_now.join(other, "sig").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("_other"))).select(
                 F.col("node").alias("a"), "b")
-        fresh = written(_sized(pair(met), nodes, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+        fresh = written(_possible(pair(met), nodes, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             continue
-        more = written(verified(docs, text_col, fresh, similarity), "edges")
+        more = written(verified(docs, text_col, fresh, nodes, similarity), "edges")
         tried = tried.union(fresh)
         if not more.isEmpty():
             edges = edges.union(more)
@@ -435,7 +473,7 @@ def components_of(docs: DataFrame, id_col: str, text_col: str, similarity: int =
     """
     who = written(members(docs, id_col, text_col), "members")
     nodes = written(who.filter("node IS NOT NULL").groupBy("node").agg(
-        F.first("n_shingles").alias("size"), F.first("margin").alias("margin")), "sets")
+        F.first("n_shingles").alias("size"), F.first("margin").alias("margin"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch")), "sets")
     edges, labels = link_nodes(docs, nodes, text_col, similarity)
     ends = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     linked = written(labels.join(ends, "node", "left").select("node", "label", "links"), "labels")
