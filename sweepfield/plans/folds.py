@@ -35,7 +35,7 @@ def fold_groups(
         })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        rest: list[pd.DataFrame] = []  # batches of the group that may go on
 
         def folded(frame: pd.DataFrame, borders: np.ndarray) -> pd.DataFrame | None:
             columns = {name: frame[name].to_numpy() for name in names}
@@ -46,23 +46,27 @@ def fold_groups(
                     found.append(part)
             return emit(found) if found else None
 
+        def differs(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+            out = np.zeros(len(b), dtype=bool)
+            for key in keys:
+                out |= a[key].to_numpy() != b[key].to_numpy()
+            return out
+
         for batch in batches:
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
             if not len(batch):
                 continue
-            changed = np.zeros(len(batch), dtype=bool)
-            for key in keys:
-                values = batch[key].to_numpy()
-                changed[1:] |= values[1:] != values[:-1]
-            borders = np.concatenate([[0], np.flatnonzero(changed), [len(batch)]])
-            # The last group may go on in the next batch.
-            rest = batch.iloc[borders[-2] :]
+            if rest and not differs(rest[-1].iloc[-1:], batch.iloc[:1])[0] and not differs(batch.iloc[-1:], batch.iloc[:1])[0]:
+                rest.append(batch)  # all one group: joined once, when it ends
+                continue
+            batch = pd.concat([*rest, batch], ignore_index=True)
+            borders = np.concatenate([[0], 1 + np.flatnonzero(differs(batch.iloc[:-1], batch.iloc[1:])), [len(batch)]])
+            rest = [batch.iloc[borders[-2] :]]
             out = folded(batch, borders[:-1]) if len(borders) > 2 else None
             if out is not None:
                 yield out
-        if rest is not None and len(rest):
-            out = folded(rest.reset_index(drop=True), np.array([0, len(rest)]))
+        if rest:
+            whole = pd.concat(rest, ignore_index=True)
+            out = folded(whole, np.array([0, len(whole)]))
             if out is not None:
                 yield out
 
