@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweepfield.llm.common import broadcast_if_counted, same, slices, text_of, written
@@ -35,10 +35,11 @@ from sweepfield.plans.components import connected_components
 
 GRAM, SIMILARITY = 5, 80  # words in a shingle; similarity in hundredths
 # Partitions per shingle of the band's largest set, and the ratio of a band's ends.
-PARTITIONS, BAND = 0.33, 1.5
+PARTITIONS, BAND = 0.6, 1.5
 # Sets that share a signature are paired with each other up to this many.
 HOT = 16
 SHARD_SIGNATURES = 2_000_000
+SLICE_BYTES = 1_500_000  # text turned into shingles at once; the arrays take some fifty times as much
 ROUNDS = 3  # star rounds over hot signatures before the rest is paired
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -200,7 +201,7 @@ def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("fp"), text.alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 2)):
+        for batch in (part for whole in batches for part in slices(whole, 2, SLICE_BYTES)):
             hashes, counts = shingles(batch.column(2))
             node = pa.array(node_of(hashes, counts).view(np.int64), mask=counts == 0)
             _, _, margin = signatures(hashes, counts)
@@ -255,7 +256,7 @@ def candidates(docs: DataFrame, text_col: str, shard_bits: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, nodes, keys = np.zeros(0, np.uint64), [], []
-        for batch in (part for whole in batches for part in slices(whole, 0)):
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
             hashes, counts = shingles(batch.column(0))
             node = node_of(hashes, counts)
             fresh = np.zeros(len(counts), bool)
@@ -358,7 +359,7 @@ def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.uint64)
-        for batch in (part for whole in batches for part in slices(whole, 0)):
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
             hashes, counts = shingles(batch.column(0))
             node = node_of(hashes, counts)
             fresh = np.zeros(len(counts), bool)
@@ -423,10 +424,25 @@ def _components(edges: DataFrame) -> DataFrame:
     return connected_components(links.select(F.col("a").alias("node")).distinct(), links)
 
 
+def _relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further edges: only the labels that these edges touch are joined anew."""
+    own = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
+    ends = more.join(own, F.col("a") == F.col("n"), "left").select("b", F.coalesce("l", "a").alias("x")).join(
+        own, F.col("b") == F.col("n"), "left").select("x", F.coalesce("l", "b").alias("y")).filter("x <> y").distinct()
+    links = written(ends.union(ends.select("y", "x")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    tops = connected_components(links.select(F.col("a").alias("node")).distinct(), links).select(
+        F.col("node").alias("old"), F.col("label").alias("new"))
+    fresh = more.select("a").union(more.select("b")).distinct().join(own, F.col("a") == F.col("n"), "left_anti").select(
+        F.col("a").alias("node"), F.col("a").alias("label"))
+    known = labels.select("node", "label").unionByName(fresh)
+    return written(known.join(broadcast_if_counted(tops), F.col("label") == F.col("old"), "left").select(
+        "node", F.coalesce("new", "label").alias("label")), "relabelled")
+
+
 def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified edges between nodes and the label of every node that has one; ``nodes(node, size, margin, fp, sketch)``."""
     total = nodes.agg(F.sum("size")).first()[0] or 0
-    bits = min(14, max(2, math.ceil(math.log2(max(1, 0.7 * total / SHARD_SIGNATURES)))))
+    bits = min(14, max(2, math.ceil(math.log2(max(1, total / SHARD_SIGNATURES)))))
     found = written(candidates(docs, text_col, bits), "candidates")
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = written(_possible(pair(found.filter(F.col("kind") == PAIR)), nodes, similarity), "pairs")
@@ -435,10 +451,15 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int
     # Sets that lost their margin to hot signatures meet there once more.
     hot = found.filter(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
     lost = hot.groupBy("node").agg(F.count(F.lit(1)).alias("lost"))
-    unsafe = lost.join(nodes, "node").filter("lost > margin").select("node")
-    rest = written(hot.join(unsafe, "node"), "unsafe")
+    unsafe = lost.join(nodes, "node").filter("lost > margin").select(
+        "node", "size", (F.col("lost") - F.greatest("margin", F.lit(0))).alias("head"))
+    # A pair not met elsewhere agrees on hot signatures alone, on more than the
+    # margin of either set. So it shares one among the rarest ``head`` of both.
+    rare = Window.partitionBy("node").orderBy("n", "sig")
+    ranked = hot.join(unsafe, "node").join(hot.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig")
+    rest = written(ranked.withColumn("_rank", F.row_number().over(rare)).filter("_rank <= head").select("sig", "node", "size"), "unsafe")
     for turn in range(ROUNDS + 1):
-        own = rest.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+        own = rest.join(labels, "node", "left").select("sig", "node", "size", F.coalesce("label", "node").alias("label"))
         mixed = own.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h").select("sig")
         rest_now = written(own.join(mixed, "sig"), "open")
         if rest_now.isEmpty():
@@ -451,8 +472,9 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int
             met = rest_now.join(lead, "sig").filter(F.col("label") != F.col("m.label")).select(F.col("node").alias("a"), F.col("m.centre").alias("b"))
         else:
             # What is still apart is paired in full.
-            other = rest_now.select("sig", F.col("node").alias("b"), F.col("label").alias("_other"))
-            met = rest_now.join(other, "sig").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("_other"))).select(
+            other = rest_now.select("sig", F.col("node").alias("b"), F.col("label").alias("_other"), F.col("size").alias("_size"))
+            near = 100 * F.least("size", "_size") >= similarity * F.greatest("size", "_size")
+            met = rest_now.join(other, "sig").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("_other")) & near).select(
                 F.col("node").alias("a"), "b")
         fresh = written(_possible(pair(met), nodes, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
@@ -461,7 +483,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int
         tried = tried.union(fresh)
         if not more.isEmpty():
             edges = edges.union(more)
-            labels = _components(edges)
+            labels = _relabelled(labels, more)
     return edges, labels
 
 
