@@ -33,6 +33,7 @@ SPACE = "▁"  # how the vocabulary writes a space
 DROPOUT, SEED, DRAWS = 0.1, 20, 16
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 FREE = 1 << 24  # symbols from here on are characters without a piece
+SLICE_BYTES = 4_000_000  # text encoded at once; its ids and tables take some thirty times as much
 NEVER = np.int32(2**31 - 1)
 
 
@@ -336,7 +337,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE_BYTES):
                 texts = part.column(2)
                 ids, counts = encode_texts(vocabulary, texts, part.column(1).to_numpy(zero_copy_only=False), seed, dropout, draws)
                 same = pc.equal(decode_ids(vocabulary, ids, counts), texts.cast(pa.large_string())) if verify else pa.nulls(len(counts), pa.bool_())
