@@ -18,7 +18,7 @@ TOXIC = 0.5
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents that score below ``TOXIC``. Labels of held-out documents are not learned from."""
-    model = toxicity.train(*toxicity.labelled_texts(docs, learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0)))
+    model = toxicity.fit_labelled(docs, learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0))
     scored = toxicity.score_toxicity(docs, model, score_col="_toxic")
     return scored.filter(F.col("_toxic") < TOXIC).select(*docs.columns)
 

@@ -91,7 +91,7 @@ def op10_toxicity(spark, sf_dir):
     from sweepfield.llm import toxicity
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(*toxicity.labelled_texts(docs, learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0)))
+    model = toxicity.fit_labelled(docs, learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0))
     return toxicity.score_toxicity(docs, model, keep=["doc_id"]).select(
         "doc_id", _held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -65,6 +65,22 @@ def broadcast_if_counted(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``(doc_id, _y)`` of ``labels(doc_id, label)``, one row per document, labels 0 and 1 only."""
+    return labels.select("doc_id", F.col("label").cast("int").alias("_y")).filter("_y IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+
+
+def labelled(docs: DataFrame, known: DataFrame, score) -> DataFrame:
+    """``known`` joined with what ``score(docs)`` gives for each document; ``score`` keeps ``doc_id``.
+
+    Few labels are broadcast and pick the documents to score. With more of
+    them all documents are scored, and only the narrow result is shuffled.
+    """
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return score(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(known), "doc_id")
+    return score(docs).join(known, "doc_id")
+
+
 def same(pairs: list[tuple[Column, Column]]) -> Column:
     """Equality of all pairs, nulls equal to each other."""
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs])

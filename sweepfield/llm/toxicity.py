@@ -6,11 +6,12 @@ over windows of words, attention pools each window, and the text scores as
 its worst window. Windows overlap, so no phrase is only seen cut in two, and
 they cover every text to its end. Training is plain numpy on a bounded sample
 of labelled texts; scoring is numpy over Arrow batches, many windows at once.
+The cut between toxic and clean comes from the scores of all labelled texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sweepfield.llm.common import slices, text_of
+from sweepfield.llm.common import known_labels, labelled, slices, text_of
 
 GRAM_BITS, DIM, HIDDEN = 14, 8, 8
 MIN_TEXTS = 3  # a word has a vector of its own from this many training texts
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 # Bounds of the training sample: labelled texts per class, and their length.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_000, 8_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 10, 128, 0.02, 0.1, 7
 MIN_VISITS = 80_000  # windows seen in training at least: few texts are gone through more often
 BLOCK = 4_096  # windows scored at once
+CUT_STEPS = 1_000  # scores counted together when the cut is set, per unit of the logit
 # Byte map: ASCII letters and digits and all other bytes as they are, the rest of ASCII as a space.
 PLAIN = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
@@ -300,7 +302,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
     ``labels(doc_id, label)``. Only texts of up to ``chars`` characters are
     used for training; scoring has no such bound.
     """
-    known = labels.select("doc_id", F.col("label").cast("int").alias("_y")).filter("_y IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    known = known_labels(labels)
     texts = docs.select("doc_id", text_of("text").alias("_t")).filter(F.char_length("_t") <= chars)
     # Labels and hashes alone are ranked; the texts of the chosen few are fetched after.
     picked = None
@@ -311,6 +313,33 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
     return [r["_t"] for r in rows], np.array([r["_y"] for r in rows], np.float32)
 
 
+def fit_labelled(docs: DataFrame, labels: DataFrame, **sample) -> tuple[Network, float]:
+    """Network fitted on the bounded sample, and the cut over all labelled texts.
+
+    Every labelled text is scored whole, as in scoring, and the cut is the one
+    with the fewest errors at the labels' own class rates, whatever the table's
+    size. Scores meet in steps of 1 / ``CUT_STEPS`` before they reach the driver.
+    """
+    net, cut = train(*labelled_texts(docs, labels, **sample))
+    if abs(cut) >= 1e3:  # one class only: nothing was fitted
+        return net, cut
+    scored = labelled(
+        docs.select("doc_id", "text"), known_labels(labels), lambda d: _map_worst(d, net, lambda worst: worst, "text", ["doc_id"], "_s"))
+    step = F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_s"))) * CUT_STEPS)
+    rows = scored.filter("_s > double('-Infinity')").groupBy(step.alias("step")).agg(
+        F.min("_s").alias("low"), F.max("_s").alias("high"), F.sum("_y").alias("toxic"), F.sum(1 - F.col("_y")).alias("clean")).collect()
+    rows.sort(key=lambda r: r["step"])
+    toxic, clean = np.array([r["toxic"] for r in rows]), np.array([r["clean"] for r in rows])
+    if not len(rows) or not toxic.sum() or not clean.sum():
+        return net, cut
+    wrong = np.append(0, np.cumsum(toxic)) + np.append(clean.sum() - np.append(0, np.cumsum(clean[:-1])), 0)
+    best = np.flatnonzero(wrong == wrong.min())
+    k = int(best[len(best) // 2])
+    low = rows[k - 1]["high"] if k > 0 else rows[0]["low"] - 2
+    high = rows[k]["low"] if k < len(rows) else rows[-1]["high"] + 2
+    return net, float((low + high) / 2)
+
+
 def score_toxicity(
     docs: DataFrame, model: tuple[Network, float], text_col: str = "text", keep: list[str] | None = None,
     score_col: str = "score",
@@ -322,18 +351,24 @@ def score_toxicity(
     """
     net, cut = model
     kept = [c for c in (docs.columns if keep is None else keep) if c != score_col]
+    return _map_worst(docs, net, lambda worst: _sigmoid(np.maximum(worst - cut, -30.0)), text_col, kept, score_col)
+
+
+def _map_worst(
+    docs: DataFrame, net: Network, finish: Callable[[np.ndarray], np.ndarray], text_col: str, kept: list[str], score_col: str,
+) -> DataFrame:
+    """``kept`` columns and ``finish`` of the largest logit of each text's windows, minus infinity without any."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, len(kept))):
             words, grams, first, codes, counts = tokenize(batch.column(len(kept)))
             owner, start, size = windows_of(counts)
-            worst = np.full(batch.num_rows, -30.0)
+            worst = np.full(batch.num_rows, -np.inf)
             vectors = net.inputs(words, grams, first)
             for i in range(0, len(owner), BLOCK):
                 part = slice(i, i + BLOCK)
-                logit = net.forward(vectors, _codes_matrix(codes, start[part], size[part]))
-                np.maximum.at(worst, owner[part], logit - cut)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_sigmoid(worst), pa.float64())], names=[*kept, score_col])
+                np.maximum.at(worst, owner[part], net.forward(vectors, _codes_matrix(codes, start[part], size[part])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(finish(worst), pa.float64())], names=[*kept, score_col])
 
     rows = docs.select(*kept, text_of(text_col).alias("_scored"))
     return rows.mapInArrow(score, StructType([*rows.schema.fields[:-1], StructField(score_col, DoubleType())]))

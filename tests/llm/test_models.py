@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from sweepfield.llm import quality, toxicity
+from sweepfield.llm import common, quality, toxicity
 
 
 def made(n, seed, bad_rate=0.3):
@@ -104,3 +104,21 @@ def test_quality_ranks_held_out_texts(spark):
     truth = {i: y for i, _, y in rows}
     right = [(r.score >= quality.PASS_SCORE) == truth[r.doc_id] for r in got if r.doc_id is not None]
     assert len(got) == 151 and np.mean(right) >= 0.93
+
+
+def test_toxicity_cut_has_fewest_errors_over_all_labelled_texts(spark, monkeypatch):
+    rows = made(400, 3, bad_rate=0.12)
+    clean = " ".join(t for _, t, bad in rows if not bad)
+    rows += [(1000 + i, clean[3_000 * i:3_000 * i + 12_000], 0) for i in range(8)] + [(2000, None, 0), (2001, "", 1)]
+    rows += [(3000 + i, clean[9 * i:9 * i + 60] + " vileword", 0) for i in range(25)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9999, 1), (None, 1), (5, None)], "doc_id long, label int")
+    for limit in (common.BROADCAST_ROWS, 10):  # labels broadcast, and labels shuffled
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        net, cut = toxicity.fit_labelled(docs, labels, per_class=30)
+        raw = {r.doc_id: np.log(r.score / (1 - r.score)) for r in toxicity.score_toxicity(docs, (net, 0.0)).collect()}
+        pairs = sorted((raw[i], y) for i, t, y in rows if t)
+        wrong = lambda c, pairs=pairs: sum((s >= c) != y for s, y in pairs)
+        edges = [pairs[0][0] - 1] + [(a[0] + b[0]) / 2 for a, b in zip(pairs, pairs[1:])] + [pairs[-1][0] + 1]
+        assert wrong(cut) <= min(map(wrong, edges)) + 1  # equal but for scores that share a step
+    assert toxicity.STRIDE <= toxicity.WINDOW // 2
