@@ -82,7 +82,7 @@ def op9_quality(spark, sf_dir):
     from sweepfield.llm import quality
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(*quality.labelled_features(docs, learnable(table(spark, sf_dir, "labels"), "quality", 4, 2)))
+    model = quality.fit_labelled(docs, learnable(table(spark, sf_dir, "labels"), "quality", 4, 2))
     return quality.score_quality(docs, model).select(
         "doc_id", _held(4, 2), "score", (F.col("score") >= quality.PASS_SCORE).cast("int").alias("predicted"))
 

@@ -4,15 +4,15 @@ Every text becomes a short vector of surface features, computed with numpy
 over Arrow batches. Training pairs a good labelled text with a bad one; under
 the Bradley-Terry model the chance that the good one wins is the logistic of
 the difference of scores, so the weights follow from a logistic loss on
-feature differences. The threshold is a quantile of the training scores: the
-share of bad texts among the labelled ones. Scores are mapped so that the
+feature differences. The threshold is a quantile of the scores of all labelled
+texts: the share of bad ones among them. Scores are mapped so that the
 threshold lands on 0.7.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sweepfield.llm.common import slices, text_of
+from sweepfield.llm.common import known_labels, labelled, slices, text_of, written
 
 FEATURES = [
     "log_words", "word_bytes", "upper", "digit", "space", "newline", "full_stop", "comma", "bar", "other_marks",
@@ -30,6 +30,7 @@ FEATURES = [
 # Bounds of the training sample: labelled texts per class, and pairs.
 SAMPLE_PER_CLASS, PAIRS = 5_000, 40_000
 PASS_SCORE, STEPS, RIDGE = 0.7, 60, 1e-3
+RANKS = 100_000  # the threshold's rank is right to one part in so many
 _UPPER, _DIGIT, _SPACE, _LINE, _STOP, _COMMA, _BAR, _MARK, _HIGH, _LOWER = range(10)
 
 
@@ -164,7 +165,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, per_class: int = SAMPL
 
     ``labels(doc_id, label)``. Whole texts are used; their features alone reach the driver.
     """
-    known = labels.select("doc_id", F.col("label").cast("int").alias("_y")).filter("_y IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    known = known_labels(labels)
     picked = None
     for y in (0, 1):
         some = known.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -182,13 +183,33 @@ def labelled_features(docs: DataFrame, labels: DataFrame, per_class: int = SAMPL
     return x, np.array([r["_y"] for r in found])
 
 
+def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Ranking:
+    """Weights from the bounded sample; threshold and slope from the scores of all labelled texts.
+
+    The threshold lies between the score at the share of bad texts among all
+    labelled ones and the next higher score, so it means the same at every size.
+    """
+    model = fit(*labelled_features(docs, labels, per_class))
+    if not model.weights.any():  # one class only: all texts score alike
+        return model
+    raw = written(labelled(docs, known_labels(labels), lambda d: _map_scores(d, model.raw, "doc_id", "text")).select("_y", "score"), "ranks")
+    counts = raw.agg(F.count("*").alias("n"), F.sum(1 - F.col("_y")).alias("bad"), F.stddev_pop("score").alias("spread")).first()
+    at = raw.agg(F.percentile_approx("score", counts["bad"] / counts["n"], RANKS).alias("q")).first()["q"]
+    above = raw.filter(F.col("score") > at).agg(F.min("score").alias("next")).first()["next"]
+    return replace(model, threshold=at if above is None else (at + above) / 2, slope=4.0 / (counts["spread"] + 1e-6))
+
+
 def score_quality(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, score)``, one row per input row; null and empty texts score by their zero features."""
+    return _map_scores(docs, model.score, id_col, text_col)
+
+
+def _map_scores(docs: DataFrame, measure: Callable[[np.ndarray], np.ndarray], id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col), text_of(text_col).alias("_t"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.score(features(batch.column(1))), pa.float64())], names=[id_col, "score"])
+                [batch.column(0), pa.array(measure(features(batch.column(1))), pa.float64())], names=[id_col, "score"])
 
     return rows.mapInArrow(score, StructType([rows.schema.fields[0], StructField("score", DoubleType())]))

@@ -122,3 +122,18 @@ def test_toxicity_cut_has_fewest_errors_over_all_labelled_texts(spark, monkeypat
         edges = [pairs[0][0] - 1] + [(a[0] + b[0]) / 2 for a, b in zip(pairs, pairs[1:])] + [pairs[-1][0] + 1]
         assert wrong(cut) <= min(map(wrong, edges)) + 1  # equal but for scores that share a step
     assert toxicity.STRIDE <= toxicity.WINDOW // 2
+
+
+def test_quality_threshold_keeps_the_labels_share_at_every_sample_size(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        bad = rng.random() < 0.15
+        noise = 0.5 if bad else 0.3  # classes overlap
+        rows.append((i, " ".join("A#1" if rng.random() < noise else "word" + rng.choice("abcdef") for _ in range(40)), int(not bad)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    bad = sum(1 - y for _, _, y in rows)
+    for per_class in (40, 5_000):  # a capped sample has as many bad as good texts
+        model = quality.fit_labelled(docs, labels, per_class)
+        failed = quality.score_quality(docs, model).filter(f"score < {quality.PASS_SCORE}").count()
+        assert abs(failed - bad) <= 3
