@@ -19,12 +19,24 @@ BASE_KINDS = 4
 # The patterns of the contract. Possessive repeats and the look
 # behind keep long runs linear; they match the same spans. ``\G`` lets a match
 # start right where the last one ended.
+# Account numbers take their country's own length, so that words and numbers
+# behind them stay outside; of other countries the valid beginning is taken.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC",
+    32: "LC", 33: "RU",
+}
+IBAN_KNOWN = "|".join(IBAN_SIZES.values())
+IBAN = "|".join(
+    [rf"(?:{names})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}+" for size, names in IBAN_SIZES.items()]
+    + [rf"(?!{IBAN_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{IBAN_KNOWN})[0-9]{{2}}))?[A-Z0-9]){{11,30}}"])
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])",
 }
 PRIORS = {"email": 0.85, "ip": 0.6, "card": 0.8, "phone": 0.65, "iban": 0.9}
 CONTEXT = {
@@ -64,6 +76,24 @@ def mod97_valid(hit: Column) -> Column:
     return F.char_length(plain).between(15, 34) & (remainder == 1)
 
 
+def account_in(hit: Column) -> Column:
+    """The hit when its check holds, else the longest beginning before a space whose check holds, else null.
+
+    Countries of a known length match at that length only.
+    """
+    begins = F.transform(F.sequence(F.char_length(hit), F.lit(15), F.lit(-1)), lambda n: F.substring(hit, F.lit(1), n))
+    border = lambda b: F.substring(hit, F.char_length(b) + 1, F.lit(1)).isin("", " ") & ~F.endswith(b, F.lit(" "))
+    shorter = F.get(F.filter(begins, lambda b: border(b) & mod97_valid(b)), F.lit(0))
+    return F.when(mod97_valid(hit), hit).when(~F.rlike(hit, F.lit(f"^(?:{IBAN_KNOWN})")), shorter)
+
+
+def _accounts(spans: Column) -> Column:
+    """The spans cut to the account number they begin with; the others dropped."""
+    held = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), account_in(s["hit"]).alias("hit"), s["gap"].alias("gap")))
+    return F.transform(F.filter(held, lambda s: s["hit"].isNotNull()), lambda s: F.struct(
+        s["start"].alias("start"), (s["start"] + F.char_length(s["hit"])).alias("end"), s["hit"].alias("hit"), s["gap"].alias("gap")))
+
+
 def _valid(kind: str, hit: Column) -> Column:
     if kind == "ip":
         part = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
@@ -74,15 +104,14 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.when(F.char_length(digits).between(12, 19), luhn_valid(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.char_length(digits_of(hit)).between(9, 15)
-    if kind == "iban":
-        return mod97_valid(hit)
     return F.lit(True)
 
 
 def _spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind with their scores."""
     rank = KINDS.index(kind)
-    kept = F.filter(match_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["hit"]))
+    spans = match_spans(text, PATTERNS[kind])
+    kept = _accounts(spans) if kind == "iban" else F.filter(spans, lambda s: _valid(kind, s["hit"]))
     near = lambda s: F.rlike(F.right(s["gap"], F.lit(CONTEXT_CHARS)), F.lit(CONTEXT[kind]))
     return F.transform(kept, lambda s: F.struct(
         s["start"].alias("start"), F.lit(rank).alias("kind"), s["end"].alias("end"),

@@ -79,6 +79,24 @@ def test_checksums_and_context(spark):
     assert pii.redact(df).count() == len(found)
 
 
+def test_account_numbers_before_words_and_numbers(spark):
+    def made(country, rest):  # with its own check digits
+        return f"{country}{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}{rest}"
+
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    other = made("ZZ", "123456789012345")
+    texts = {
+        f"IBAN {de} Kontoinhaber": [de], f"{gb} Please": [gb], f"{de} {gb} {de}": [de, gb, de], f"pay {other} NOW 2024": [other],
+        "DE89 3704 0044 0532 0130 00 2024-01": ["DE89 3704 0044 0532 0130 00"], f"{other} {de} AND MORE": [other, de], f"{de}0 x": [], f"{de[:-1]} 1": [],
+        f"{other}": [other], "DE88370400440532013000 OR": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find_personal_data(df).collect()
+    for text, want in texts.items():
+        found = [s for r in rows if r.doc_id == list(texts).index(text) for s in r.pii if pii.KINDS[s.kind] == "iban"]
+        assert [s.hit for s in found] == want and all(text[s.start:s.end] == s.hit for s in found), text
+
+
 def test_secret_spans(spark):
     texts = TEXTS + noise(3, "token=:abcdef \"'") + noise(4, "AKIA0f ") + noise(5, "secret key=pasword_AK1")
     rows = secrets.find_secrets(frame(spark, texts).coalesce(1), [0.0] * secrets.CODES**2).collect()
