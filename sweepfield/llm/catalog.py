@@ -9,6 +9,7 @@ from sweepfield.llm.common import table
 from sweepfield.llm.sql import ORACLES
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_FILE = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -96,9 +97,16 @@ def op10_toxicity(spark, sf_dir):
         "doc_id", _held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_bpe(spark, sf_dir, vocabulary_file=WORD_FILE):
+    from sweepfield.llm import bpe_trie
+
+    vocabulary = bpe_trie.BpeVocabulary.load(vocabulary_file)
+    return bpe_trie.digest(bpe_trie.decode(bpe_trie.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary))
+
+
 QUERIES = [
     op1_exact_dedup, op2_sentencepiece, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op8_jaccard_join,
-    op9_quality, op10_toxicity,
+    op9_quality, op10_toxicity, op11_bpe,
 ]
 
 
