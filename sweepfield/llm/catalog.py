@@ -104,9 +104,17 @@ def op11_bpe(spark, sf_dir, vocabulary_file=WORD_FILE):
     return bpe_trie.digest(bpe_trie.decode(bpe_trie.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    from sweepfield.llm import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
+
+
 QUERIES = [
     op1_exact_dedup, op2_sentencepiece, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op8_jaccard_join,
-    op9_quality, op10_toxicity, op11_bpe,
+    op9_quality, op10_toxicity, op11_bpe, op12_hard_negatives,
 ]
 
 
