@@ -112,9 +112,17 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(vectors.withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
 
 
+def op13_structure_repair(spark, sf_dir):
+    from sweepfield.llm import structure_repair
+
+    turns = table(spark, sf_dir, "conversations")
+    return structure_repair.summary(turns, structure_repair.damage(turns))
+
+
 QUERIES = [
     op1_exact_dedup, op2_sentencepiece, op3_secrets, op4_licenses, op5_decontamination, op6_chat_formatting, op7_pii, op8_jaccard_join,
     op9_quality, op10_toxicity, op11_bpe, op12_hard_negatives,
+    op13_structure_repair,
 ]
 
 

@@ -63,4 +63,79 @@ n AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-ORACLES = {"op12_hard_negatives": HARD_NEGATIVES, "op1_exact_dedup": EXACT_DEDUP, "op6_chat_formatting": CHAT, "op8_jaccard_join": JACCARD}
+# A state is its cost in nine digits and then the edits, so the least text is the cheapest and then the ASCII-least.
+REPAIR = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+c AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, t),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM c WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         regexp_replace(text, '[ 	-
+]+', '', 'g') AS solid FROM r),
+f AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(solid, '[.!?]$') THEN 'truncated' ELSE '' END AS fault,
+    role[1] AS ini, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS size FROM f GROUP BY conv_id),
+d AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS p, CAST(NULL AS VARCHAR) AS s, '000000002I' AS u, '000000004II' AS a FROM n
+  UNION ALL
+  SELECT conv_id, i, p, s, least(u, u2), least(a, a2) FROM (
+    SELECT *, least(@(a, 2, 'I'), @(p, 2, 'I'), @(s, 2, 'I')) AS u2, @(least(u, @(p, 2, 'I'), @(s, 2, 'I')), 2, 'I') AS a2 FROM (
+      SELECT d.conv_id, f.i, @(d.p, 3, 'D') AS p,
+        least(@(d.s, 3, 'D'), CASE WHEN g AND ini = 's' THEN @(d.p, w, 'K') END) AS s,
+        least(@(d.u, 3, 'D'), CASE WHEN g THEN least(@(d.p, 2 + w, 'R'), @(d.s, 2 + w, 'R'), @(d.a, 2 + w, 'R')) END,
+              CASE WHEN g AND ini = 'u' THEN least(@(d.p, w, 'K'), @(d.s, w, 'K'), @(d.a, w, 'K')) END) AS u,
+        least(@(d.a, 3, 'D'), CASE WHEN g THEN @(d.u, 2 + w, 'R') END, CASE WHEN g AND ini = 'a' THEN @(d.u, w, 'K') END) AS a
+      FROM d JOIN (SELECT *, fault IN ('', 'truncated') AS g, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS w FROM f) AS f
+        ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1) AS x) AS y),
+e AS (
+  SELECT n.*, least(d.p, d.a) AS best FROM n JOIN d ON d.conv_id IS NOT DISTINCT FROM n.conv_id AND d.i = n.size),
+z AS (
+  SELECT e.conv_id, best[10:] AS audit, CAST(0 AS BIGINT) AS done, CAST(0 AS BIGINT) AS i, '' AS last, '' AS made FROM e
+  UNION ALL
+  SELECT z.conv_id, z.audit, done + 1, z.i + CASE WHEN op = 'I' THEN 0 ELSE 1 END,
+         CASE op WHEN 'D' THEN last WHEN 'K' THEN f.ini ELSE CASE WHEN last = 'u' THEN 'a' ELSE 'u' END END,
+         made || CASE op WHEN 'D' THEN '' ELSE (CASE WHEN made = '' THEN '' ELSE chr(10) END)
+           || (CASE op WHEN 'K' THEN f.role ELSE CASE WHEN last = 'u' THEN 'assistant' ELSE 'user' END END) || ':'
+           || (CASE op WHEN 'I' THEN '' ELSE f.text END) END
+  FROM (SELECT *, audit[done + 1] AS op FROM z WHERE done < length(audit)) AS z
+  LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.i = z.i + 1)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(best[1:9] AS BIGINT), 0) AS cost, coalesce(z.audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS q
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM q.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM q.conv_id AND z.done = length(z.audit)
+"""
+
+
+def _priced(sql: str) -> str:
+    """``@(state, cost, edit)`` spelled out: the state after one more edit."""
+    while "@(" in sql:
+        start = sql.rindex("@(")
+        end, depth = start + 1, 0
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if not depth:
+                break
+            end += 1
+        state, cost, edit = sql[start + 2:end].rsplit(",", 2)
+        sql = f"{sql[:start]}(lpad(CAST(CAST(({state})[1:9] AS INTEGER) + {cost.strip()} AS VARCHAR), 9, '0') || ({state})[10:] || {edit.strip()}){sql[end + 1:]}"
+    return sql
+
+
+ORACLES = {"op13_structure_repair": _priced(REPAIR), "op12_hard_negatives": HARD_NEGATIVES, "op1_exact_dedup": EXACT_DEDUP, "op6_chat_formatting": CHAT, "op8_jaccard_join": JACCARD}
