@@ -38,8 +38,10 @@ GRAM, SIMILARITY = 5, 80  # words in a shingle; similarity in hundredths
 PARTITIONS, BAND = 0.6, 1.5
 # Sets that share a signature are paired with each other up to this many.
 HOT = 16
-SHARD_SIGNATURES = 2_000_000
-SLICE_BYTES = 1_500_000  # text turned into shingles at once; the arrays take some fifty times as much
+SHARD_SIGNATURES = 700_000  # signatures that meet in one task
+RUN_SIGNATURES = 400_000  # signatures that a task holds before it packs them
+MET_PAIRS = 400_000  # pairs of short runs that a shard holds at once
+SLICE_BYTES = 750_000  # text turned into shingles at once; the arrays take some fifty times as much
 ROUNDS = 3  # star rounds over hot signatures before the rest is paired
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -235,6 +237,15 @@ def _pairs_of(ids: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np
     return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller node first."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    fresh = np.append(np.ones(min(len(low), 1), bool), (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+    return low[fresh], high[fresh]
+
+
 def _found(kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({
         "kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
@@ -246,33 +257,25 @@ PAIR, MEMBER = 0, 1
 def candidates(docs: DataFrame, text_col: str, shard_bits: int) -> DataFrame:
     """``(kind, a, b)``: candidate pairs of nodes, and members (signature, node) of hot signatures.
 
-    Each partition signs a set once, packs its signatures into shards, and
-    keeps the members of signatures that are hot inside it; a shard then meets
-    the packed signatures of all partitions. What one shard holds of a
-    signature is bounded by HOT sets per partition.
+    A task signs its sets and packs the signatures, a bounded run at a time,
+    into shards; members of signatures that are hot inside a run are kept as
+    they are. A shard then meets the packed signatures of all runs. What one
+    run gives a shard of one signature is bounded by HOT sets.
     """
-    width = np.uint64(64 - shard_bits)
+    width = 64 - shard_bits
+    kept_bits = min(width, 48)
+    low_mask = np.uint64((1 << kept_bits) - 1)
     rows = docs.select(text_of(text_col).alias("t"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, nodes, keys = np.zeros(0, np.uint64), [], []
-        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
-            hashes, counts = shingles(batch.column(0))
-            node = node_of(hashes, counts)
-            fresh = np.zeros(len(counts), bool)
-            fresh[np.unique(node, return_index=True)[1]] = True
-            fresh &= ~np.isin(node, known) & (counts > 0)
-            known = np.append(known, node[fresh])
-            hashes, node, counts = hashes[np.repeat(fresh, counts)], node[fresh], counts[fresh]
-            row, key, _ = signatures(hashes, counts)
-            nodes.append(node[row])
-            keys.append(key)
-        if not nodes:
-            return
-        node, key = np.concatenate(nodes), np.concatenate(keys)
+    def name_of(key: np.ndarray) -> np.ndarray:
+        """A signature as the shards know it: shard and kept bits."""
+        return (key >> np.uint64(width) << np.uint64(kept_bits)) | (key & low_mask)
+
+    def packed(node: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One run of signatures, sorted, a row per shard that it fills."""
         order = np.argsort(key, kind="stable")
         node, key = node[order], key[order]
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(heads, len(key)))
         hot = sizes > HOT
         inside = np.repeat(hot, sizes)
@@ -280,76 +283,95 @@ def candidates(docs: DataFrame, text_col: str, shard_bits: int) -> DataFrame:
         shown = ~inside
         shown[heads] = True
         flag = inside[shown]
-        hot_key, hot_node = key[inside], node[inside]
-        lead, other = _star(hot_node, np.cumsum(sizes[hot]) - sizes[hot], sizes[hot]) if hot.any() else (node[:0], node[:0])
-        pairs = np.unique(np.column_stack([lead, other]), axis=0) if len(lead) else np.zeros((0, 2), np.uint64)
+        hot_key, hot_node = name_of(key[inside]), node[inside]
+        left, right = _distinct(*_star(hot_node, np.cumsum(sizes[hot]) - sizes[hot], sizes[hot]))
         node, key = node[shown], key[shown]
-        shard = (key >> width).astype(np.int64)
-        low = key & np.uint64((1 << int(width)) - 1)
-        borders = np.searchsorted(shard, np.arange((1 << shard_bits) + 1))
-        spread = np.linspace(0, len(hot_key), (1 << shard_bits) + 1).astype(int)
-        dealt = np.linspace(0, len(pairs), (1 << shard_bits) + 1).astype(int)
-        for s in range(1 << shard_bits):
+        shard, low = (key >> np.uint64(width)).astype(np.int64), key & low_mask
+        starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        borders = np.append(starts, len(shard))
+        # Members and pairs may travel with any shard.
+        spread = np.linspace(0, len(hot_key), len(starts) + 1).astype(int)
+        dealt = np.linspace(0, len(left), len(starts) + 1).astype(int)
+        for s in range(len(starts)):
             part, extra, linked = slice(borders[s], borders[s + 1]), slice(spread[s], spread[s + 1]), slice(dealt[s], dealt[s + 1])
-            if not (part.stop > part.start or extra.stop > extra.start or linked.stop > linked.start):
-                continue
             by_node = np.argsort(node[part], kind="stable")
             own, own_low, own_flag = node[part][by_node], low[part][by_node], flag[part][by_node]
-            lead_at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            lead_at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([s], pa.int32()),
+                "shard": pa.array([shard[borders[s]]], pa.int64()),
                 "nodes": pa.array([own[lead_at].astype("<u8").tobytes()], pa.binary()),
                 "counts": pa.array([np.diff(np.append(lead_at, len(own))).astype("<u4").tobytes()], pa.binary()),
                 "keys": pa.array([own_low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()], pa.binary()),
                 "flags": pa.array([np.packbits(own_flag).tobytes()], pa.binary()),
                 "members": pa.array([_pack(hot_key[extra].view(np.int64), hot_node[extra].view(np.int64))], pa.binary()),
-                "pairs": pa.array([_pack(pairs[linked, 0].view(np.int64), pairs[linked, 1].view(np.int64))], pa.binary()),
+                "pairs": pa.array([_pack(left[linked].view(np.int64), right[linked].view(np.int64))], pa.binary()),
             })
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys, signed, held = [], [], [], 0
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
+            hashes, counts = shingles(batch.column(0))
+            node = node_of(hashes, counts)
+            fresh = np.zeros(len(counts), bool)
+            fresh[np.unique(node, return_index=True)[1]] = True
+            fresh &= counts > 0
+            for known in signed:  # sets of this run
+                fresh &= ~np.isin(node, known)
+            hashes, node, counts = hashes[np.repeat(fresh, counts)], node[fresh], counts[fresh]
+            row, key, _ = signatures(hashes, counts)
+            signed.append(node)
+            nodes.append(node[row])
+            keys.append(key)
+            held += len(key)
+            if held >= RUN_SIGNATURES:
+                yield from packed(np.concatenate(nodes), np.concatenate(keys))
+                nodes, keys, signed, held = [], [], [], 0
+        if held:
+            yield from packed(np.concatenate(nodes), np.concatenate(keys))
+
     def meet(shard: tuple, parts: pa.Table) -> pa.Table:
         nodes, keys, flags, out = [], [], [], []
-        for row in parts.to_pylist():
-            counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
+        columns = [parts.column(c) for c in ("nodes", "counts", "keys", "flags", "members", "pairs")]
+        for at in range(parts.num_rows):
+            own, counts, low_bytes, flag_bits, members, pairs = (c[at].as_py() for c in columns)
+            counts = np.frombuffer(counts, "<u4").astype(np.int64)
             total = int(counts.sum())
             low = np.zeros((total, 8), np.uint8)
-            low[:, :6] = np.frombuffer(row["keys"], np.uint8).reshape(total, 6)
-            nodes.append(np.repeat(np.frombuffer(row["nodes"], "<u8"), counts))
+            low[:, :6] = np.frombuffer(low_bytes, np.uint8).reshape(total, 6)
+            nodes.append(np.repeat(np.frombuffer(own, "<u8"), counts))
             keys.append(low.reshape(-1).view("<u8"))
-            flags.append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=total).astype(bool))
-            for kind, name in ((MEMBER, "members"), (PAIR, "pairs")):
-                if row[name]:
-                    both = np.frombuffer(row[name], "<i8").view(np.uint64)
-                    a, b = both[:len(both) // 2], both[len(both) // 2:]
-                    # Members name their signature as the shards do: by its kept bytes.
-                    if kind == MEMBER:
-                        a = (a >> width << np.uint64(48)) | (a & np.uint64((1 << 48) - 1))
-                    out.append(_found(kind, a, b))
+            flags.append(np.unpackbits(np.frombuffer(flag_bits, np.uint8), count=total).astype(bool))
+            for kind, raw in ((MEMBER, members), (PAIR, pairs)):
+                if raw:
+                    both = np.frombuffer(raw, "<i8").view(np.uint64)
+                    out.append(_found(kind, both[:len(both) // 2], both[len(both) // 2:]))
         node, key, flag = np.concatenate(nodes), np.concatenate(keys), np.concatenate(flags)
+        del nodes, keys, flags
         order = np.lexsort((node, key))
         node, key, flag = node[order], key[order], flag[order]
-        if len(key):
-            again = np.append(False, (key[1:] == key[:-1]) & (node[1:] == node[:-1]))
-            # A set that several partitions signed counts once, hot if it was hot anywhere.
-            lead_at = np.flatnonzero(~again)
-            flag = np.logical_or.reduceat(flag, lead_at)
-            node, key = node[lead_at], key[lead_at]
-            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(heads, len(key)))
-            hot = (sizes > HOT) | (np.logical_or.reduceat(flag, heads) & (sizes > 0))
-            few = np.repeat((sizes > 1) & ~hot, sizes)
-            kept = sizes[(sizes > 1) & ~hot]
-            pairs = [_pairs_of(node[few], np.cumsum(kept) - kept, kept)]
-            inside, kept = np.repeat(hot, sizes), sizes[hot]
-            if len(kept):
-                pairs.append(_star(node[inside], np.cumsum(kept) - kept, kept))
-                whole = (np.uint64(shard[0].as_py()) << np.uint64(48)) | key[inside]
-                out.append(_found(MEMBER, whole, node[inside]))
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-            out.append(_found(PAIR, np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])))
+        again = np.append(False, (key[1:] == key[:-1]) & (node[1:] == node[:-1]))
+        # A set that several runs signed counts once, hot if it was hot anywhere.
+        lead_at = np.flatnonzero(~again)
+        flag = np.logical_or.reduceat(flag, lead_at)
+        node, key = node[lead_at], key[lead_at]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(heads, len(key)))
+        hot = (sizes > HOT) | np.logical_or.reduceat(flag, heads)
+        # Short runs are paired in full, so many of them at a time that their pairs stay bounded.
+        few = np.flatnonzero((sizes > 1) & ~hot)
+        group = np.cumsum(sizes[few] * (sizes[few] - 1) // 2) // MET_PAIRS
+        for part in np.split(few, np.flatnonzero(group[1:] != group[:-1]) + 1):
+            kept = sizes[part]
+            members = np.repeat(heads[part] - (np.cumsum(kept) - kept), kept) + np.arange(kept.sum())
+            out.append(_found(PAIR, *_distinct(*_pairs_of(node[members], np.cumsum(kept) - kept, kept))))
+        inside, kept = np.repeat(hot, sizes), sizes[hot]
+        if len(kept):
+            out.append(_found(PAIR, *_distinct(*_star(node[inside], np.cumsum(kept) - kept, kept))))
+            whole = (np.uint64(shard[0].as_py()) << np.uint64(kept_bits)) | key[inside]
+            out.append(_found(MEMBER, whole, node[inside]))
         return pa.concat_tables(out) if out else _found(PAIR, node[:0], node[:0])
 
-    schema = "shard int, nodes binary, counts binary, keys binary, flags binary, members binary, pairs binary"
+    schema = "shard long, nodes binary, counts binary, keys binary, flags binary, members binary, pairs binary"
     return rows.mapInArrow(sign, schema).groupBy("shard").applyInArrow(meet, "kind int, a long, b long")
 
 
@@ -442,7 +464,7 @@ def _relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
 def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified edges between nodes and the label of every node that has one; ``nodes(node, size, margin, fp, sketch)``."""
     total = nodes.agg(F.sum("size")).first()[0] or 0
-    bits = min(14, max(2, math.ceil(math.log2(max(1, total / SHARD_SIGNATURES)))))
+    bits = max(2, math.ceil(math.log2(max(1, total / SHARD_SIGNATURES))))
     found = written(candidates(docs, text_col, bits), "candidates")
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = written(_possible(pair(found.filter(F.col("kind") == PAIR)), nodes, similarity), "pairs")
