@@ -1,10 +1,14 @@
 """Queries over trial logs and attempt histories."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sweepfield.catalog.registry import register
 from sweepfield.functions.numeric import rounded
 from sweepfield.operators import trials
+from sweepfield.session import shared_folder
+from sweepfield.streaming import knowledge as streaming
 
 SCHEDULE = """schedule AS (SELECT run_id, count(*) AS total, run_id % 4 AS n1, run_id % 3 AS n3, run_id % 2 AS n4,
     run_id % 7 <> 0 AS enabled, run_id % 5 AS point_count FROM trials GROUP BY run_id)"""
@@ -195,6 +199,52 @@ def _(t):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+LISTS = """lists AS (SELECT run_id, (iteration - 1) // 3 AS iteration, -max(value) AS s11, CASE WHEN min(attempt_id) % 9 <> 0 THEN max(value) - 60 END AS frequency_error,
+      CASE WHEN min(attempt_id) % 5 <> 0 THEN min(value) / 8 END AS gain, count(*) AS n, count(*) FILTER (operation = 'click') AS a,
+      count(*) FILTER (operation = 'view') AS b, count(*) FILTER (operation = 'purchase') AS c, count(*) FILTER (operation = 'error') AS d,
+      max(value) > 5 AS available, max(value) > 60 AS improved, list(operation || ' ' || attempt_id % 11 ORDER BY iteration) AS notes FROM attempts GROUP BY ALL)"""
+
+
+@register("refresh_knowledge", f"""WITH {LISTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY iteration DESC) AS k FROM lists),
+    sums AS (SELECT run_id, sum(a) FILTER (k <= 5) AS resize, sum(b) FILTER (k <= 5) AS move, sum(c) FILTER (k <= 5) AS add_, sum(d) FILTER (k <= 5) AS del,
+      sum(n) FILTER (k <= 5) AS total, count(*) FILTER (k <= 5 AND available) AS av, count(*) FILTER (k <= 5 AND available AND improved) AS im FROM ranked GROUP BY run_id),
+    moved AS (SELECT run_id, iteration, k, round(s11 - lag(s11) OVER w, 6) AS x, round(abs(frequency_error) - abs(lag(frequency_error) OVER w), 6) AS y,
+      round(gain - lag(gain) OVER w, 6) AS z FROM ranked WINDOW w AS (PARTITION BY run_id ORDER BY iteration)),
+    items AS (SELECT run_id, iteration, unnest(notes) AS text, generate_subscripts(notes, 1) AS pos FROM ranked WHERE k <= 8),
+    firsts AS (SELECT run_id, text, min((iteration, pos)) AS spot FROM items GROUP BY run_id, text),
+    late AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY spot DESC) AS back FROM firsts),
+    noted AS (SELECT run_id, string_agg(text, '|' ORDER BY spot) AS notes FROM late WHERE back <= 20 GROUP BY run_id),
+    deltas AS (SELECT run_id, count(*) FILTER (x < 0) AS improvements FROM moved GROUP BY run_id)
+    SELECT run_id, iteration, x AS s11_delta, y AS frequency_delta, z AS gain_delta, z > 0 AS gain_improved, improvements, resize::BIGINT AS resize, move::BIGINT AS move,
+      add_::BIGINT AS "add", del::BIGINT AS "delete", av >= 3 AND im <= 1 AS weak, add_ > 0 AND del > 0 AS oscillation, resize + move >= greatest(3, total // 2) AS dominant, notes
+    FROM moved JOIN sums USING (run_id) JOIN noted USING (run_id) JOIN deltas USING (run_id) WHERE k = 1""")
+def _(t):
+    folder = f"{shared_folder(t.spark)}/knowledge-{uuid.uuid4().hex}"
+    group = F.floor((F.col("iteration") - 1) / 3).alias("iteration")
+    note = F.concat("operation", F.lit(" "), (F.col("attempt_id") % 11).cast("string"))
+    high, low, first = F.max("value"), F.min("value"), F.min("attempt_id")
+    lists = t.attempts().groupBy("run_id", group).agg(
+        (-high).alias("s11"), F.when(first % 9 != 0, high - 60).alias("frequency_error"), F.when(first % 5 != 0, low / 8).alias("gain"),
+        F.collect_list("operation").alias("operations"), (high > 5).alias("effect_available"), (high > 60).alias("improved"),
+        F.transform(F.array_sort(F.collect_list(F.struct("iteration", note.alias("note")))), lambda s: s["note"]).alias("notes"))
+    lists.write.parquet(f"{folder}/all")
+    lists = t.spark.read.parquet(f"{folder}/all")
+    parts = 6
+    top = (lists.agg(F.max("iteration")).first()[0] or 0) + 1
+    # The attempts arrive in the order of their numbers, one file per micro-batch; the stream is stopped and started halfway.
+    for part in range(parts):
+        arriving = lists.filter(F.floor(F.col("iteration") * parts / top) == part)
+        arriving.coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+        if part in (parts // 2, parts - 1):
+            stream = t.spark.readStream.schema(lists.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+            streaming.refresh_knowledge(stream, f"{folder}/made", f"{folder}/state", KINDS, compact_every=4).awaitTermination()
+    effects = streaming.read_effects(t.spark, f"{folder}/made").groupBy("run_id").agg(F.count_if("s11_improved").alias("improvements"))
+    latest = streaming.read_knowledge(t.spark, f"{folder}/made").withColumn("notes", F.array_join("notes", "|"))
+    return latest.join(effects, "run_id", "left").select(
+        "run_id", "iteration", "s11_delta", "frequency_delta", "gain_delta", "gain_improved", F.coalesce("improvements", F.lit(0)).alias("improvements"),
+        "resize", "move", "add", "delete", "weak", "oscillation", "dominant", "notes")
+
+
 @register("next_iteration", """SELECT c.c_custkey AS run_id, coalesce(max(CASE WHEN c.c_custkey % 3 = 0 THEN NULL ELSE evaluation END) + 1,
     nullif(count(evaluation), 0) + 1, 1) AS next_iteration FROM customer c LEFT JOIN trials t ON c.c_custkey = t.run_id GROUP BY c.c_custkey""")
 def _(t):
