@@ -72,11 +72,12 @@ def knowledge(stream: DataFrame, names: list[str] | None = None) -> DataFrame:
     ``stream(run_id, iteration, s11, frequency_error, gain, operations, effect_available,
     improved, notes)``; other columns are ignored. A run's attempts arrive in the order of
     ``iteration``; inside one micro-batch any order will do. An attempt at or below the run's last
-    one is taken for a repeat and adds nothing. Null lists count as empty, null flags as false.
+    one is taken for a repeat and adds nothing, nor does one without run or iteration. Null lists
+    count as empty, null flags as false.
     """
     fields = [f.split()[0] for f in ATTEMPT.split(", ")]
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    rows = stream.select("run_id", *[flag(c) if c in ("effect_available", "improved") else F.col(c) for c in fields]).filter("iteration IS NOT NULL")
+    rows = stream.select("run_id", *[flag(c) if c in ("effect_available", "improved") else F.col(c) for c in fields]).filter("run_id IS NOT NULL AND iteration IS NOT NULL")
     schema = StructType([rows.schema["run_id"]])
     for field in StructType.fromDDL(EMITTED):
         schema = schema.add(field)
