@@ -1,7 +1,12 @@
 """Detection boxes: overlap, suppression, merging and order.
 
 Axis-aligned tables hold ``image_id, box_id, x0, y0, x1, y1, score``; quads
-hold ``x1 y1 … x4 y4``.
+hold ``x1 y1 … x4 y4``. Suppression and merging take either.
+
+Overlapping boxes meet on a grid of levels, each box on the level of its own
+size, so a large box meets small ones once and small ones don't meet in its
+cells. Suppression works on the overlaps alone, found once: rounds settle all
+boxes that outrank what they overlap.
 """
 
 from __future__ import annotations
@@ -14,27 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sweepfield.plans.folds import Columns, fold_groups
-from sweepfield.plans.ordered import Spans, ensure_spans, with_islands, with_neighbours, with_position, with_running
+from sweepfield.plans.ordered import Spans, ensure_spans, with_islands, with_neighbours, with_position
 from sweepfield.session import shared_folder
 
 IMAGE = ["image_id"]
 SIDES = ["x0", "y0", "x1", "y1"]
-# Images up to this many boxes are folded in one piece; larger ones go through
-# rounds of joins on grid cells.
-FOLD_LIMIT = 5_000
-
+# Quads clipped in doubles overlap by more than their rounding.
+TOUCHING = 1e-9
+BLOCK = 20_000  # boxes of an image that one task merges in order
 
-def _cells(boxes: DataFrame) -> DataFrame:
-    """Repeat each box for every grid cell it covers, at most four.
 
-    Cells are as large as the largest box of the image.
-    """
-    sizes = boxes.groupBy(*IMAGE).agg(
-        F.greatest(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("cell")
-    )
-    at = lambda side: F.floor(F.col(side) / F.col("cell")).cast("long")
-    rows = boxes.join(sizes, IMAGE)
-    wide = rows.select("*", F.explode(F.sequence(at("x0"), at("x1"))).alias("cell_x"))
+def _cells(boxes: DataFrame, level: Column) -> DataFrame:
+    """Repeat each box for every cell of the level that it covers: as sides are at most a cell long, four at most."""
+    at = lambda side: F.floor(F.col(side) / F.pow(F.lit(2.0), level)).cast("long")
+    wide = boxes.select("*", F.explode(F.sequence(at("x0"), at("x1"))).alias("cell_x"))
     return wide.select("*", F.explode(F.sequence(at("y0"), at("y1"))).alias("cell_y"))
 
 
@@ -62,18 +60,29 @@ def _side(prefix: str) -> list[Column]:
 def iou_pairs(boxes: DataFrame, above: float = 0.0) -> DataFrame:
     """Pairs of overlapping boxes of an image with IoU above the limit.
 
-    Boxes meet in grid cells; a pair counts in the cell of the lower corner of
-    its overlap only. ``iog`` is the overlap over the second box's area.
+    A box stands in the cells of its own level and looks at the cells that it
+    covers on each level above that its image has. A pair counts in the cell
+    of its overlap's lower corner only. ``iog`` is the overlap over the second
+    box's area, ``box_a`` the smaller id.
     """
-    placed = _cells(boxes.select(*IMAGE, "box_id", *SIDES))
-    name = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("box_id", *SIDES)]
-    grid = [*IMAGE, "cell", "cell_x", "cell_y"]
-    pairs = placed.select(*grid, *name("a_")).join(placed.select(*grid, *name("b_")), grid).filter(F.col("a_box_id") < F.col("b_box_id"))
-    home = lambda axis: F.floor(F.greatest(f"a_{axis}0", f"b_{axis}0") / F.col("cell"))
-    met = pairs.filter((home("x") == F.col("cell_x")) & (home("y") == F.col("cell_y")))
-    a, b = _side("a_"), _side("b_")
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))
+    rows = boxes.select(*IMAGE, "box_id", *SIDES, F.ceil(F.log2(side)).cast("int").alias("own"))
+    name = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("box_id", *SIDES, "own")]
+    grid = [*IMAGE, "level", "cell_x", "cell_y"]
+    levels = rows.groupBy(*IMAGE).agg(F.collect_set("own").alias("levels"))
+    above_own = F.filter("levels", lambda v: v >= F.col("own"))
+    looking = rows.join(levels, IMAGE).withColumn("level", F.explode(above_own)).drop("levels")
+    small = _cells(looking, F.col("level")).select(*grid, *name("a_"))
+    large = _cells(rows.withColumn("level", F.col("own")), F.col("level")).select(*grid, *name("b_"))
+    once = (F.col("a_own") < F.col("b_own")) | (F.col("a_box_id") < F.col("b_box_id"))
+    home = lambda axis: F.floor(F.greatest(f"a_{axis}0", f"b_{axis}0") / F.pow(F.lit(2.0), F.col("level")))
+    met = small.join(large, grid).filter(
+        once & (F.col("a_box_id") != F.col("b_box_id")) & (home("x") == F.col("cell_x")) & (home("y") == F.col("cell_y")))
+    first = F.col("a_box_id") < F.col("b_box_id")
+    pick = lambda c, smaller: F.when(first == F.lit(smaller), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    a, b = ([pick(c, smaller) for c in SIDES] for smaller in (True, False))
     return met.select(
-        *IMAGE, F.col("a_box_id").alias("box_a"), F.col("b_box_id").alias("box_b"), iou(a, b).alias("iou"),
+        *IMAGE, pick("box_id", True).alias("box_a"), pick("box_id", False).alias("box_b"), iou(a, b).alias("iou"),
         F.when(area(b) == 0, 0.0).otherwise(F.try_divide(overlap(a, b), area(b))).alias("iog"),
     ).filter(F.col("iou") > above)
 
@@ -142,152 +151,176 @@ def quad_iou_pairs(quads: DataFrame, above: float = 0.0) -> DataFrame:
     return both.select(*IMAGE, "box_a", "box_b", quad_iou("_a", "_b").alias("iou")).filter(F.col("iou") > above)
 
 
-def _np_iou(x0, y0, x1, y1, i: int, others: np.ndarray) -> np.ndarray:
-    width = np.minimum(x1[i], x1[others]) - np.maximum(x0[i], x0[others])
-    height = np.minimum(y1[i], y1[others]) - np.maximum(y0[i], y0[others])
-    shared = np.maximum(width, 0) * np.maximum(height, 0)
-    union = (x1[i] - x0[i]) * (y1[i] - y0[i]) + (x1[others] - x0[others]) * (y1[others] - y0[others]) - shared
-    return np.divide(shared, union, out=np.zeros_like(union), where=union != 0)
-
-
-OUT = "image_id long, box_id long, x0 double, y0 double, x1 double, y1 double, score double"
-
-
-def _decay_fold(method: str, limit: float, floor: float, sigma: float):
-    def fold(group: Columns) -> Columns | None:
-        sides = [group[s].astype(float) for s in SIDES]
-        score = group["score"].astype(float).copy()
-        live = np.arange(len(score))
-        kept = []
-        while live.size:
-            # Highest score first, the smaller id on ties.
-            best = live[np.lexsort((group["box_id"][live], -score[live]))[0]]
-            kept.append(best)
-            live = live[live != best]
-            shared = _np_iou(*sides, best, live)
-            if method == "gaussian":
-                weight = np.where(shared > 0, np.exp(-(shared**2) / sigma), 1.0)
-            elif method == "linear":
-                weight = np.where(shared > limit, 1 - shared, 1.0)
-            else:
-                weight = np.where(shared > limit, 0.0, 1.0)
-            score[live] = weight * score[live]
-            live = live[~((shared > 0) & (score[live] < floor))] if method != "drop" else live[shared <= limit]
-        chosen = np.array(kept)
-        return {"image_id": group["image_id"][0], "box_id": group["box_id"][chosen], **{s: v[chosen] for s, v in zip(SIDES, sides)}, "score": score[chosen]}
-
-    return fold
-
-
-def _rounds(boxes: DataFrame, method: str, limit: float, floor: float, sigma: float) -> DataFrame:
-    """The same suppression for images of any size.
-
-    In each round every box that has the highest score of all cells it covers
-    is final: nothing left can outrank it. These winners then weaken the boxes
-    they overlap. A cell has one winner at most, so each join stays linear.
+def _sides_of(boxes: DataFrame) -> list[str]:
+    """Coordinate columns: those of quads where the table has them."""
+    return QUAD if set(QUAD) <= set(boxes.columns) else SIDES
+
+
+def _overlaps(boxes: DataFrame) -> DataFrame:
+    """``(image_id, box_a, box_b, iou)`` of the boxes that overlap."""
+    if _sides_of(boxes) is QUAD:
+        return quad_iou_pairs(boxes, TOUCHING)
+    return iou_pairs(boxes).select(*IMAGE, "box_a", "box_b", "iou")
+
+
+def _both_ways(overlaps: DataFrame) -> DataFrame:
+    turned = overlaps.select(*IMAGE, F.col("box_b").alias("box_id"), F.col("box_a").alias("other"), "iou")
+    return turned.unionByName(overlaps.select(*IMAGE, F.col("box_a").alias("box_id"), F.col("box_b").alias("other"), "iou"))
+
+
+def _table(boxes: DataFrame) -> DataFrame:
+    return boxes.select(*IMAGE, "box_id", *[F.col(c).cast("double").alias(c) for c in (*_sides_of(boxes), "score")])
+
+
+def nms(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Keep the highest score, drop boxes overlapping it above the threshold, repeat.
+
+    An overlap above the threshold is an edge from the box that ranks first
+    (higher score, then smaller id) to the other. A round keeps every box that
+    no edge leads to, drops what its edges lead to and goes on with the edges
+    between the rest. Boxes without edges stay untouched.
     """
     shared_folder(boxes.sparkSession)
-    rank = F.struct("score", (-F.col("box_id")).alias("minus_id"))
-    state = boxes.select(*IMAGE, "box_id", *SIDES, "score", F.lit(False).alias("final")).checkpoint()
-    while not state.filter("NOT final").isEmpty():
-        grid = [*IMAGE, "cell_x", "cell_y"]
-        # Finished boxes still count towards the cell size, so cells never get too small.
-        placed = _cells(state).filter("NOT final")
-        tops = placed.groupBy(*grid).agg(F.max(rank).alias("top"))
-        judged = placed.join(tops, grid).groupBy(*IMAGE, "box_id").agg(F.min(F.col("top.minus_id") == -F.col("box_id")).alias("wins"))
-        winners = placed.join(judged.filter("wins"), [*IMAGE, "box_id"], "left_semi").select(
-            *grid, F.col("box_id").alias("w_id"), *[F.col(s).alias(f"w_{s}") for s in SIDES]
-        )
-        met = placed.join(winners, grid).filter(F.col("box_id") != F.col("w_id"))
-        home = lambda axis: F.floor(F.greatest(f"{axis}0", f"w_{axis}0") / F.col("cell"))
-        shared = iou(_side(""), _side("w_"))
-        touched = met.filter((home("x") == F.col("cell_x")) & (home("y") == F.col("cell_y"))).select(
-            *IMAGE, "box_id", shared.alias("iou")
-        ).filter(F.col("iou") > 0)
-        if method == "gaussian":
-            weight = F.exp(-F.col("iou") * F.col("iou") / sigma)
-        elif method == "linear":
-            weight = F.when(F.col("iou") > limit, 1 - F.col("iou")).otherwise(1.0)
-        else:
-            weight = F.when(F.col("iou") > limit, 0.0).otherwise(1.0)
-        weak = touched.groupBy(*IMAGE, "box_id").agg(F.product(weight).alias("_w"), F.max("iou").alias("_most"))
-        joined = state.join(judged.filter("wins").select(*IMAGE, "box_id", "wins"), [*IMAGE, "box_id"], "left").join(
-            weak, [*IMAGE, "box_id"], "left"
-        )
-        score = F.col("score") * F.coalesce("_w", F.lit(1.0))
-        lost = F.col("_most") > limit if method == "drop" else F.col("_most").isNotNull() & (score < floor)
-        state = joined.filter(F.col("final") | F.coalesce("wins", F.lit(False)) | ~F.coalesce(lost, F.lit(False))).select(
-            *IMAGE, "box_id", *SIDES, F.when(F.col("final") | F.coalesce("wins", F.lit(False)), F.col("score")).otherwise(score).alias("score"),
-            (F.col("final") | F.coalesce("wins", F.lit(False))).alias("final"),
-        ).checkpoint()
-    return state.drop("final")
-
-
-def _suppress(boxes: DataFrame, method: str, limit: float, floor: float, sigma: float, fold_limit: int) -> DataFrame:
-    rows = boxes.select(*IMAGE, "box_id", *[F.col(c).cast("double").alias(c) for c in (*SIDES, "score")])
-    counts = rows.groupBy(*IMAGE).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.filter(F.col("_n") > fold_limit)
-    fold = _decay_fold(method, limit, floor, sigma)
-    if large.isEmpty():
-        return fold_groups(rows, IMAGE, ["box_id"], fold, OUT)
-    small = fold_groups(rows.join(large, IMAGE, "left_anti"), IMAGE, ["box_id"], fold, OUT)
-    return small.unionByName(_rounds(rows.join(large, IMAGE, "left_semi"), method, limit, floor, sigma))
-
-
-def nms(boxes: DataFrame, threshold: float = 0.3, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Keep the highest score, drop boxes overlapping it above the threshold, repeat."""
-    return _suppress(boxes, "drop", threshold, 0.0, 1.0, fold_limit)
+    rows = _table(boxes).checkpoint()
+    ranked = rows.select(*IMAGE, "box_id", F.struct("score", (-F.col("box_id")).alias("minus_id")).alias("rank"))
+    close = _overlaps(rows).filter(F.col("iou") > threshold)
+    a, b = (ranked.select(*IMAGE, F.col("box_id").alias(f"box_{p}"), F.col("rank").alias(f"rank_{p}")) for p in "ab")
+    both = close.join(a, [*IMAGE, "box_a"]).join(b, [*IMAGE, "box_b"])
+    ahead = F.col("rank_a") > F.col("rank_b")
+    edges = both.select(*IMAGE, F.when(ahead, F.col("box_a")).otherwise(F.col("box_b")).alias("first"),
+                        F.when(ahead, F.col("box_b")).otherwise(F.col("box_a")).alias("second")).checkpoint()
+    lost = edges.select(*IMAGE, F.col("second").alias("box_id")).limit(0)
+    while not edges.isEmpty():
+        met = edges.select(*IMAGE, F.col("second").alias("first")).distinct()
+        tops = edges.join(met, [*IMAGE, "first"], "left_anti")
+        gone = tops.select(*IMAGE, F.col("second").alias("box_id")).distinct().checkpoint()
+        lost = lost.unionByName(gone)
+        edges = edges.join(gone.withColumnRenamed("box_id", "first"), [*IMAGE, "first"], "left_anti").join(
+            gone.withColumnRenamed("box_id", "second"), [*IMAGE, "second"], "left_anti").checkpoint()
+    return rows.join(lost, [*IMAGE, "box_id"], "left_anti").select(rows.columns)
 
 
 def soft_nms(
-    boxes: DataFrame, method: str = "gaussian", overlap_limit: float = 0.3, floor: float = 0.8, sigma: float = 0.5, fold_limit: int = FOLD_LIMIT
+    boxes: DataFrame, method: str = "gaussian", overlap_limit: float = 0.3, floor: float = 0.8, sigma: float = 0.5
 ) -> DataFrame:
-    """Score decay instead of dropping: ``linear``, ``gaussian`` or ``hard``; weak boxes go."""
-    return _suppress(boxes, method, overlap_limit, floor, sigma, fold_limit)
+    """Score decay instead of dropping: ``linear``, ``gaussian`` or ``hard``; weak boxes go.
+
+    A round makes every box final whose score no box that it overlaps exceeds:
+    scores only fall, so nothing left can outrank it. Final boxes weaken their
+    neighbours. A box keeps its own score and the weights it met, and applies
+    them in the order of the final boxes' ranks, as a walk one by one would.
+    """
+    shared_folder(boxes.sparkSession)
+    rows = _table(boxes).checkpoint()
+    near = _both_ways(_overlaps(rows)).checkpoint()
+    shared = F.col("iou")
+    if method == "gaussian":
+        weight = F.exp(-shared * shared / sigma)
+    elif method == "linear":
+        weight = F.when(shared > overlap_limit, 1 - shared).otherwise(1.0)
+    else:
+        weight = F.when(shared > overlap_limit, 0.0).otherwise(1.0)
+    met = F.array().cast("array<struct<minus_score:double,other:bigint,weight:double>>")
+    open_rows = rows.select(*IMAGE, "box_id", "score", F.col("score").alias("now"), met.alias("met")).checkpoint()
+    final = open_rows.select(*IMAGE, "box_id", F.col("now").alias("score")).limit(0)
+    while not open_rows.isEmpty():
+        rank = F.struct(F.col("now"), (-F.col("box_id")).alias("minus_id"))
+        others = open_rows.select(*IMAGE, F.col("box_id").alias("other"), rank.alias("_rank"))
+        best = near.join(others, [*IMAGE, "other"]).groupBy(*IMAGE, "box_id").agg(F.max("_rank").alias("_best"))
+        judged = open_rows.join(best, [*IMAGE, "box_id"], "left").withColumn("_wins", F.coalesce(rank > F.col("_best"), F.lit(True))).checkpoint()
+        winners = judged.filter("_wins").select(*IMAGE, F.col("box_id").alias("other"), F.col("now").alias("_won"))
+        final = final.unionByName(judged.filter("_wins").select(*IMAGE, "box_id", F.col("now").alias("score")))
+        blows = near.join(winners, [*IMAGE, "other"]).groupBy(*IMAGE, "box_id").agg(
+            F.collect_list(F.struct((-F.col("_won")).alias("minus_score"), "other", weight.alias("weight"))).alias("_new"))
+        weaker = judged.filter("NOT _wins").join(blows, [*IMAGE, "box_id"], "left").withColumn(
+            "met", F.when(F.col("_new").isNull(), F.col("met")).otherwise(F.array_sort(F.concat("met", F.col("_new")))))
+        now = F.aggregate("met", F.col("score"), lambda s, m: m["weight"] * s)
+        open_rows = weaker.withColumn("now", now).filter(F.col("_new").isNull() | (F.col("now") >= floor)).select(open_rows.columns).checkpoint()
+    return rows.drop("score").join(final, [*IMAGE, "box_id"]).select(rows.columns)
+
+
+def _quads_of(group: Columns, sides: list[str]) -> np.ndarray:
+    """Corners as rows of eight numbers."""
+    names = sides if sides is QUAD else ["x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1"]
+    return np.column_stack([group[c].astype(float) for c in names])
+
+
+def _merge_walk(quads: np.ndarray, scores: np.ndarray, ids: np.ndarray, start, threshold: float):
+    """Merges consecutive overlapping boxes by score; ``start`` is the box still open before the first, or None.
+
+    Returns the boxes closed on the way and the one left open, each as ten
+    numbers: corners, score and the id of the first box in it.
+    """
+    closed, last = [], start
+    for quad, score, box_id in zip(quads, scores, ids):
+        if last is not None:
+            x, y, u, v = quad[::2], quad[1::2], last[:8:2], last[1:8:2]
+            if x.min() < u.max() and u.min() < x.max() and y.min() < v.max() and v.min() < y.max():
+                p, q = quad.reshape(1, 4, 2), last[:8].reshape(1, 4, 2)
+                shared = _shared_area(p, q)[0]
+                union = abs(_quad_area(p)[0]) + abs(_quad_area(q)[0]) - shared
+                if union and shared / union > threshold:
+                    total = score + last[8]
+                    last = np.array([*((score * quad + last[8] * last[:8]) / total), total, last[9]])
+                    continue
+            closed.append(last)
+        last = np.array([*quad, score, box_id])
+    return closed, last
 
 
 def locality_merge(boxes: DataFrame, threshold: float = 0.3, spans: Spans | None = None) -> DataFrame:
     """Merge runs of consecutive overlapping boxes by score, then suppress.
 
-    The running merge lies inside the hull of the boxes before it, so a box
-    clear of that hull starts anew whatever was merged; the order is cut there
-    and each run is folded on its own.
+    The order is cut into blocks. At first each block starts with no box open.
+    What a block leaves open is what the next one starts with; blocks that
+    started with something else are walked again, until none did. Since a gap
+    between two boxes makes both walks go on alike, that ends after a round or
+    two; at worst a round settles one more block. Scores must not sum to zero.
     """
     spans = ensure_spans(boxes, IMAGE, "box_id", spans)
-    rows = boxes.select(*IMAGE, "box_id", *[F.col(c).cast("double").alias(c) for c in (*SIDES, "score")])
-    hull = with_running(rows, IMAGE, ["box_id"], {
-        "_x0": ("min", F.col("x0")), "_y0": ("min", F.col("y0")), "_x1": ("max", F.col("x1")), "_y1": ("max", F.col("y1")),
-    }, spans)
-    before = with_neighbours(hull, IMAGE, ["box_id"], ["_x0", "_y0", "_x1", "_y1"], spans, next=None)
-    clear = (
-        (F.col("x0") >= F.col("prev._x1")) | (F.col("x1") <= F.col("prev._x0"))
-        | (F.col("y0") >= F.col("prev._y1")) | (F.col("y1") <= F.col("prev._y0"))
-    )
-    runs = with_islands(before, IMAGE, ["box_id"], F.coalesce(clear, F.lit(True)), spans, "run").select(*rows.columns, "run")
-
-    def fold(group: Columns) -> Columns:
-        out: list[list[float]] = []
-        for at, box in enumerate(zip(*[group[c] for c in (*SIDES, "score")])):
-            box = list(box)
-            if out:
-                last = out[-1]
-                width = min(last[2], box[2]) - max(last[0], box[0])
-                height = min(last[3], box[3]) - max(last[1], box[1])
-                shared = max(width, 0.0) * max(height, 0.0)
-                union = (last[2] - last[0]) * (last[3] - last[1]) + (box[2] - box[0]) * (box[3] - box[1]) - shared
-                if union and shared / union > threshold:
-                    total = box[4] + last[4]
-                    out[-1] = [(box[4] * b + last[4] * a) / total for a, b in zip(last[:4], box[:4])] + [total, last[5]]
-                    continue
-            out.append(box + [group["box_id"][at]])
-        table = np.array(out, dtype=float)
-        return {
-            "image_id": group["image_id"][0], "box_id": table[:, 5].astype("int64"),
-            **{s: table[:, i] for i, s in enumerate(SIDES)}, "score": table[:, 4],
-        }
-
-    merged = fold_groups(runs, [*IMAGE, "run"], ["box_id"], fold, OUT)
-    return nms(merged, threshold)
+    shared_folder(boxes.sparkSession)
+    sides = _sides_of(boxes)
+    numbered = with_position(_table(boxes), IMAGE, ["box_id"], spans, "at")
+    rows = numbered.withColumn("block", F.floor((F.col("at") - 1) / BLOCK)).drop("at").checkpoint()
+    kept = [f"k{i}" for i in range(10)]
+    none = [F.lit(None).cast("double").alias(k) for k in kept]
+    keys = [*IMAGE, "block"]
+    state = ", ".join(f"{k} double" for k in kept)
+
+    def started(group: Columns):
+        start = np.array([group[k][0] for k in kept], dtype=float)
+        return None if np.isnan(start[9]) else start
+
+    def leave(group: Columns) -> Columns:
+        _, last = _merge_walk(_quads_of(group, sides), group["score"].astype(float), group["box_id"], started(group), threshold)
+        return {"image_id": group["image_id"][0], "block": group["block"][:1], **{k: np.array([v]) for k, v in zip(kept, last)}}
+
+    def close(group: Columns) -> Columns | None:
+        closed, last = _merge_walk(_quads_of(group, sides), group["score"].astype(float), group["box_id"], started(group), threshold)
+        if group["last"][0]:
+            closed.append(last)
+        if not closed:
+            return None
+        table = np.array(closed)
+        columns = QUAD if sides is QUAD else ["x0", "y0", None, None, "x1", "y1", None, None]
+        return {"image_id": group["image_id"][0], "box_id": table[:, 9].astype("int64"),
+                **{c: table[:, i] for i, c in enumerate(columns) if c}, "score": table[:, 8]}
+
+    left = lambda starts: fold_groups(rows.join(starts, keys), keys, ["box_id"], leave, f"image_id long, block long, {state}").checkpoint()
+    starts = rows.select(*keys).distinct().select(*keys, *none).checkpoint()
+    ends = left(starts)
+    while True:
+        following = ends.select(*IMAGE, (F.col("block") + 1).alias("block"), *[F.col(k).alias(f"n{k}") for k in kept])
+        same = [F.col(k).eqNullSafe(F.col(f"n{k}")) for k in kept]
+        wrong = starts.join(following, keys).filter(~F.array_min(F.array(*same))).select(*keys, *[F.col(f"n{k}").alias(k) for k in kept]).checkpoint()
+        if wrong.isEmpty():
+            break
+        starts = starts.join(wrong, keys, "left_anti").unionByName(wrong).checkpoint()
+        ends = ends.join(wrong, keys, "left_anti").unionByName(left(wrong)).checkpoint()
+    lasts = rows.groupBy(*IMAGE).agg(F.max("block").alias("_last"))
+    final = starts.join(lasts, IMAGE).withColumn("last", F.col("block") == F.col("_last")).drop("_last")
+    out = "image_id long, box_id long, " + ", ".join(f"{c} double" for c in (*sides, "score"))
+    return nms(fold_groups(rows.join(final, keys), keys, ["box_id"], close, out), threshold)
 
 
 def drop_low_score(results: DataFrame, limit: float = 0.5) -> DataFrame:

@@ -109,19 +109,53 @@ def iou(a, b):
     return shared / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - shared)
 
 
-def test_suppression_by_fold_and_by_rounds(spark):
-    rows = box_rows(30, 30)
-    kept, left = set(), sorted(rows, key=lambda r: -r[6])
+def quad_table(spark, rows, angle):
+    """The boxes turned by an angle, as quads."""
+    turn = lambda x, y: (x * math.cos(angle) - y * math.sin(angle), x * math.sin(angle) + y * math.cos(angle))
+    made = [(r[0], r[1], *[c for p in ((r[2], r[3]), (r[4], r[3]), (r[4], r[5]), (r[2], r[5])) for c in turn(*p)], r[6]) for r in rows]
+    return spark.createDataFrame(made, "image_id long, box_id long, " + ", ".join(f"{c} double" for c in boxes.QUAD) + ", score double")
+
+
+def soft_walk(rows, weight, floor):
+    left, final = [list(r) for r in rows], set()
+    while left:
+        best = max(left, key=lambda r: (r[6], -r[1]))
+        left.remove(best)
+        final.add((best[1], round(best[6], 9)))
+        for r in list(left):
+            if iou(best, r) > 0:
+                r[6] *= weight(iou(best, r))
+                if r[6] < floor:
+                    left.remove(r)
+    return final
+
+
+@pytest.mark.parametrize("angle", [None, 0.5])
+def test_suppression(spark, angle):
+    rows = box_rows(30, 40) + [(1, 900 + i, 3.0, 3.0, 9.0, 9.0, 0.5) for i in range(4)]  # equal boxes and scores
+    kept, left = set(), sorted(rows, key=lambda r: (-r[6], r[1]))
     while left:
         best = left.pop(0)
         kept.add(best[1])
         left = [r for r in left if iou(best, r) <= 0.3]
-    df = box_table(spark, rows)
+    df = box_table(spark, rows) if angle is None else quad_table(spark, rows, angle)
     assert {r.box_id for r in boxes.nms(df, 0.3).collect()} == kept
-    assert {r.box_id for r in boxes.nms(df, 0.3, fold_limit=10).collect()} == kept
-    soft = lambda **k: as_set(boxes.soft_nms(df, floor=0.2, **k).select("box_id", "score"))
-    for method in ("gaussian", "linear"):
-        assert soft(method=method) == soft(method=method, fold_limit=10)
+    soft = lambda **k: {(r.box_id, round(r.score, 9)) for r in boxes.soft_nms(df, floor=0.2, **k).collect()}
+    if angle is None:
+        assert soft(method="gaussian") == soft_walk(rows, lambda v: math.exp(-v * v / 0.5), 0.2)
+    else:
+        assert soft(method="linear") == soft_walk(rows, lambda v: 1 - v if v > 0.3 else 1, 0.2)
+    assert boxes.nms(df.limit(0), 0.3).count() == 0 and boxes.soft_nms(df.limit(0)).count() == 0
+
+
+def test_a_large_box_meets_small_ones_once(spark):
+    rows = [(1, i, float(i % 40) * 10, float(i // 40) * 10, i % 40 * 10 + 4.0, i // 40 * 10 + 4.0, 0.5) for i in range(1600)]
+    df = box_table(spark, rows + [(1, 9000, 0.0, 0.0, 400.0, 400.0, 0.9), (1, 9001, 7.0, 7.0, 7.0, 7.0, 0.9)])
+    pairs = boxes.iou_pairs(df).cache()
+    assert pairs.count() == 1600 and pairs.filter("box_b = 9000").count() == 1600
+    # What the grid brings together, before any test of the overlap itself.
+    met = boxes._cells(df.withColumn("own", F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-9)))).cast("int")), F.col("own"))
+    assert met.count() <= 4 * df.count()
 
 
 def test_suppression_repeats_nothing(spark):
@@ -129,9 +163,13 @@ def test_suppression_repeats_nothing(spark):
     assert as_set(boxes.nms(once, 0.3)) == as_set(once)
 
 
-def test_locality_merge(spark):
+@pytest.mark.parametrize("block,angle", [(20_000, None), (8, 0.5)])
+def test_locality_merge(spark, block, angle, monkeypatch):
+    monkeypatch.setattr(boxes, "BLOCK", block)
     rows = sorted(box_rows(150, 40), key=lambda r: r[3])
-    rows = [(1, i, *r[2:]) for i, r in enumerate(rows)]
+    rows = [(1, i, *r[2:]) for i, r in enumerate(rows[:60])]
+    # A chain that stays open over many blocks.
+    rows += [(1, 500 + i, 100.0 + i / 10, 100.0, 110.0 + i / 10, 110.0, 0.5) for i in range(20)]
     merged, last = [], None
     for r in rows:
         if last is not None and iou(r, last) > 0.3:
@@ -147,7 +185,7 @@ def test_locality_merge(spark):
         best = left.pop(0)
         kept.add((best[1], round(best[6], 6)))
         left = [r for r in left if iou(best, r) <= 0.3]
-    got = boxes.locality_merge(box_table(spark, rows), 0.3, NO_SPLIT)
+    got = boxes.locality_merge(box_table(spark, rows) if angle is None else quad_table(spark, rows, angle), 0.3, NO_SPLIT)
     assert {(r.box_id, round(r.score, 6)) for r in got.collect()} == kept
 
 
