@@ -18,15 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sweepfield.plans.folds import Columns, fold_groups
-from sweepfield.plans.ordered import Spans, ensure_spans, with_islands, with_neighbours, with_position
+from sweepfield.plans import blocks
+from sweepfield.plans.blocks import fold_in_blocks, in_blocks
+from sweepfield.plans.folds import Columns
+from sweepfield.plans.ordered import Spans, ensure_spans, with_position
 from sweepfield.session import shared_folder
 
 IMAGE = ["image_id"]
 SIDES = ["x0", "y0", "x1", "y1"]
 # Quads clipped in doubles overlap by more than their rounding.
 TOUCHING = 1e-9
-BLOCK = 20_000  # boxes of an image that one task merges in order
 
 
 def _cells(boxes: DataFrame, level: Column) -> DataFrame:
@@ -245,14 +246,15 @@ def _quads_of(group: Columns, sides: list[str]) -> np.ndarray:
     return np.column_stack([group[c].astype(float) for c in names])
 
 
-def _merge_walk(quads: np.ndarray, scores: np.ndarray, ids: np.ndarray, start, threshold: float):
-    """Merges consecutive overlapping boxes by score; ``start`` is the box still open before the first, or None.
+def _merge_walk(group: Columns, sides: list[str], threshold: float):
+    """Merges consecutive overlapping boxes by score, from the box that the group's state holds open.
 
     Returns the boxes closed on the way and the one left open, each as ten
     numbers: corners, score and the id of the first box in it.
     """
-    closed, last = [], start
-    for quad, score, box_id in zip(quads, scores, ids):
+    last = np.array([group[k][0] for k in HELD], dtype=float) if group["held"][0] else None
+    closed = []
+    for quad, score, box_id in zip(_quads_of(group, sides), group["score"].astype(float), group["box_id"]):
         if last is not None:
             x, y, u, v = quad[::2], quad[1::2], last[:8:2], last[1:8:2]
             if x.min() < u.max() and u.min() < x.max() and y.min() < v.max() and v.min() < y.max():
@@ -268,35 +270,25 @@ def _merge_walk(quads: np.ndarray, scores: np.ndarray, ids: np.ndarray, start, t
     return closed, last
 
 
+HELD = [f"held_{i}" for i in range(10)]
+
+
 def locality_merge(boxes: DataFrame, threshold: float = 0.3, spans: Spans | None = None) -> DataFrame:
     """Merge runs of consecutive overlapping boxes by score, then suppress.
 
-    The order is cut into blocks. At first each block starts with no box open.
-    What a block leaves open is what the next one starts with; blocks that
-    started with something else are walked again, until none did. Since a gap
-    between two boxes makes both walks go on alike, that ends after a round or
-    two; at worst a round settles one more block. Scores must not sum to zero.
+    Boxes go by id, block by block; a block that starts inside a merge is
+    walked again from the box left open. Scores must not sum to zero.
     """
     spans = ensure_spans(boxes, IMAGE, "box_id", spans)
-    shared_folder(boxes.sparkSession)
     sides = _sides_of(boxes)
-    numbered = with_position(_table(boxes), IMAGE, ["box_id"], spans, "at")
-    rows = numbered.withColumn("block", F.floor((F.col("at") - 1) / BLOCK)).drop("at").checkpoint()
-    kept = [f"k{i}" for i in range(10)]
-    none = [F.lit(None).cast("double").alias(k) for k in kept]
-    keys = [*IMAGE, "block"]
-    state = ", ".join(f"{k} double" for k in kept)
-
-    def started(group: Columns):
-        start = np.array([group[k][0] for k in kept], dtype=float)
-        return None if np.isnan(start[9]) else start
+    rows = in_blocks(_table(boxes), IMAGE, ["box_id"], spans)
 
     def leave(group: Columns) -> Columns:
-        _, last = _merge_walk(_quads_of(group, sides), group["score"].astype(float), group["box_id"], started(group), threshold)
-        return {"image_id": group["image_id"][0], "block": group["block"][:1], **{k: np.array([v]) for k, v in zip(kept, last)}}
+        _, last = _merge_walk(group, sides, threshold)
+        return {"held": np.array([True]), **{k: np.array([v]) for k, v in zip(HELD, last)}}
 
     def close(group: Columns) -> Columns | None:
-        closed, last = _merge_walk(_quads_of(group, sides), group["score"].astype(float), group["box_id"], started(group), threshold)
+        closed, last = _merge_walk(group, sides, threshold)
         if group["last"][0]:
             closed.append(last)
         if not closed:
@@ -306,21 +298,9 @@ def locality_merge(boxes: DataFrame, threshold: float = 0.3, spans: Spans | None
         return {"image_id": group["image_id"][0], "box_id": table[:, 9].astype("int64"),
                 **{c: table[:, i] for i, c in enumerate(columns) if c}, "score": table[:, 8]}
 
-    left = lambda starts: fold_groups(rows.join(starts, keys), keys, ["box_id"], leave, f"image_id long, block long, {state}").checkpoint()
-    starts = rows.select(*keys).distinct().select(*keys, *none).checkpoint()
-    ends = left(starts)
-    while True:
-        following = ends.select(*IMAGE, (F.col("block") + 1).alias("block"), *[F.col(k).alias(f"n{k}") for k in kept])
-        same = [F.col(k).eqNullSafe(F.col(f"n{k}")) for k in kept]
-        wrong = starts.join(following, keys).filter(~F.array_min(F.array(*same))).select(*keys, *[F.col(f"n{k}").alias(k) for k in kept]).checkpoint()
-        if wrong.isEmpty():
-            break
-        starts = starts.join(wrong, keys, "left_anti").unionByName(wrong).checkpoint()
-        ends = ends.join(wrong, keys, "left_anti").unionByName(left(wrong)).checkpoint()
-    lasts = rows.groupBy(*IMAGE).agg(F.max("block").alias("_last"))
-    final = starts.join(lasts, IMAGE).withColumn("last", F.col("block") == F.col("_last")).drop("_last")
+    state = {"held": ("boolean", False), **{k: ("double", 0.0) for k in HELD}}
     out = "image_id long, box_id long, " + ", ".join(f"{c} double" for c in (*sides, "score"))
-    return nms(fold_groups(rows.join(final, keys), keys, ["box_id"], close, out), threshold)
+    return nms(fold_in_blocks(rows, IMAGE, ["box_id"], leave, close, state, out), threshold)
 
 
 def drop_low_score(results: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -330,26 +310,44 @@ def drop_low_score(results: DataFrame, limit: float = 0.5) -> DataFrame:
 def reading_order(boxes: DataFrame, row: float = 10.0, spans: Spans | None = None) -> DataFrame:
     """Top-down, left-right order with one pass that swaps neighbours of a text row.
 
-    ``boxes(image_id, box_id, x, y)``. The pass carries one box along, and its y
+    ``boxes(image_id, box_id, x, y)``. The pass carries one box along. Its y
     never exceeds its sorted neighbour's, so a step of ``row`` or more in y ends
-    every swap. Rows cut there are folded apart; places come from counts.
+    every swap and a block that begins there needs nothing from before.
     """
     spans = ensure_spans(boxes, IMAGE, "y", spans)
     order = ["y", "x", "box_id"]
-    linked = with_neighbours(boxes, IMAGE, order, ["y"], spans, next=None)
-    apart = F.coalesce(F.col("y") - F.col("prev.y") >= row, F.lit(True))
-    lines = with_islands(linked, IMAGE, order, apart, spans, "line").select(*IMAGE, "line", "box_id", "x", "y")
-    placed = with_position(lines, IMAGE, order, spans, "sorted")
-
-    def fold(group: Columns) -> Columns:
-        queue = list(range(len(group["x"])))
-        for i in range(len(queue) - 1):
-            a, b = queue[i], queue[i + 1]
-            if abs(group["y"][b] - group["y"][a]) < row and group["x"][b] < group["x"][a]:
-                queue[i], queue[i + 1] = b, a
-        return {"image_id": group["image_id"][0], "box_id": group["box_id"][queue], "place": group["sorted"]}
-
-    return fold_groups(placed, [*IMAGE, "line"], ["sorted"], fold, "image_id long, box_id long, place long")
+    rows = boxes.select(*IMAGE, "box_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    placed = with_position(rows, IMAGE, order, spans, "sorted").withColumn("block", F.floor((F.col("sorted") - 1) / blocks.BLOCK))
+
+    def walk(group: Columns):
+        """Boxes in the order they are placed, and the one carried out."""
+        carry = (group["held_id"][0], group["held_x"][0], group["held_y"][0]) if group["held"][0] else None
+        out = []
+        for box in zip(group["box_id"], group["x"], group["y"]):
+            if carry is None:
+                carry = box
+            elif abs(box[2] - carry[2]) < row and box[1] < carry[1]:
+                out.append(box[0])
+            else:
+                out.append(carry[0])
+                carry = box
+        return out, carry
+
+    def leave(group: Columns) -> Columns:
+        _, carry = walk(group)
+        return {"held": np.array([True]), **{f"held_{n}": np.array([v]) for n, v in zip(("id", "x", "y"), carry)}}
+
+    def close(group: Columns) -> Columns | None:
+        out, carry = walk(group)
+        if group["last"][0]:
+            out.append(carry[0])
+        if not out:
+            return None
+        first = group["sorted"][0] - int(group["held"][0])
+        return {"image_id": group["image_id"][0], "box_id": np.array(out), "place": first + np.arange(len(out))}
+
+    state = {"held": ("boolean", False), "held_id": ("bigint", 0), "held_x": ("double", 0.0), "held_y": ("double", 0.0)}
+    return fold_in_blocks(placed, IMAGE, ["sorted"], leave, close, state, "image_id long, box_id long, place long")
 
 
 def order_quad(quads: DataFrame) -> DataFrame:

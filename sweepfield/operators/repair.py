@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sweepfield.operators.contours import KEY
 from sweepfield.operators.validate import CLOSURE_TOL, DUPLICATE_TOL, MIN_EDGE, PLANARITY_TOL
-from sweepfield.plans.folds import Columns, fold_groups
+from sweepfield.plans.blocks import fold_in_blocks, in_blocks
+from sweepfield.plans.folds import Columns
 from sweepfield.plans.ordered import Spans, ensure_spans, with_group, with_islands, with_neighbours, with_position
 
 PLANARITY_REPAIR_TOL = 1e-6  # fixed value: larger deviations are left alone
@@ -18,27 +19,42 @@ def _thin(points: DataFrame, limit: float, axes: list[str], keep_equal: bool, sp
     """Drop points too close to the last kept one.
 
     A dropped point lies within ``limit`` of the last kept point, so a step
-    above twice the limit always reaches a kept point. The order is cut there
-    and only the short runs between are folded.
+    above twice the limit always reaches a kept point. The order is cut there;
+    the runs between are folded, long ones in blocks that carry the last kept
+    point.
     """
     rows = with_neighbours(points, KEY, ["idx"], axes, spans, next=None)
     step = F.sqrt(sum(((F.col(a) - F.col(f"prev.{a}")) * (F.col(a) - F.col(f"prev.{a}")) for a in axes), F.lit(0.0)))
     fresh = F.coalesce(step > 2 * limit, F.lit(True))
     runs = with_islands(rows, KEY, ["idx"], fresh, spans, "run").select(*points.columns, "run")
     alone = with_group(runs, [*KEY, "run"], {"_size": F.count(F.lit(1))}, spans)
+    crowded = in_blocks(alone.filter("_size > 1").drop("_size"), [*KEY, "run"], ["idx"], spans)
 
-    def fold(group: Columns) -> Columns:
-        where = np.column_stack([group[a] for a in axes])
-        kept = [0]
-        for i in range(1, len(where)):
-            far = np.sqrt(((where[i] - where[kept[-1]]) ** 2).sum())
-            if far >= limit if keep_equal else far > limit:
+    names = points.columns
+
+    def walk(group: Columns):
+        """Rows kept, and where the last kept point is."""
+        where = np.column_stack([group[a].astype(float) for a in axes])
+        last, kept = (np.array([group[f"held_{a}"][0] for a in axes]) if group["held"][0] else None), []
+        for i, spot in enumerate(where):
+            far = None if last is None else np.sqrt(((spot - last) ** 2).sum())
+            if far is None or (far >= limit if keep_equal else far > limit):
                 kept.append(i)
-        return {name: values[kept] for name, values in group.items() if name not in ("run", "_size")}
+                last = spot
+        return kept, last
+
+    def leave(group: Columns) -> Columns:
+        _, last = walk(group)
+        return {"held": np.array([True]), **{f"held_{a}": np.array([v]) for a, v in zip(axes, last)}}
+
+    def close(group: Columns) -> Columns | None:
+        kept, _ = walk(group)
+        return {name: group[name][kept] for name in names} if kept else None
 
+    state = {"held": ("boolean", False), **{f"held_{a}": ("double", 0.0) for a in axes}}
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    crowded = fold_groups(alone.filter("_size > 1"), [*KEY, "run"], ["idx"], fold, schema)
-    return alone.filter("_size = 1").select(*points.columns).unionByName(crowded)
+    thinned = fold_in_blocks(crowded, [*KEY, "run"], ["idx"], leave, close, state, schema)
+    return alone.filter("_size = 1").select(*points.columns).unionByName(thinned)
 
 
 def drop_duplicates_kept(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sweepfield.functions.numeric import clip
 from sweepfield.operators import contours
+from sweepfield.plans.blocks import fold_in_blocks, in_blocks
 from sweepfield.plans.folds import Columns, fold_groups
 from sweepfield.plans.ordered import (
     Spans,
@@ -73,8 +74,9 @@ def split_min_points(
     """The same cuts, but each only ``min_points`` after the last accepted one.
 
     A candidate that far behind the candidate before it is accepted whatever
-    came earlier. Candidates are cut into runs there, and only the few of a
-    run are folded in order. A short tail joins the segment before it.
+    came earlier. Candidates are cut into runs there, and a run is folded in
+    order, a long one in blocks that carry the last accepted place. A short
+    tail joins the segment before it.
     """
     spans = ensure_spans(points, KEY, "idx", spans)
     flagged = _candidates(points, threshold, spans)
@@ -84,14 +86,25 @@ def split_min_points(
     fresh = F.col("prev").isNull() | (F.col("idx") - F.col("prev.idx") >= reach)
     runs = with_islands(linked, KEY, ["idx"], fresh, spans, "run").select(*KEY, "run", "idx")
 
-    def accept(run: Columns) -> Columns:
-        kept = [run["idx"][0]]
-        for place in run["idx"][1:]:
-            if place - kept[-1] >= reach:
+    def walk(group: Columns):
+        """Accepted places of a block, and the last one accepted so far."""
+        last, kept = (group["held_idx"][0] if group["held"][0] else None), []
+        for place in group["idx"]:
+            if last is None or place - last >= reach:
                 kept.append(place)
-        return {"contour_id": run["contour_id"][0], "idx": np.array(kept)}
+                last = place
+        return kept, last
 
-    accepted = fold_groups(runs, [*KEY, "run"], ["idx"], accept, "contour_id long, idx long").filter(F.col("idx") > 0)
+    def leave(group: Columns) -> Columns:
+        return {"held": np.array([True]), "held_idx": np.array([walk(group)[1]])}
+
+    def close(group: Columns) -> Columns | None:
+        kept, _ = walk(group)
+        return {"contour_id": group["contour_id"][0], "idx": np.array(kept)} if kept else None
+
+    state = {"held": ("boolean", False), "held_idx": ("bigint", 0)}
+    cut = in_blocks(runs, [*KEY, "run"], ["idx"], spans)
+    accepted = fold_in_blocks(cut, [*KEY, "run"], ["idx"], leave, close, state, "contour_id long, idx long").filter(F.col("idx") > 0)
     ends = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     tails = accepted.groupBy(*KEY).agg(F.max("idx").alias("idx")).join(ends, KEY).filter(F.col("_n") - F.col("idx") < min_points)
     breaks = accepted.join(tails.select(*KEY, "idx"), [*KEY, "idx"], "left_anti").withColumn("_hit", F.lit(True))

@@ -9,6 +9,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 
 from sweepfield.operators import boxes, colors, contours, fits, primitives, repair, segments
+from sweepfield.plans import blocks as plan_blocks
 from sweepfield.plans.ordered import NO_SPLIT
 
 
@@ -165,7 +166,7 @@ def test_suppression_repeats_nothing(spark):
 
 @pytest.mark.parametrize("block,angle", [(20_000, None), (8, 0.5)])
 def test_locality_merge(spark, block, angle, monkeypatch):
-    monkeypatch.setattr(boxes, "BLOCK", block)
+    monkeypatch.setattr(plan_blocks, "BLOCK", block)
     rows = sorted(box_rows(150, 40), key=lambda r: r[3])
     rows = [(1, i, *r[2:]) for i, r in enumerate(rows[:60])]
     # A chain that stays open over many blocks.
@@ -267,3 +268,29 @@ def test_hausdorff_is_symmetric(spark, outline):
     a = table(spark, outline, "pair_id")
     b = a.withColumn("x", F.col("x") + 0.5)
     assert fits.hausdorff(a, b).first()[1] == pytest.approx(fits.hausdorff(b, a).first()[1])
+
+
+def test_long_runs_are_folded_in_blocks(spark, monkeypatch):
+    """Thinning, minimum segment length and reading order of one long group equal the loop whatever the block."""
+    rng = random.Random(8)
+    path = [(1, i, round(i * 0.3 + rng.uniform(0, 0.2), 3), round(rng.uniform(0, 0.2), 3)) for i in range(90)]
+    points = spark.createDataFrame(path, "contour_id long, idx long, x double, y double")
+    kept = [path[0]]
+    for p in path[1:]:
+        if math.hypot(p[2] - kept[-1][2], p[3] - kept[-1][3]) > 1.0:
+            kept.append(p)
+    spots = [(1, i, rng.uniform(0, 50), i * 0.7) for i in range(80)]
+    queue = sorted(spots, key=lambda r: (r[3], r[2], r[1]))
+    for i in range(len(queue) - 1):
+        a, b = queue[i], queue[i + 1]
+        if abs(b[3] - a[3]) < 10 and b[2] < a[2]:
+            queue[i], queue[i + 1] = b, a
+    frame = spark.createDataFrame(spots, "image_id long, box_id long, x double, y double")
+    zigzag = spark.createDataFrame([(1, i, float(i), float(rng.choice([0, 0, 3]))) for i in range(90)], "contour_id long, idx long, x double, y double")
+    cuts = segments.split_min_points(zigzag, 0.3, 6, NO_SPLIT).cache()
+    whole = as_set(cuts)
+    monkeypatch.setattr(plan_blocks, "BLOCK", 11)
+    assert {r.idx for r in repair.drop_duplicates_kept(points, 1.0, NO_SPLIT, close=False).collect()} == {p[1] for p in kept}
+    assert {(r.place, r.box_id) for r in boxes.reading_order(frame, spans=NO_SPLIT).collect()} == {(i, b[1]) for i, b in enumerate(queue, 1)}
+    monkeypatch.setattr(plan_blocks, "BLOCK", 3)
+    assert as_set(segments.split_min_points(zigzag, 0.3, 6, NO_SPLIT)) == whole
