@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepfield.functions.numeric import EPS, clip, rounded
-from sweepfield.plans.grid import around, cell_of, cells_per_axis, cover_segments
+from sweepfield.plans.grid import SMALL, around
 from sweepfield.plans.ordered import Spans, ensure_spans, with_group, with_neighbours
 from sweepfield.plans.sizing import broadcast_if_small
 from sweepfield.session import shared_folder
@@ -149,7 +149,7 @@ def outline_edges(points: DataFrame, variant: str, spans: Spans) -> DataFrame:
         "edge_count": F.count(F.lit(1)), "last": F.max("idx"),
         "lo_x": F.min(F.least("x1", "x2")), "hi_x": F.max(F.greatest("x1", "x2")),
         "lo_y": F.min(F.least("y1", "y2")), "hi_y": F.max(F.greatest("y1", "y2")),
-    }, spans).withColumn("cells", cells_per_axis(F.col("edge_count")))
+    }, spans)
 
 
 def _turn(p: str, q: str, r: str) -> Column:
@@ -157,32 +157,57 @@ def _turn(p: str, q: str, r: str) -> Column:
     return (qx - px) * (ry - py) - (qy - py) * (rx - px)
 
 
-def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | None = None) -> DataFrame:
-    """Pairs of crossing edges of each outline.
+def near_edges(edges: DataFrame, tol: float, spans: Spans) -> DataFrame:
+    """Pairs of edges of an outline whose frames, widened by the tolerance, share a cell of the grid of levels.
 
-    Edges meet in grid cells; a pair is reported only in the cell of its
-    meeting point, so no pair appears twice.
+    ``i`` and ``j`` number the edges, ``a``-``b`` and ``c``-``d`` are their
+    ends, ``ab_`` and ``cd_`` their frames; ``last`` is the outline's last edge.
     """
-    spans = ensure_spans(points, KEY, "idx", spans)
-    tol, touching = VARIANTS[variant]
-    edges = outline_edges(points, variant, spans)
+    ends, box = ["x1", "y1", "x2", "y2"], ["left", "right", "low", "high"]
     extent = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
-    # A touching end may lie this far from the other edge and still pass the test.
-    pad = extent * 1e-9 + F.lit(1e-12 + tol + 1.01 * math.sqrt(tol))
-    # Coordinates are made non-null once, which keeps the generated code small.
-    solid = edges.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("x1", "y1", "x2", "y2")})
+    # Coordinates are made non-null once; an edge without a place meets nothing.
+    solid = edges.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ends}).filter(~F.isnan(F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2")))
     framed = solid.withColumns({
-        "left": F.least("x1", "x2") - tol, "right": F.greatest("x1", "x2") + tol,
-        "low": F.least("y1", "y2") - tol, "high": F.greatest("y1", "y2") + tol,
+        "left": F.least("x1", "x2") - tol, "right": F.greatest("x1", "x2") + tol, "low": F.least("y1", "y2") - tol, "high": F.greatest("y1", "y2") + tol,
+        "one_cell": F.col("edge_count") <= SMALL,
     })
-    cells = cover_segments(framed, pad)
-    box = ["left", "right", "low", "high"]
-    side = lambda a, b, i, p: [
-        *KEY, "cell_x", "cell_y", F.col("idx").alias(i), F.col("x1").alias(f"{a}x"), F.col("y1").alias(f"{a}y"),
-        F.col("x2").alias(f"{b}x"), F.col("y2").alias(f"{b}y"), *[F.col(n).alias(f"{p}_{n}") for n in box],
+    length = F.greatest(F.col("right") - F.col("left"), F.col("high") - F.col("low"), extent * 1e-12, F.lit(1e-300))
+    sized = framed.withColumn("own", F.when(F.col("one_cell"), F.lit(0).cast("long")).otherwise(F.ceil(F.log2(length))))
+    levelled = with_group(sized, KEY, {"levels": F.collect_set("own")}, spans)
+    at = lambda place: F.when(F.col("one_cell"), F.lit(0).cast("long")).otherwise(F.floor(place / F.pow(F.lit(2.0), F.col("level"))))
+    across = lambda low, high: F.explode(F.sequence(at(F.col(low)), at(F.col(high))))
+    edge = F.struct("idx", "own", *ends, *box)
+    grid = [*KEY, "level", "cell_x", "cell_y"]
+
+    def covered(rows: DataFrame) -> DataFrame:
+        return rows.select("*", across("left", "right").alias("cell_x")).select("*", across("low", "high").alias("cell_y"))
+
+    looking = covered(levelled.withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("own"))))).select(*grid, edge.alias("s"))
+    standing = covered(levelled.withColumn("level", F.col("own"))).select(*grid, edge.alias("t"), "last", "one_cell")
+    home = lambda side, cell: at(F.greatest(f"s.{side}", f"t.{side}")) == F.col(cell)
+    once = (F.col("s.own") < F.col("t.own")) | (F.col("s.idx") < F.col("t.idx"))
+    met = looking.join(standing, grid).filter((F.col("s.idx") != F.col("t.idx")) & once & home("left", "cell_x") & home("low", "cell_y"))
+    ahead = F.col("s.idx") < F.col("t.idx")
+    pick = lambda c, first: F.when(ahead, F.col(f"{'s' if first else 't'}.{c}")).otherwise(F.col(f"{'t' if first else 's'}.{c}"))
+    side = lambda a, b, i, p, first: [
+        pick("idx", first).alias(i), pick("x1", first).alias(f"{a}x"), pick("y1", first).alias(f"{a}y"), pick("x2", first).alias(f"{b}x"),
+        pick("y2", first).alias(f"{b}y"), *[pick(n, first).alias(f"{p}_{n}") for n in box],
     ]
-    grid = ["last", "lo_x", "hi_x", "lo_y", "hi_y", "cells"]
-    pairs = cells.select(*side("a", "b", "i", "ab"), *grid).join(cells.select(*side("c", "d", "j", "cd")), [*KEY, "cell_x", "cell_y"])
+    return met.select(*KEY, *side("a", "b", "i", "ab", True), *side("c", "d", "j", "cd", False), "last")
+
+
+def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | None = None) -> DataFrame:
+    """Pairs of crossing edges of each outline.
+
+    Edges meet on a grid of levels. An edge stands in the cells of the level of
+    its own size and looks at the cells that it covers on each level above that
+    its outline has, so one far vertex crowds nothing. A pair counts in the
+    cell of the lower corner that its frames share, so no pair appears twice.
+    Outlines of few edges are one cell.
+    """
+    spans = ensure_spans(points, KEY, "idx", spans)
+    tol, touching = VARIANTS[variant]
+    pairs = near_edges(outline_edges(points, variant, spans), tol, spans)
     if variant in ("gate", "open"):
         pairs = pairs.filter(F.col("j") > F.col("i") + (1 if variant == "open" else 0))
     else:
@@ -213,16 +238,7 @@ def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | Non
         for code, (turn, frame, q) in enumerate(ends, 2):
             how = how.when((F.abs(turn) <= tol) & within(frame, q), code)
     met = pairs.withColumn("how", how).filter(F.col("how").isNotNull())
-    # Where line c-d cuts line a-b, as a share of c-d.
-    share = F.try_divide(o1, o1 - o2)
-    place = lambda axis: F.when(F.col("how") == 1, F.col(f"c{axis}") + share * (F.col(f"d{axis}") - F.col(f"c{axis}"))).otherwise(
-        F.element_at(F.array(*[F.col(f"{q}{axis}") for _, _, q in ends]), F.greatest(F.col("how") - 1, F.lit(1)))
-    )
-    met = met.select("*", F.struct(place("x").alias("x"), place("y").alias("y")).alias("spot"))
-    home = (F.col("cell_x") == cell_of(F.col("spot.x"), F.col("lo_x"), F.col("hi_x"), F.col("cells"))) & (
-        F.col("cell_y") == cell_of(F.col("spot.y"), F.col("lo_y"), F.col("hi_y"), F.col("cells"))
-    )
-    return met.filter(home).select(*KEY, F.col("i").alias("edge_a"), F.col("j").alias("edge_b"))
+    return met.select(*KEY, F.col("i").alias("edge_a"), F.col("j").alias("edge_b"))
 
 
 def self_intersections(points: DataFrame, variant: str = "touch", spans: Spans | None = None) -> DataFrame:
@@ -579,21 +595,24 @@ def contour_depth_tree(hierarchy: DataFrame) -> DataFrame:
     """Nearest odd-numbered ancestor of every odd contour, from ``hierarchy(id, parent)``.
 
     Even contours are skipped by pointer doubling, so the rounds grow with the
-    logarithm of the depth. Each round is checkpointed to the shared folder.
+    logarithm of the depth. Each round is checkpointed to the shared folder. A
+    contour that only leads round a cycle of even parents has no ancestor: as
+    many doublings as the number of even contours has binary digits reach every
+    end there is.
     """
     shared_folder(hierarchy.sparkSession)
     jump = hierarchy.select("id", F.col("parent").alias("up"))
-    even = jump.filter(F.col("id") % 2 == 0)
-    while True:
+    even = jump.filter(F.col("id") % 2 == 0).checkpoint()
+    open_ends = (F.col("up") >= 0) & (F.col("up") % 2 == 0)
+    for _ in range(even.count().bit_length()):
         even = even.checkpoint()
-        open_ends = (F.col("up") >= 0) & (F.col("up") % 2 == 0)
         if even.filter(open_ends).isEmpty():
             break
         hop = even.select(F.col("id").alias("up"), F.col("up").alias("_further"))
         even = even.join(hop, "up", "left").select(
             "id", F.when(open_ends, F.coalesce("_further", F.lit(-1))).otherwise(F.col("up")).alias("up")
         )
-    hop = even.select(F.col("id").alias("up"), F.col("up").alias("_further"))
+    hop = even.select(F.col("id").alias("up"), F.when(~open_ends, F.col("up")).alias("_further"))
     odd = jump.filter(F.col("id") % 2 != 0).join(hop, "up", "left")
     target = F.when((F.col("up") >= 0) & (F.col("up") % 2 == 0), F.col("_further")).otherwise(F.col("up"))
     return odd.select("id", F.when(target >= 0, target).alias("ancestor"))

@@ -1,53 +1,18 @@
 """Grids that turn geometric nearness into equi-joins.
 
-Cells are sized per entity from its own row count and extent, so a hot entity
-spreads over many join keys. Entities with few rows use a single cell.
+A hot entity spreads over many cells and so over many join keys. Entities with
+few rows use a single cell.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many rows an entity is joined with itself in one cell.
 SMALL = 64
 
 
-def cells_per_axis(count: Column) -> Column:
-    return F.when(count <= SMALL, F.lit(1)).otherwise(F.ceil(F.sqrt(count))).cast("long")
-
-
-def cell_of(value: Column, low: Column, high: Column, cells: Column) -> Column:
-    """Cell number along one axis, clamped to the grid."""
-    width = (high - low) / cells
-    raw = F.when(width > 0, F.floor(F.try_divide(value - low, width))).otherwise(F.lit(0)).cast("long")
-    return F.greatest(F.lit(0).cast("long"), F.least(cells - 1, raw))
-
-
-def cover_segments(edges: DataFrame, pad: Column) -> DataFrame:
-    """Repeat each segment for every cell it passes within ``pad``.
-
-    Needs ``x1 y1 x2 y2`` and the grid columns ``lo_x hi_x lo_y hi_y cells``.
-    Rows are first spread over columns of cells, then over the stretch of the
-    segment inside that column, so a long segment covers O(cells) cells.
-    """
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    lo_x, hi_x, lo_y, hi_y, cells = (F.col(c) for c in ("lo_x", "hi_x", "lo_y", "hi_y", "cells"))
-    from_x = cell_of(F.least(x1, x2) - pad, lo_x, hi_x, cells)
-    to_x = cell_of(F.greatest(x1, x2) + pad, lo_x, hi_x, cells)
-    wide = edges.select("*", F.explode(F.sequence(from_x, to_x)).alias("cell_x"))
-    step = (hi_x - lo_x) / cells
-    left, right = lo_x + F.col("cell_x") * step - pad, lo_x + (F.col("cell_x") + 1) * step + pad
-    dx = x2 - x1
-    share = lambda edge: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(edge - x1, dx)))
-    steep = F.abs(dx) < 1e-12
-    ya = F.when(steep, y1).otherwise(y1 + share(left) * (y2 - y1))
-    yb = F.when(steep, y2).otherwise(y1 + share(right) * (y2 - y1))
-    from_y = cell_of(F.least(ya, yb) - pad, lo_y, hi_y, cells)
-    to_y = cell_of(F.greatest(ya, yb) + pad, lo_y, hi_y, cells)
-    return wide.select("*", F.explode(F.sequence(from_y, to_y)).alias("cell_y"))
-
-
 def around(cells: DataFrame, names: tuple[str, str] = ("cell_x", "cell_y"), half: bool = False) -> DataFrame:
     """Repeat each row for the 3×3 cells around its own (or five of them, for unordered pairs)."""
     offsets = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]

@@ -294,3 +294,28 @@ def test_long_runs_are_folded_in_blocks(spark, monkeypatch):
     assert {(r.place, r.box_id) for r in boxes.reading_order(frame, spans=NO_SPLIT).collect()} == {(i, b[1]) for i, b in enumerate(queue, 1)}
     monkeypatch.setattr(plan_blocks, "BLOCK", 3)
     assert as_set(segments.split_min_points(zigzag, 0.3, 6, NO_SPLIT)) == whole
+
+
+def test_one_far_vertex_crowds_no_cell(spark):
+    rng = random.Random(3)
+    ring = [(math.cos(i / 500 * math.pi) + rng.uniform(0, 1e-3), math.sin(i / 500 * math.pi) + rng.uniform(0, 1e-3)) for i in range(1000)]
+    near = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(ring)], "contour_id long, idx long, x double, y double")
+    ring[700] = (1e5, 1e5)
+    far = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(ring)], "contour_id long, idx long, x double, y double")
+    for points in (near, far):
+        edges = contours.outline_edges(points, "loop", NO_SPLIT)
+        assert contours.near_edges(edges, 1e-7, NO_SPLIT).count() < 50 * 1000
+    cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+    pairs = 0
+    for i in range(1000):
+        a, b = ring[i], ring[(i + 1) % 1000]
+        for j in range(i + 2, 1000 - (i == 0)):
+            c, d = ring[j], ring[(j + 1) % 1000]
+            pairs += cross(a, b, c) * cross(a, b, d) < 0 and cross(c, d, a) * cross(c, d, b) < 0
+    assert contours.self_intersections(far, "proper", NO_SPLIT).first().crossings == pairs > 0
+
+
+def test_a_cycle_of_parents_has_no_ancestor(spark):
+    rows = [(1, 2), (2, 4), (4, 6), (6, 2), (3, 8), (8, 5), (5, -1), (7, 10), (10, 10), (12, -1), (9, 12)]
+    tree = contours.contour_depth_tree(spark.createDataFrame(rows, "id long, parent long"))
+    assert {r.id: r.ancestor for r in tree.collect()} == {1: None, 3: 5, 5: None, 7: None, 9: None}
