@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,10 +160,11 @@ def _turn(p: str, q: str, r: str) -> Column:
 
 
 def near_edges(edges: DataFrame, tol: float, spans: Spans) -> DataFrame:
-    """Pairs of edges of an outline whose frames, widened by the tolerance, share a cell of the grid of levels.
+    """Pairs of edges of an outline whose frames, widened by the tolerance, touch, met in the cells of a grid of levels.
 
-    ``i`` and ``j`` number the edges, ``a``-``b`` and ``c``-``d`` are their
-    ends, ``ab_`` and ``cd_`` their frames; ``last`` is the outline's last edge.
+    ``i`` < ``j`` number the edges, ``a``-``b`` and ``c``-``d`` are their ends
+    in either order, ``ab_`` and ``cd_`` their frames; ``last`` is the outline's
+    last edge.
     """
     ends, box = ["x1", "y1", "x2", "y2"], ["left", "right", "low", "high"]
     extent = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
@@ -173,35 +176,36 @@ def near_edges(edges: DataFrame, tol: float, spans: Spans) -> DataFrame:
     })
     length = F.greatest(F.col("right") - F.col("left"), F.col("high") - F.col("low"), extent * 1e-12, F.lit(1e-300))
     sized = framed.withColumn("own", F.when(F.col("one_cell"), F.lit(0).cast("long")).otherwise(F.ceil(F.log2(length))))
-    levelled = with_group(sized, KEY, {"levels": F.collect_set("own")}, spans)
+    levelled = with_group(sized, KEY, {"top": F.max("own")}, spans)
     at = lambda place: F.when(F.col("one_cell"), F.lit(0).cast("long")).otherwise(F.floor(place / F.pow(F.lit(2.0), F.col("level"))))
     across = lambda low, high: F.explode(F.sequence(at(F.col(low)), at(F.col(high))))
-    edge = F.struct("idx", "own", *ends, *box)
+    edge = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("idx", "own", *ends, *box)]
     grid = [*KEY, "level", "cell_x", "cell_y"]
 
     def covered(rows: DataFrame) -> DataFrame:
         return rows.select("*", across("left", "right").alias("cell_x")).select("*", across("low", "high").alias("cell_y"))
 
-    looking = covered(levelled.withColumn("level", F.explode(F.filter("levels", lambda v: v >= F.col("own"))))).select(*grid, edge.alias("s"))
-    standing = covered(levelled.withColumn("level", F.col("own"))).select(*grid, edge.alias("t"), "last", "one_cell")
-    home = lambda side, cell: at(F.greatest(f"s.{side}", f"t.{side}")) == F.col(cell)
-    once = (F.col("s.own") < F.col("t.own")) | (F.col("s.idx") < F.col("t.idx"))
-    met = looking.join(standing, grid).filter((F.col("s.idx") != F.col("t.idx")) & once & home("left", "cell_x") & home("low", "cell_y"))
-    ahead = F.col("s.idx") < F.col("t.idx")
-    pick = lambda c, first: F.when(ahead, F.col(f"{'s' if first else 't'}.{c}")).otherwise(F.col(f"{'t' if first else 's'}.{c}"))
-    side = lambda a, b, i, p, first: [
-        pick("idx", first).alias(i), pick("x1", first).alias(f"{a}x"), pick("y1", first).alias(f"{a}y"), pick("x2", first).alias(f"{b}x"),
-        pick("y2", first).alias(f"{b}y"), *[pick(n, first).alias(f"{p}_{n}") for n in box],
+    looking = covered(levelled.withColumn("level", F.explode(F.sequence("own", "top")))).select(*grid, *edge("s_"))
+    standing = covered(levelled.withColumn("level", F.col("own"))).select(*grid, *edge("t_"), "last", "one_cell")
+    home = lambda side, cell: F.col("one_cell") | (at(F.greatest(f"s_{side}", f"t_{side}")) == F.col(cell))
+    once = F.when(F.col("s_own") < F.col("t_own"), F.col("s_idx") != F.col("t_idx")).otherwise(F.col("s_idx") < F.col("t_idx"))
+    # Frames that lie apart cannot meet.
+    touch = reduce(and_, [F.col(f"{p}_{low}") <= F.col(f"{q}_{high}") for p, q in ("st", "ts") for low, high in (("left", "right"), ("low", "high"))])
+    met = looking.join(standing, grid).filter(once & touch & home("left", "cell_x") & home("low", "cell_y"))
+    side = lambda p, a, b, frame: [
+        F.col(f"{p}_x1").alias(f"{a}x"), F.col(f"{p}_y1").alias(f"{a}y"), F.col(f"{p}_x2").alias(f"{b}x"), F.col(f"{p}_y2").alias(f"{b}y"),
+        *[F.col(f"{p}_{n}").alias(f"{frame}_{n}") for n in box],
     ]
-    return met.select(*KEY, *side("a", "b", "i", "ab", True), *side("c", "d", "j", "cd", False), "last")
+    return met.select(
+        *KEY, F.least("s_idx", "t_idx").alias("i"), F.greatest("s_idx", "t_idx").alias("j"), *side("s", "a", "b", "ab"), *side("t", "c", "d", "cd"), "last")
 
 
 def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | None = None) -> DataFrame:
     """Pairs of crossing edges of each outline.
 
     Edges meet on a grid of levels. An edge stands in the cells of the level of
-    its own size and looks at the cells that it covers on each level above that
-    its outline has, so one far vertex crowds nothing. A pair counts in the
+    its own size and looks at the cells that it covers on each level above up
+    to the longest edge's, so one far vertex crowds nothing. A pair counts in the
     cell of the lower corner that its frames share, so no pair appears twice.
     Outlines of few edges are one cell.
     """
@@ -212,11 +216,6 @@ def crossing_pairs(points: DataFrame, variant: str = "touch", spans: Spans | Non
         pairs = pairs.filter(F.col("j") > F.col("i") + (1 if variant == "open" else 0))
     else:
         pairs = pairs.filter((F.col("j") > F.col("i") + 1) & ~((F.col("i") == 0) & (F.col("j") == F.col("last"))))
-    # Frames that lie apart cannot meet.
-    pairs = pairs.filter(
-        (F.col("ab_left") <= F.col("cd_right")) & (F.col("cd_left") <= F.col("ab_right"))
-        & (F.col("ab_low") <= F.col("cd_high")) & (F.col("cd_low") <= F.col("ab_high"))
-    )
     pairs = pairs.select(
         "*", _turn("a", "b", "c").alias("o1"), _turn("a", "b", "d").alias("o2"),
         _turn("c", "d", "a").alias("o3"), _turn("c", "d", "b").alias("o4"),
