@@ -58,15 +58,32 @@ def _(t):
     return sweeps.latest_file_per_group(files, ["user_id"]).select("user_id", "path")
 
 
-@register("history_rows", """SELECT o_orderkey AS iteration, printf('%.6f', o_totalprice) AS patch_length, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE printf('%.9f', o_totalprice) END AS f_resonance,
-    '' AS min_s11, printf('%.9f', o_custkey::DOUBLE) AS objective_value, o_orderstatus AS status, printf('%.3f', o_totalprice) AS simulation_time FROM orders""")
-def _(t):
+HISTORY = """SELECT o_orderkey AS iteration, printf('%.6f', o_totalprice) AS patch_length, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE printf('%.9f', o_totalprice) END AS f_resonance,
+    '' AS min_s11, printf('%.9f', o_custkey::DOUBLE) AS objective_value, o_orderstatus AS status, printf('%.3f', o_totalprice) AS simulation_time FROM orders"""
+
+
+def history(t):
     c = F.col
-    rows = t.table("orders").select(
+    return t.table("orders").select(
         c("o_orderkey").alias("iteration"), c("o_totalprice").alias("patch_length"), F.when(c("o_orderkey") % 5 != 0, c("o_totalprice")).alias("f_resonance"),
         F.lit(None).cast("double").alias("min_s11"), c("o_custkey").cast("double").alias("objective_value"), c("o_orderstatus").alias("status"), c("o_totalprice").alias("simulation_time"),
     )
-    return sinks.history_rows(rows)
+
+
+@register("history_rows", HISTORY)
+def _(t):
+    return sinks.history_rows(history(t))
+
+
+@register("write_history", HISTORY)
+def _(t):
+    folder = f"{shared_folder(t.spark)}/history-{uuid.uuid4().hex}"
+    # Written in two goes, as a log grows, and read back from the files.
+    for part in (0, 1):
+        sinks.write_history(history(t).filter(F.col("iteration") % 2 == part), folder)
+    names = list(sinks.HISTORY)
+    back = t.spark.read.option("header", "true").schema("iteration bigint, " + ", ".join(f"{n} string" for n in names[1:])).csv(folder)
+    return back.select("iteration", *[F.coalesce(n, F.lit("")).alias(n) for n in names[1:]])
 
 
 @register("write_json_records", """SELECT CASE status WHEN 'failed' THEN 'failed' ELSE 'success' END AS kind, count(*) AS records, sum(trial_id)::BIGINT AS ids,
@@ -111,6 +128,19 @@ def _(t):
     return payloads.explode_points(loaded(t)).select("design_id", F.col("comp").cast("long").alias("comp"), "idx", *r("x", "y"))
 
 
+@register("load_payloads", """SELECT vec_id AS design_id, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE 1 END::BIGINT AS component_count, coalesce(n, 0)::BIGINT AS points, low
+    FROM embeddings LEFT JOIN (SELECT contour_id, count(*) AS n, round(min(x), 6) AS low FROM contours WHERE contour_id % 7 <> 0 GROUP BY contour_id) ON contour_id = vec_id""")
+def _(t):
+    folder = f"{shared_folder(t.spark)}/payloads-{uuid.uuid4().hex}"
+    # One file per design; every seventh is no JSON object, or empty.
+    broken = F.when(F.col("design_id") % 14 == 0, "").when(F.col("design_id") % 7 == 0, "[1, 2").otherwise(F.col("doc"))
+    payload_texts(t).select("design_id", broken.alias("doc")).write.partitionBy("design_id").text(folder)
+    payload = payloads.load_payloads(t.spark, folder).withColumn("design_id", F.regexp_extract("design_id", r"design_id=(\d+)", 1).cast("long"))
+    points = payloads.explode_points(payload).groupBy("design_id").agg(F.count(F.lit(1)).alias("points"), F.min("x").alias("low"))
+    return payloads.parameterization_summary(payload).select("design_id", "component_count").join(points, "design_id", "left").select(
+        "design_id", "component_count", F.coalesce("points", F.lit(0)).alias("points"), *r("low"))
+
+
 @register("primitive_inventory", """WITH b AS (SELECT contour_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM contours WHERE idx BETWEEN 2 AND 4 GROUP BY contour_id)
     SELECT contour_id AS design_id, 'c' || contour_id || '_s0' AS primitive_id, 'LINE' AS type, 2::BIGINT AS points, 0.0::DOUBLE AS min_x, 3.0::DOUBLE AS max_y FROM b
     UNION ALL SELECT contour_id, 'c' || contour_id || '_s1', 'BSPLINE', 3, round(x0, 6), round(y1, 6) FROM b UNION ALL SELECT contour_id, 'c' || contour_id || '_h1', 'HOLE', 3, 0.0, 1.0 FROM b""")
