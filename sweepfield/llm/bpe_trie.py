@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from sweepfield.llm.common import slices, text_of
 
-SLICE_BYTES = 2_000_000  # text encoded at once
+SLICE_BYTES = 3_000_000  # text encoded at once
 TRIE_NODES, INSERTED = 400_000, 20_000  # the trie is emptied beyond this, looked at after so many words; some 200 bytes a node
 PATH_SYMBOLS = 512  # longer words don't enter the trie
 END = 256  # added to the byte that ends a word
