@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweepfield.functions.arrays import bound, fold_collect
+
 # Page marker, required reply keys and fall-back sizes.
 PAGE_MARK = "\n=== 第 {} 页 ===\n"
 REQUIRED_KEYS = ["X", "Y", "Z", "Unit"]
@@ -72,34 +74,36 @@ _MARKS = r'\\[\s\S]|["{}]'
 def _objects(reply: Column) -> Column:
     """Balanced top-level JSON objects of a text, in order; unreadable ones are left out.
 
-    The marks of the text and the stretches between them are folded once: the
-    state knows the position, the brace depth and whether a string is open.
+    The marks of the text and the stretches between them are folded once, in
+    blocks: the state knows the mark's number, the brace depth and whether a
+    string is open. An object is joined from the marks and stretches it spans,
+    so its place in the text costs nothing.
     """
     text = F.regexp_replace(reply, "```(json)?", "")
     marks, gaps = F.regexp_extract_all(text, F.lit(_MARKS), F.lit(0)), F.split(text, _MARKS, -1)
-    steps = F.filter(F.zip_with(marks, gaps, lambda m, g: F.struct(m.alias("mark"), F.char_length(g).alias("gap"))), lambda s: s["mark"].isNotNull())
-    none = F.array().cast("array<struct<start:int,size:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("open"), none.alias("found"))
+    steps = F.filter(F.zip_with(marks, gaps, lambda m, g: F.struct(m.alias("mark"), g.alias("gap"))), lambda s: s["mark"].isNotNull())
+    spans = "array<struct<first:int,size:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("open"))
 
-    def step(state: Column, s: Column) -> Column:
-        at = state["at"] + s["gap"]
-        end = at + F.char_length(s["mark"])
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
         # Outside strings a backslash escapes nothing.
         sign = F.when(state["quoted"], s["mark"]).otherwise(F.right(s["mark"], F.lit(1)))
         inside = state["depth"] > 0
         opens, closes = ~state["quoted"] & (sign == "{"), ~state["quoted"] & inside & (sign == "}")
-        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        done = closes & (depth == 0)
-        first = F.when(opens & ~inside, end - 1).otherwise(state["open"])
-        span = F.struct(first.alias("start"), (end - first).alias("size"))
-        return F.struct(
-            end.alias("at"), depth.alias("depth"),
-            F.when(inside & (sign == '"'), ~state["quoted"]).otherwise(state["quoted"]).alias("quoted"), first.alias("open"),
-            F.when(done, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
-
-    spans = F.aggregate(steps, start, step, lambda state: state["found"])
-    pieces = F.transform(spans, lambda s: text.substr(s["start"] + 1, s["size"]))
-    return F.filter(F.coalesce(pieces, F.array().cast("array<string>")), lambda p: F.json_object_keys(p).isNotNull())
+        first = F.when(opens & ~inside, state["at"]).otherwise(state["open"])
+        after = F.struct(
+            (state["at"] + 1).alias("at"), (state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(inside & (sign == '"'), ~state["quoted"]).otherwise(state["quoted"]).alias("quoted"), first.alias("open"))
+        span = F.struct(state["open"].alias("first"), (state["at"] - state["open"]).alias("size"))
+        return after, F.when(closes & (state["depth"] == 1), F.array(span)).otherwise(F.array().cast(spans))
+
+    def pieces(all_steps: Column) -> Column:
+        inner = lambda s: F.transform(
+            F.slice(all_steps, s["first"] + 2, s["size"]), lambda t: F.concat(t["gap"], t["mark"]))
+        return F.transform(fold_collect(all_steps, start, step, spans), lambda s: F.concat(F.lit("{"), F.array_join(inner(s), "")))
+
+    found = F.coalesce(bound(steps, pieces), F.array().cast("array<string>"))
+    return F.filter(found, lambda p: F.json_object_keys(p).isNotNull())
 
 
 def reply_objects(replies: DataFrame, text: str = "reply") -> DataFrame:
