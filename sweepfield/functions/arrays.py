@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Items of one inner fold.
-BLOCK = 512
+BLOCK = 128
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
