@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sweepfield.functions.arrays import bound, fold_collect
 from sweepfield.session import shared_folder
 
 # Rows of a few dozen bytes: a table below this count may be broadcast.
@@ -100,27 +101,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as ``array<struct<start, end, hit, gap>>``.
+    """All leftmost non-overlapping matches as ``array<struct<start, end, hit, gap, rest>>``.
 
     Positions are code points, ``end`` exclusive; ``gap`` is the text between
-    the previous match and this one. The matches and the gaps come from one
-    extraction and one split, both linear in the text.
+    the previous match and this one, ``rest`` the text up to the next match.
+    The matches and the gaps come from one extraction and one split, and the
+    positions from a fold in blocks, so a text may hold any number of matches.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.filter(
-        F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), lambda p: p["hit"].isNotNull()
-    )
-    empty = F.lit(None).cast("array<struct<start:long,end:long,hit:string,gap:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(empty, F.array()).alias("found"))
-
-    def step(state, pair):
-        at = state["at"] + F.char_length(pair["gap"])
-        end = at + F.char_length(pair["hit"])
-        found = F.struct(at.alias("start"), end.alias("end"), pair["hit"].alias("hit"), pair["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
-
-    return F.aggregate(pairs, start, step, lambda state: state["found"])
+    span = "array<struct<start:long,end:long,hit:string,gap:string,rest:string>>"
+
+    def pairs(gaps: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        later = F.slice(gaps, 2, 2_000_000_000)
+        return F.zip_with(hits, F.arrays_zip(gaps.alias("gap"), later.alias("rest")), lambda h, g: F.struct(
+            h.alias("hit"), g["gap"].alias("gap"), g["rest"].alias("rest")))
+
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        first = at + F.char_length(pair["gap"])
+        end = first + F.char_length(pair["hit"])
+        return end, F.array(F.struct(
+            first.alias("start"), end.alias("end"), pair["hit"].alias("hit"), pair["gap"].alias("gap"), pair["rest"].alias("rest")))
+
+    matched = F.filter(bound(F.split(text, pattern, -1), pairs), lambda p: p["hit"].isNotNull())
+    return fold_collect(matched, F.lit(0).cast("long"), step, span)
 
 
 def span_text(spans: Column, kinds: list[str]) -> Column:

@@ -3,7 +3,8 @@
 Everything is a projection of one row: no shuffle, no Python. The spans of a
 kind are the leftmost non-overlapping matches of its pattern; a validator then
 keeps or drops each of them. Scores start from the kind's prior and move up
-when a telling word stands in the few dozen characters before the match.
+when a telling word stands in the few dozen characters before or behind the
+match. A text may hold any number of matches: the cost is linear in them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweepfield.functions.arrays import bound
 from sweepfield.llm.common import count_kind, match_spans, span_text, text_of
 
 # The kinds in the order they are listed.
@@ -46,7 +48,7 @@ CONTEXT = {
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|contact)",
     "iban": r"(?i)(?:iban|account|bank|transfer)",
 }
-CONTEXT_CHARS, CONTEXT_GAIN = 48, 0.1
+CONTEXT_CHARS, CONTEXT_PAIRS, CONTEXT_GAIN = 48, 16, 0.1
 
 
 def digits_of(hit: Column) -> Column:
@@ -89,9 +91,9 @@ def account_in(hit: Column) -> Column:
 
 def _accounts(spans: Column) -> Column:
     """The spans cut to the account number they begin with; the others dropped."""
-    held = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), account_in(s["hit"]).alias("hit"), s["gap"].alias("gap")))
-    return F.transform(F.filter(held, lambda s: s["hit"].isNotNull()), lambda s: F.struct(
-        s["start"].alias("start"), (s["start"] + F.char_length(s["hit"])).alias("end"), s["hit"].alias("hit"), s["gap"].alias("gap")))
+    held = F.transform(spans, lambda s: s.withField("own", account_in(s["hit"])))
+    return F.transform(F.filter(held, lambda s: s["own"].isNotNull()), lambda s: s.withField(
+        "end", s["start"] + F.char_length(s["own"])).withField("behind", F.substring(s["hit"], F.char_length(s["own"]) + 1, F.lit(CONTEXT_CHARS))))
 
 
 def _valid(kind: str, hit: Column) -> Column:
@@ -107,16 +109,33 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _around(spans: Column, s: Column) -> Column:
+    """The characters before and behind one of ``spans``, a line between them.
+
+    A match and the text up to the next one have three characters or more, so
+    ``CONTEXT_PAIRS`` neighbours hold all that is looked at.
+    """
+    first = F.greatest(s["at"] - CONTEXT_PAIRS, F.lit(0))
+    before = F.transform(F.slice(spans, first + 1, s["at"] - first), lambda p: F.concat(p["gap"], p["hit"]))
+    after = F.transform(F.slice(spans, s["at"] + 2, CONTEXT_PAIRS), lambda p: F.concat(p["hit"], p["rest"]))
+    return F.concat(
+        F.right(F.concat(F.array_join(before, ""), s["gap"]), F.lit(CONTEXT_CHARS)), F.lit("\n"),
+        F.left(F.concat(s["behind"], s["rest"], F.array_join(after, "")), F.lit(CONTEXT_CHARS)))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind with their scores."""
     rank = KINDS.index(kind)
-    spans = match_spans(text, PATTERNS[kind])
-    kept = _accounts(spans) if kind == "iban" else F.filter(spans, lambda s: _valid(kind, s["hit"]))
-    near = lambda s: F.rlike(F.right(s["gap"], F.lit(CONTEXT_CHARS)), F.lit(CONTEXT[kind]))
-    return F.transform(kept, lambda s: F.struct(
-        s["start"].alias("start"), F.lit(rank).alias("kind"), s["end"].alias("end"),
-        (F.lit(PRIORS[kind]) + F.when(near(s), CONTEXT_GAIN).otherwise(0.0)).alias("score"), s["hit"].alias("hit"),
-    ))
+
+    def confirmed(spans: Column) -> Column:
+        numbered = F.transform(spans, lambda s, i: s.withField("at", i).withField("own", s["hit"]).withField("behind", F.lit("")))
+        kept = _accounts(numbered) if kind == "iban" else F.filter(numbered, lambda s: _valid(kind, s["hit"]))
+        return F.transform(kept, lambda s: F.struct(
+            s["start"].alias("start"), F.lit(rank).alias("kind"), s["end"].alias("end"),
+            (F.lit(PRIORS[kind]) + F.when(F.rlike(_around(spans, s), F.lit(CONTEXT[kind])), CONTEXT_GAIN).otherwise(0.0)).alias("score"),
+            s["own"].alias("hit")))
+
+    return bound(match_spans(text, PATTERNS[kind]), confirmed)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,8 +158,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, the digest of the base spans and the list of all spans."""
+    """Counts, the digest of the base spans, the list of all spans and their scores in per cent, in the same order."""
     base = F.filter("pii", lambda s: s["kind"] < BASE_KINDS)
     counts = [count_kind("pii", i).alias(f"n_{KINDS[i]}") for i in range(BASE_KINDS)]
     return found.select(
-        id_col, *counts, F.sha2(span_text(base, KINDS), 256).alias("base_sha256"), span_text(F.col("pii"), KINDS).alias("spans"))
+        id_col, *counts, F.sha2(span_text(base, KINDS), 256).alias("base_sha256"), span_text(F.col("pii"), KINDS).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"))
