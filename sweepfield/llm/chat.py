@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweepfield.functions.arrays import fold_collect
 from sweepfield.llm.common import text_of
 
 # The template. Each turn is OPEN, role, HEAD, content, CLOSE.
@@ -87,20 +88,20 @@ def format_chats(
     framed = grouped.select("_conv", "_turns", F.transform("_turns", lambda t: F.struct(
         F.concat(F.lit(OPEN), t["role"], F.lit(HEAD)).alias("head"), t["content"].alias("content"),
         (t["role"] == trained).alias("trained"))).alias("_framed"))
-    spans = F.array().cast("array<struct<start:long,length:long>>")
-    start = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), spans.alias("spans"))
+    span = "array<struct<start:long,length:long>>"
 
-    def step(state, t):
-        at = state["at"] + F.char_length(t["head"])
+    def step(at, t):
+        first = at + F.char_length(t["head"])
         size = F.char_length(t["content"]).cast("long")
-        own = F.when(t["trained"], F.array(F.struct(at.alias("start"), size.alias("length")))).otherwise(spans)
-        return F.struct((at + size + len(CLOSE)).alias("at"), F.concat(state["spans"], own).alias("spans"))
+        own = F.array(F.struct(first.alias("start"), size.alias("length")))
+        return first + size + len(CLOSE), F.when(t["trained"], own).otherwise(F.array().cast(span))
 
+    loss = fold_collect(F.col("_framed"), F.lit(len(BEGIN)).cast("long"), step, span)
     refs = F.flatten(F.transform("_turns", lambda t: t["refs"]))
     return framed.select(
         F.col("_conv").alias(conv_col),
         F.concat(F.lit(BEGIN), F.array_join(F.transform("_framed", lambda t: F.concat(t["head"], t["content"], F.lit(CLOSE))), "")).alias("formatted"),
-        F.aggregate("_framed", start, step, lambda s: s["spans"]).alias("loss"),
+        loss.alias("loss"),
         refs.alias("attachments"),
     ).select("*", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, r: a + r["tokens"]).alias("media_tokens"))
 
