@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweepfield.functions.arrays import bound
-from sweepfield.llm.common import count_kind, match_spans, span_text, text_of
+from sweepfield.llm.common import count_kind, match_spans, span_text, text_of, written
 
 # Kinds in the order they are listed, and the patterns of the contract.
 KINDS = ["assign", "access", "hex", "random"]
@@ -61,8 +61,7 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and paths, and dates, counters, numbers and UUIDs made from the ids. Null
     ids and repeated rows add nothing; null texts give no words.
     """
-    chosen = docs.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(
-        F.xxhash64(F.col("_id")), "_id").limit(limit)
+    chosen = _smallest_hashes(docs.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct(), limit)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(chosen), "_id", "left_semi")
     label = lambda tokens, random: tokens.select(F.explode("_tokens").alias("token"), F.lit(random).alias("random"))
     keys = F.regexp_extract_all("_t", F.lit(ACCESS), F.lit(0)).alias("_tokens")
@@ -77,6 +76,18 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .unionByName(label(made.select(F.concat(_identifiers(mixed), _numbers(F.col("_d"))).alias("_tokens")), False)))
 
 
+def _smallest_hashes(ids: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` distinct ids of the smallest hash, as a written table.
+
+    Hashes are even, so a bound at about twice the share keeps all of them;
+    the sort then sees a few thousand ids however many there are.
+    """
+    hashed = ids.select("_id", F.xxhash64("_id").alias("_h"))
+    share = (2 * limit + 1_000) / max(1, hashed.count())
+    bound_at = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    return written(hashed.filter(F.col("_h") <= bound_at).orderBy("_h", "_id").limit(limit).select("_id"), "secret-sample")
+
+
 def _random_forms(digest: Column) -> Column:
     """A digest in the alphabets keys are written in."""
     full = F.base64(F.unhex(digest))
