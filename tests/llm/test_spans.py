@@ -223,3 +223,9 @@ def test_free_parts_of_a_run_are_scored(spark):
     found = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == 3] for r in secrets.find_secrets(
         spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ones).collect()}
     assert found == {0: [(0, 18), (42, 60)], 1: [], 2: [(0, 19)], 3: [(15, 33)], 4: [(0, 19)]}
+
+
+def test_samples_of_empty_and_null_tables(spark):
+    for rows in ([], [(None, None), (None, "plain words")]):
+        samples = secrets.labelled_samples(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert samples.count() == 0 and set(secrets.train_markov(samples)) == {0.0}
