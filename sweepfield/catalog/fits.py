@@ -207,7 +207,12 @@ def _(t):
     return fits.main_contour(segs(t).select("sample_id", "idx", "samples"))
 
 
-@register("lcs_ratio")
+# The table of the textbook, one row per step: a row is the running maximum of what stands above it and its matches.
+@register("lcs_ratio", f"""WITH RECURSIVE {SEGS}, lists AS (SELECT sample_id, coalesce(list(type ORDER BY idx, type) FILTER (status = 'completed'), []) AS a, coalesce(list(type ORDER BY idx, type) FILTER (status = 'failed'), []) AS b FROM segs GROUP BY sample_id),
+    walk AS (SELECT sample_id, a, b, 0::BIGINT AS i, [0::BIGINT FOR v IN b] AS best FROM lists
+      UNION ALL SELECT sample_id, a, b, i + 1, [list_max(found[1:j]) FOR j IN range(1, len(b) + 1)]
+      FROM (SELECT *, [greatest(best[j], CASE WHEN a[i + 1] = b[j] THEN 1 + CASE WHEN j > 1 THEN best[j - 1] ELSE 0 END ELSE 0 END) FOR j IN range(1, len(b) + 1)] AS found FROM walk WHERE i < len(a)))
+    SELECT sample_id, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(best[len(b)]::DOUBLE / greatest(len(a), len(b)), 6) END AS lcs FROM walk WHERE i = len(a)""")
 def _(t):
     rows = segs(t).groupBy("sample_id").agg(
         *[F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct("idx", "type")))), lambda v: v["type"]).alias(s) for s in ("completed", "failed")]

@@ -204,7 +204,16 @@ def ends(t, scale=20.0):
     return t.primitives().select("design_id", F.inline(F.array(point(0, "x1", "y1"), point(1, "x2", "y2"))))
 
 
-@register("junctions")
+# Ends joined one by one; each cluster keeps its sums, size and first end.
+@register("junctions", """WITH RECURSIVE ends AS (SELECT design_id, unnest([idx * 2, idx * 2 + 1]) AS seq, unnest([x1, x2]) * 40 AS x, unnest([y1, y2]) * 40 AS y FROM primitives),
+    walk AS (SELECT design_id, -1::BIGINT AS seq, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, []::STRUCT(sx DOUBLE, sy DOUBLE, n BIGINT, head BIGINT)[] AS found, NULL::BIGINT AS junction FROM (SELECT DISTINCT design_id FROM ends)
+      UNION ALL SELECT design_id, seq, x, y, CASE WHEN hit IS NULL THEN list_append(found, {'sx': x, 'sy': y, 'n': 1::BIGINT, 'head': seq})
+        ELSE found[1:hit - 1] || [{'sx': found[hit].sx + x, 'sy': found[hit].sy + y, 'n': found[hit].n + 1, 'head': found[hit].head}] || found[hit + 1:] END,
+        CASE WHEN hit IS NULL THEN seq ELSE found[hit].head END
+      FROM (SELECT w.design_id, e.seq, e.x, e.y, found, nullif(list_position([sqrt((e.x - c.sx / c.n) ** 2 + (e.y - c.sy / c.n) ** 2) <= 1.0 FOR c IN found], true), 0) AS hit
+        FROM walk w JOIN ends e ON e.design_id = w.design_id AND e.seq = w.seq + 1)),
+    sized AS (SELECT design_id, junction, seq, avg(x) OVER w AS sx, avg(y) OVER w AS sy, count(*) OVER w AS members FROM walk WHERE seq >= 0 WINDOW w AS (PARTITION BY design_id, junction))
+    SELECT design_id, junction, seq, round(sx, 6) + 0.0 AS shared_x, round(sy, 6) + 0.0 AS shared_y, members FROM sized WHERE members > 1""")
 def _(t):
     return primitives.junctions(ends(t, 40.0), 1.0).select("design_id", "junction", "seq", *r("shared_x", "shared_y"), "members")
 

@@ -13,7 +13,8 @@ TRACKS = """tracks AS (SELECT p_partkey AS contour_id, i AS idx, CASE WHEN i < 1
     w AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM tracks WINDOW w AS (PARTITION BY contour_id ORDER BY idx)),
     k0 AS (SELECT *, CASE WHEN px IS NOT NULL AND nx IS NOT NULL THEN acos(greatest(-1.0, least(1.0, ((x - px) * (nx - x) + (y - py) * (ny - y)) / (sqrt((x - px) ** 2 + (y - py) ** 2) * sqrt((nx - x) ** 2 + (ny - y) ** 2) + 1e-8)))) END AS bend FROM w),
     curved AS (SELECT contour_id, idx, x, y, coalesce(bend, lead(bend) OVER w, lag(bend) OVER w, 0.0) AS k FROM k0 WINDOW w AS (PARTITION BY contour_id ORDER BY idx))"""
-SPLIT = TRACKS + """, cuts AS (SELECT *, coalesce(abs(k - lag(k) OVER w) > 0.15, false) AS cut FROM curved WINDOW w AS (PARTITION BY contour_id ORDER BY idx)),
+CUTS = TRACKS + """, cuts AS (SELECT *, coalesce(abs(k - lag(k) OVER w) > 0.15, false) AS cut FROM curved WINDOW w AS (PARTITION BY contour_id ORDER BY idx))"""
+SPLIT = CUTS + """,
     nums AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY contour_id ORDER BY idx) AS s FROM cuts),
     segs AS (SELECT contour_id, idx, x, y, s::BIGINT AS segment FROM nums UNION ALL SELECT contour_id, idx, x, y, s::BIGINT - 1 FROM nums WHERE cut)"""
 SEGW = """sw AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(x, 2) OVER w AS nx2, lead(y, 2) OVER w AS ny2 FROM segs WINDOW w AS (PARTITION BY contour_id, segment ORDER BY idx))"""
@@ -47,14 +48,18 @@ def _(t):
     return split(t).select("contour_id", "idx", "segment")
 
 
-@register("split_min_points", f"""WITH RECURSIVE {SPLIT}, n AS (SELECT contour_id, max(idx) + 1 AS n FROM tracks GROUP BY contour_id),
+# Cuts at least nine points apart, the last one dropped when it leaves a short tail.
+MIN_SPLIT = CUTS + """, n AS (SELECT contour_id, max(idx) + 1 AS n FROM tracks GROUP BY contour_id),
     ks AS (SELECT contour_id, list(idx ORDER BY idx) AS ks FROM cuts WHERE cut GROUP BY contour_id),
     walk AS (SELECT contour_id, 0::BIGINT AS pos, ks FROM ks UNION ALL SELECT contour_id, list_filter(ks, lambda k: k >= pos + 9)[1], ks FROM walk WHERE len(list_filter(ks, lambda k: k >= pos + 9)) > 0),
     kept AS (SELECT w.contour_id, pos FROM walk w WHERE pos > 0),
     last AS (SELECT contour_id, max(pos) AS pos FROM kept GROUP BY contour_id),
     fin AS (SELECT k.* FROM kept k JOIN n ON k.contour_id = n.contour_id JOIN last l ON k.contour_id = l.contour_id WHERE NOT (k.pos = l.pos AND n.n - k.pos < 10)),
-    mark AS (SELECT t.contour_id, idx, f.pos IS NOT NULL AS cut, sum((f.pos IS NOT NULL)::INTEGER) OVER (PARTITION BY t.contour_id ORDER BY idx) AS s FROM tracks t LEFT JOIN fin f ON t.contour_id = f.contour_id AND t.idx = f.pos)
-    SELECT contour_id, idx, s::BIGINT AS segment FROM mark UNION ALL SELECT contour_id, idx, s::BIGINT - 1 FROM mark WHERE cut""")
+    mark AS (SELECT t.contour_id, t.idx, t.x, t.y, f.pos IS NOT NULL AS cut, sum((f.pos IS NOT NULL)::INTEGER) OVER (PARTITION BY t.contour_id ORDER BY t.idx) AS s FROM tracks t LEFT JOIN fin f ON t.contour_id = f.contour_id AND t.idx = f.pos),
+    segs AS (SELECT contour_id, idx, x, y, s::BIGINT AS segment FROM mark UNION ALL SELECT contour_id, idx, x, y, s::BIGINT - 1 FROM mark WHERE cut)"""
+
+
+@register("split_min_points", f"WITH RECURSIVE {MIN_SPLIT} SELECT contour_id, idx, segment FROM segs")
 def _(t):
     return segments.split_min_points(tracks(t), spans=spans(t)).select("contour_id", "idx", "segment")
 
@@ -122,13 +127,35 @@ def _(t):
     return segments.drop_short_segments(split(t), spans=spans(t)).select("contour_id", "segment", *r("length", digits=5))
 
 
-@register("arc_quality")
+# Sums over each full window of up to five points, by joining positions.
+ARC = f"""{CIRCLE},
+    ar AS (SELECT s.*, c.n, CASE WHEN ok THEN c.cx ELSE c.mx END AS cx, CASE WHEN ok THEN c.cy ELSE c.my END AS cy, least(5, c.n // 2) AS size, row_number() OVER (PARTITION BY s.contour_id, s.segment ORDER BY idx) AS p
+      FROM segs s JOIN ci c ON s.contour_id = c.contour_id AND s.segment = c.segment WHERE c.n >= 6),
+    wm AS (SELECT a.contour_id, a.segment, a.p, a.size, avg(b.x) AS mx, avg(b.y) AS my FROM ar a JOIN ar b ON a.contour_id = b.contour_id AND a.segment = b.segment AND b.p BETWEEN a.p AND a.p + a.size - 1
+      WHERE a.p + a.size - 1 <= a.n GROUP BY ALL),
+    ws AS (SELECT a.contour_id, a.segment, a.p, a.mx, a.my, sum((b.x - a.mx) ** 2) AS uu, sum((b.x - a.mx) * (b.y - a.my)) AS uv, sum((b.y - a.my) ** 2) AS vv,
+      sum((b.x - a.mx) * ((b.x - a.mx) ** 2 + (b.y - a.my) ** 2)) / 2 AS p3, sum((b.y - a.my) * ((b.x - a.mx) ** 2 + (b.y - a.my) ** 2)) / 2 AS q3
+      FROM wm a JOIN ar b ON a.contour_id = b.contour_id AND a.segment = b.segment AND b.p BETWEEN a.p AND a.p + a.size - 1 GROUP BY ALL),
+    wc AS (SELECT contour_id, segment, mx + CASE WHEN flat THEN 0 ELSE (p3 * vv - q3 * uv) / (uu * vv - uv * uv) END AS x, my + CASE WHEN flat THEN 0 ELSE (q3 * uu - p3 * uv) / (uu * vv - uv * uv) END AS y
+      FROM (SELECT *, abs(uu * vv - uv * uv) <= 1e-24 * (uu + vv) ** 2 AS flat FROM ws)),
+    dr AS (SELECT contour_id, segment, CASE WHEN count(*) < 3 THEN 0.0 ELSE greatest(stddev_pop(x), stddev_pop(y)) END AS sigma_c FROM wc GROUP BY contour_id, segment),
+    tn AS (SELECT *, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d, atan2(y - cy, x - cx) - atan2(lag(y) OVER w - cy, lag(x) OVER w - cx) AS t,
+      sign((lead(x) OVER w - x) * (lead(y, 2) OVER w - lead(y) OVER w) - (lead(y) OVER w - y) * (lead(x, 2) OVER w - lead(x) OVER w)) AS side FROM ar WINDOW w AS (PARTITION BY contour_id, segment ORDER BY idx)),
+    an AS (SELECT *, sum(coalesce(CASE WHEN t >= pi() AND t - 2 * pi() = -pi() THEN pi() WHEN t >= pi() THEN t - 2 * pi() WHEN t < -pi() THEN t + 2 * pi() ELSE t END, 0.0)) OVER (PARTITION BY contour_id, segment ORDER BY idx) AS angle FROM tn),
+    aq AS (SELECT a.contour_id, a.segment, any_value(n) AS n, avg(d) AS radius, stddev_pop(d) / (avg(d) + 1e-9) AS sigma_r, any_value(sigma_c) AS sigma_c, degrees(max(angle) - min(angle)) AS angle_span,
+      coalesce(avg((side > 0)::INTEGER) > 0.3 AND avg((side < 0)::INTEGER) > 0.3, false) AS mixed FROM an a JOIN dr ON a.contour_id = dr.contour_id AND a.segment = dr.segment GROUP BY a.contour_id, a.segment)"""
+
+
+@register("arc_quality", f"""WITH RECURSIVE {MIN_SPLIT}, {ARC} SELECT contour_id, segment, n, round(radius, 3) + 0.0 AS radius, round(sigma_r, 4) + 0.0 AS sigma_r, round(sigma_c, 4) + 0.0 AS sigma_c, round(angle_span, 4) + 0.0 AS angle_span,
+    sigma_r <= 0.02 AND sigma_c <= 1.0 AND angle_span >= 15 AND NOT mixed AS is_arc FROM aq""")
 def _(t):
     rows = segments.split_min_points(tracks(t), spans=spans(t))
     return segments.arc_quality(rows, spans=spans(t)).select("contour_id", "segment", "n", *r("radius", digits=3), *r("sigma_r", "sigma_c", "angle_span", digits=4), "is_arc")
 
 
-@register("segment_decision")
+@register("segment_decision", f"""WITH RECURSIVE {MIN_SPLIT}, {PCA[len(SPLIT) + 2:]}, {ARC} SELECT l.contour_id, l.segment, CASE WHEN l.is_line THEN 'line'
+    WHEN coalesce(sigma_r < 0.02 AND sigma_c <= 1.0 AND angle_span > 20 AND NOT mixed AND l.n >= 8, false) THEN 'arc' ELSE 'spline' END AS decision
+    FROM lin l LEFT JOIN aq a ON l.contour_id = a.contour_id AND l.segment = a.segment""")
 def _(t):
     return segments.segment_decision(segments.split_min_points(tracks(t), spans=spans(t)), spans=spans(t))
 

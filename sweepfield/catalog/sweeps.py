@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sweepfield.catalog.contours import r
 from sweepfield.catalog.registry import register
-from sweepfield.catalog.validation import loop_points
+from sweepfield.catalog.validation import LOOPS, loop_points
 from sweepfield.functions.numeric import rounded
 from sweepfield.operators import repair
 from sweepfield.session import shared_folder
@@ -194,7 +194,24 @@ def _(t):
     return repair.drop_duplicates_kept(t.contours(), 0.12, t.spans("contours"), close=False).select("contour_id", "idx")
 
 
-@register("repair_points")
+@register("repair_points", f"""WITH RECURSIVE {LOOPS},
+    a AS (SELECT contour_id, idx, x, y, z, x AS kx, y AS ky, z AS kz, true AS keep FROM loop_points WHERE idx = 0
+      UNION ALL SELECT contour_id, idx, x, y, z, CASE WHEN far THEN x ELSE kx END, CASE WHEN far THEN y ELSE ky END, CASE WHEN far THEN z ELSE kz END, far
+      FROM (SELECT p.*, kx, ky, kz, sqrt((p.x - kx) ** 2 + (p.y - ky) ** 2 + (p.z - kz) ** 2) > 1e-9 AS far FROM a JOIN loop_points p ON p.contour_id = a.contour_id AND p.idx = a.idx + 1)),
+    u AS (SELECT contour_id, idx, x, y, z, row_number() OVER (PARTITION BY contour_id ORDER BY idx) AS p, count(*) OVER (PARTITION BY contour_id) AS n1 FROM a WHERE keep),
+    b AS (SELECT contour_id, idx, x, y, z, p, n1, x AS kx, y AS ky, true AS keep FROM u WHERE p = 1
+      UNION ALL SELECT contour_id, idx, x, y, z, p, n1, CASE WHEN far THEN x ELSE kx END, CASE WHEN far THEN y ELSE ky END, far
+      FROM (SELECT u.*, kx, ky, u.n1 <= 3 OR sqrt((u.x - kx) ** 2 + (u.y - ky) ** 2) >= 0.01 AS far FROM b JOIN u ON u.contour_id = b.contour_id AND u.p = b.p + 1)),
+    k AS (SELECT * FROM b WHERE keep),
+    f AS (SELECT contour_id, any_value(n1) AS n1, count(*) AS n2, avg(z) AS mz, greatest(max(z) - avg(z), avg(z) - min(z)) AS off, max(idx) AS last,
+      arg_min(x, idx) AS ax, arg_min(y, idx) AS ay, arg_min(z, idx) AS az, sqrt((arg_min(x, idx) - arg_max(x, idx)) ** 2 + (arg_min(y, idx) - arg_max(y, idx)) ** 2) AS gap FROM k GROUP BY contour_id),
+    g AS (SELECT f.*, n0, n2 >= 3 AND off > 1e-9 AND off < 1e-6 AS flat, n2 >= 3 AND closed AS ring, f.contour_id % 8 = 0 AS explicit
+      FROM f JOIN loops l ON l.contour_id = f.contour_id JOIN (SELECT contour_id, count(*) AS n0 FROM loop_points GROUP BY contour_id) c ON c.contour_id = f.contour_id),
+    m AS (SELECT k.contour_id, idx, CASE WHEN moved THEN ax ELSE x END AS x, CASE WHEN moved THEN ay ELSE y END AS y, CASE WHEN flat THEN mz WHEN moved THEN az ELSE z END AS z
+      FROM (SELECT k.*, flat, mz, ax, ay, az, k.idx = last AND ring AND (gap <= 1e-6 OR explicit) AS moved FROM k JOIN g ON k.contour_id = g.contour_id) k
+      UNION ALL SELECT contour_id, last + 1, ax, ay, CASE WHEN flat THEN mz ELSE az END FROM g WHERE ring AND gap > 1e-6 AND NOT explicit)
+    SELECT m.contour_id, row_number() OVER (PARTITION BY m.contour_id ORDER BY idx) - 1 AS idx, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z,
+      (n0 > n1)::BIGINT + (n1 > n2)::BIGINT + flat::BIGINT + (ring AND gap > 1e-6)::BIGINT AS operations FROM m JOIN g ON m.contour_id = g.contour_id""")
 def _(t):
     points, loops = loop_points(t)
     flags = loops.select("contour_id", "closed", (F.col("contour_id") % 8 == 0).alias("explicit_closure"))

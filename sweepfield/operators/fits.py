@@ -5,6 +5,7 @@ Point tables ``a`` and ``b`` share ``pair_id`` and hold ``idx, x, y`` each.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -290,18 +291,31 @@ def breakpoint_mae(truth: DataFrame, predicted: DataFrame, key: str = "sample_id
 
 @F.pandas_udf(T.DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of two arrays over the longer length."""
+    """Longest common subsequence of two arrays over the longer length; 1 when both are empty.
+
+    One row of the usual table is one integer: a bit of the right array is
+    clear where the best length grows. A step is an addition and a few bitwise
+    operations, so two arrays of 100,000 items take seconds.
+    """
 
     def one(left, right) -> float:
-        left, right = list(left), list(right)
-        if not left or not right:
-            return float(not left and not right)
-        row = [0] * (len(right) + 1)
+        if not len(left) or not len(right):
+            return float(not len(left) and not len(right))
+        digits: dict[object, list[int]] = {}
+        for j, item in enumerate(right):
+            digits.setdefault(item, []).append(j)
+        bits = {}
+        for item, places in digits.items():
+            marks = np.zeros(len(right), dtype=np.uint8)
+            marks[places] = 1
+            bits[item] = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+        full = (1 << len(right)) - 1
+        row = full
         for item in left:
-            diagonal = 0
-            for j, other in enumerate(right, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if item == other else max(row[j], row[j - 1])
-        return row[-1] / max(len(left), len(right))
+            hit = row & bits.get(item, 0)
+            if hit:
+                row = ((row + hit) | (row - hit)) & full
+        return (len(right) - row.bit_count()) / max(len(left), len(right))
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 

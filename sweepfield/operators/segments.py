@@ -219,7 +219,8 @@ def _circle_centre(points: Column) -> Column:
 
     def _solved(s: Column) -> Column:
         det = s["uu"] * s["vv"] - s["uv"] * s["uv"]
-        ok = F.abs(det) > 1e-12 * F.greatest(s["uu"] * s["vv"], F.lit(1e-300))
+        # Points on a line up to rounding have no circle; their determinant is noise.
+        ok = F.abs(det) > 1e-24 * (s["uu"] + s["vv"]) * (s["uu"] + s["vv"])
         return F.struct(
             (s["m"]["x"] + F.when(ok, F.try_divide(s["p"] * s["vv"] - s["q"] * s["uv"], det)).otherwise(0.0)).alias("x"),
             (s["m"]["y"] + F.when(ok, F.try_divide(s["q"] * s["uu"] - s["p"] * s["uv"], det)).otherwise(0.0)).alias("y"),

@@ -319,3 +319,28 @@ def test_a_cycle_of_parents_has_no_ancestor(spark):
     rows = [(1, 2), (2, 4), (4, 6), (6, 2), (3, 8), (8, 5), (5, -1), (7, 10), (10, 10), (12, -1), (9, 12)]
     tree = contours.contour_depth_tree(spark.createDataFrame(rows, "id long, parent long"))
     assert {r.id: r.ancestor for r in tree.collect()} == {1: None, 3: 5, 5: None, 7: None, 9: None}
+
+
+def test_common_subsequence_of_long_arrays(spark):
+    rng = random.Random(4)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randrange(0, 70))], [rng.choice("abcde") for _ in range(rng.randrange(0, 70))]) for _ in range(40)]
+    pairs.append((list("ab") * 50_000, list("ba") * 50_000))
+
+    def loop(a, b):
+        row = [0] * (len(b) + 1)
+        for item in a:
+            row = [0, *_grown(row, item, b)]
+        return row[-1]
+
+    def _grown(row, item, b):
+        best = 0
+        for j, other in enumerate(b, 1):
+            best = max(best, row[j], row[j - 1] + 1 if item == other else 0)
+            yield best
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id int, a array<string>, b array<string>")
+    got = {r.id: r.v for r in df.select("id", fits.lcs_ratio("a", "b").alias("v")).collect()}
+    assert got.pop(40) == pytest.approx(99_999 / 100_000)
+    for i, v in got.items():
+        a, b = pairs[i]
+        assert v == pytest.approx(loop(a, b) / max(len(a), len(b)) if a and b else float(not a and not b))
