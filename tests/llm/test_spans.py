@@ -144,17 +144,59 @@ def test_license_phrases(spark):
     assert got == sorted([by_text[t or ""] for t in texts] + [by_text[""]])
 
 
-def test_diagonal_voting_finds_changed_templates(spark):
-    body = licenses.TEMPLATES["bsd"].split()
-    changed = body[:8] + ["extra"] + body[8:14] + body[15:]
-    docs = [(0, "intro text " + " ".join(body) + " end"), (1, " ".join(changed)), (2, " ".join(reversed(body))), (None, " ".join(body)), (4, None)]
-    docs += [docs[0]]
-    found = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    labels = lambda i: [[p.label for p in r.passages] for r in found if r.doc_id == i]
-    assert labels(0) == [["bsd"], ["bsd"]] and labels(None) == [["bsd"]] and labels(2) == [[]] and labels(4) == [[]]
-    assert labels(1) and labels(1)[0]
-    span = next(p for r in found if r.doc_id == 0 for p in r.passages)
-    assert (span.first_word, span.last_word, span.share) == (2, 1 + len(body), 1.0)
+def license_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+
+
+def python_passages(text):
+    """Every clause held against every place by loops over words."""
+    words, k, found = license_words(text), licenses.GRAM, []
+    for label, clauses in licenses.TEMPLATES.items():
+        for clause in map(license_words, clauses):
+            hits = sorted((p - t, t) for p in range(len(words) - k + 1) for t in range(len(clause) - k + 1) if words[p:p + k] == clause[t:t + k])
+            runs = []
+            for d, t in hits:
+                if not runs or d - runs[-1][-1][0] > licenses.SLACK:
+                    runs.append([])
+                runs[-1].append((d, t))
+            for run in runs:
+                share = len({t + i for _, t in run for i in range(k)}) / len(clause)
+                if share >= licenses.MIN_SHARE:
+                    places = [d + t for d, t in run]
+                    whole = len({t for _, t in run}) / (len(clause) - k + 1)
+                    found.append((label, min(places), max(places) + k - 1, len(run), share, whole))
+    return sorted(f[:5] for f in found if all(f[5] >= g[5] for g in found if abs(f[1] - g[1]) <= licenses.NEAR))
+
+
+def test_diagonal_voting_equals_loops(spark):
+    rng = random.Random(7)
+    clauses = [c for group in licenses.TEMPLATES.values() for c in group]
+    texts = [None, "", "words only", " ".join(clauses)]
+    for _ in range(40):
+        words = [w for c in rng.sample(clauses, 3) for w in ["between"] * rng.randrange(3) + c.split()]
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(words))
+            words[at:at + 1] = rng.choice([[], ["other"], [words[at], "more"]])
+        texts.append(" ".join(words))
+    docs = [(i, t) for i, t in enumerate(texts)] + [(None, texts[5]), (6, texts[6])]
+    rows = licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs)
+    got = lambda r: sorted((p.label, p.first_word, p.last_word, p.votes, p.share) for p in r.passages)
+    for r in rows:
+        assert got(r) == python_passages(texts[5 if r.doc_id is None else r.doc_id] or "")
+    assert sum(len(r.passages) for r in rows) > 60
+
+
+def test_licenses_told_apart(spark):
+    mit, bsd, lgpl, gpl, agpl = (licenses.TEMPLATES[n] for n in ("mit", "bsd", "lgpl", "gpl", "agpl"))
+    cases = [
+        ("you may not use this file except on mondays", []), ("we may use copy modify publish use compile sell", []),
+        (mit[3], ["mit"]), (bsd[3], ["bsd"]), (lgpl[1], ["lgpl"]), (gpl[0].replace("version 3", "version 2"), ["gpl"]), (agpl[0], ["agpl"]),
+        ("Licensed under the Apache License, Version 2.0; " * 2, []), (" ".join(mit), ["mit"] * len(mit)),
+        (" ".join(reversed(mit[0].split())), []), (bsd[0] + " stray " + " ".join(bsd[0].split()[4:8]), ["bsd"]),
+    ]
+    rows = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: [p.label for p in r.passages] for r in rows} == {i: want for i, (_, want) in enumerate(cases)}
 
 
 def test_words_on_both_sides_change_the_scores(spark):
