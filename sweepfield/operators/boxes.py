@@ -5,8 +5,9 @@ hold ``x1 y1 … x4 y4``. Suppression and merging take either.
 
 Overlapping boxes meet on a grid of levels, each box on the level of its own
 size, so a large box meets small ones once and small ones don't meet in its
-cells. Suppression works on the overlaps alone, found once: rounds settle all
-boxes that outrank what they overlap.
+cells. Boxes of an image with few of them meet directly. Suppression walks
+through such an image in its task; in crowded images it works on the overlaps
+alone, found once: rounds settle all boxes that outrank what they overlap.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sweepfield.functions.numeric import is_finite
 from sweepfield.plans import blocks
 from sweepfield.plans.blocks import fold_in_blocks, in_blocks
-from sweepfield.plans.folds import Columns
+from sweepfield.plans.folds import Columns, fold_groups
 from sweepfield.plans.ordered import Spans, ensure_spans, with_position
 from sweepfield.session import shared_folder
 
@@ -28,6 +30,8 @@ IMAGE = ["image_id"]
 SIDES = ["x0", "y0", "x1", "y1"]
 # Quads clipped in doubles overlap by more than their rounding.
 TOUCHING = 1e-9
+# Up to this many boxes an image is treated in one go: all its pairs fit into a task many times.
+CROWD = 256
 
 
 def _cells(boxes: DataFrame, level: Column) -> DataFrame:
@@ -61,30 +65,43 @@ def _side(prefix: str) -> list[Column]:
 def iou_pairs(boxes: DataFrame, above: float = 0.0) -> DataFrame:
     """Pairs of overlapping boxes of an image with IoU above the limit.
 
-    A box stands in the cells of its own level and looks at the cells that it
-    covers on each level above that its image has. A pair counts in the cell
-    of its overlap's lower corner only. ``iog`` is the overlap over the second
-    box's area, ``box_a`` the smaller id.
+    Boxes of an image with up to ``CROWD`` of them are joined directly. In a
+    larger one a box stands in the cells of its own level and looks at the
+    cells that it covers on each level above that its image has; a pair counts
+    in the cell of its overlap's lower corner only. ``iog`` is the overlap over
+    the second box's area, ``box_a`` the smaller id.
     """
+    return _met(boxes, above).select(*IMAGE, "box_a", "box_b", "iou", "iog")
+
+
+def _met(boxes: DataFrame, above: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs of ``iou_pairs`` with ``carried`` columns of both boxes as ``…_a`` and ``…_b``."""
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))
-    rows = boxes.select(*IMAGE, "box_id", *SIDES, F.ceil(F.log2(side)).cast("int").alias("own"))
-    name = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("box_id", *SIDES, "own")]
+    rows = boxes.select(*IMAGE, "box_id", *SIDES, *carried, F.ceil(F.log2(side)).cast("int").alias("own"))
+    name = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("box_id", *SIDES, *carried, "own")]
+    levels = rows.groupBy(*IMAGE).agg(F.count(F.lit(1)).alias("_n"), F.collect_set("own").alias("levels"))
+    sized = rows.join(levels, IMAGE)
+    few = sized.filter(F.col("_n") <= CROWD)
+    shares = F.expr("a_x0 < b_x1 AND b_x0 < a_x1 AND a_y0 < b_y1 AND b_y0 < a_y1")
+    near = few.select(*IMAGE, *name("a_")).join(few.select(*IMAGE, *name("b_")), IMAGE).filter((F.col("a_box_id") < F.col("b_box_id")) & shares)
+    many = sized.filter(F.col("_n") > CROWD)
     grid = [*IMAGE, "level", "cell_x", "cell_y"]
-    levels = rows.groupBy(*IMAGE).agg(F.collect_set("own").alias("levels"))
     above_own = F.filter("levels", lambda v: v >= F.col("own"))
-    looking = rows.join(levels, IMAGE).withColumn("level", F.explode(above_own)).drop("levels")
+    looking = many.withColumn("level", F.explode(above_own))
     small = _cells(looking, F.col("level")).select(*grid, *name("a_"))
-    large = _cells(rows.withColumn("level", F.col("own")), F.col("level")).select(*grid, *name("b_"))
+    large = _cells(many.withColumn("level", F.col("own")), F.col("level")).select(*grid, *name("b_"))
     once = (F.col("a_own") < F.col("b_own")) | (F.col("a_box_id") < F.col("b_box_id"))
     home = lambda axis: F.floor(F.greatest(f"a_{axis}0", f"b_{axis}0") / F.pow(F.lit(2.0), F.col("level")))
     met = small.join(large, grid).filter(
         once & (F.col("a_box_id") != F.col("b_box_id")) & (home("x") == F.col("cell_x")) & (home("y") == F.col("cell_y")))
+    met = near.unionByName(met.filter(shares).select(near.columns))
     first = F.col("a_box_id") < F.col("b_box_id")
     pick = lambda c, smaller: F.when(first == F.lit(smaller), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
     a, b = ([pick(c, smaller) for c in SIDES] for smaller in (True, False))
     return met.select(
         *IMAGE, pick("box_id", True).alias("box_a"), pick("box_id", False).alias("box_b"), iou(a, b).alias("iou"),
         F.when(area(b) == 0, 0.0).otherwise(F.try_divide(overlap(a, b), area(b))).alias("iog"),
+        *[pick(c, smaller).alias(f"{c}_{p}") for c in carried for p, smaller in (("a", True), ("b", False))],
     ).filter(F.col("iou") > above)
 
 
@@ -143,13 +160,10 @@ def quad_iou_pairs(quads: DataFrame, above: float = 0.0) -> DataFrame:
     """IoU of convex quads: grid pairs of their bounding boxes, then clipping."""
     low = lambda axis: F.least(*[f"{axis}{i}" for i in range(1, 5)])
     high = lambda axis: F.greatest(*[f"{axis}{i}" for i in range(1, 5)])
-    shape = quads.select(*IMAGE, "box_id", F.array(*QUAD).alias("quad"))
-    framed = quads.select(*IMAGE, "box_id", low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
-    pairs = iou_pairs(framed).select(*IMAGE, "box_a", "box_b")
-    left = shape.withColumnsRenamed({"box_id": "box_a", "quad": "_a"})
-    right = shape.withColumnsRenamed({"box_id": "box_b", "quad": "_b"})
-    both = pairs.join(left, [*IMAGE, "box_a"]).join(right, [*IMAGE, "box_b"])
-    return both.select(*IMAGE, "box_a", "box_b", quad_iou("_a", "_b").alias("iou")).filter(F.col("iou") > above)
+    framed = quads.select(
+        *IMAGE, "box_id", low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"), F.array(*QUAD).alias("quad"))
+    both = _met(framed, 0.0, ("quad",))
+    return both.select(*IMAGE, "box_a", "box_b", quad_iou("quad_a", "quad_b").alias("iou")).filter(F.col("iou") > above)
 
 
 def _sides_of(boxes: DataFrame) -> list[str]:
@@ -173,16 +187,86 @@ def _table(boxes: DataFrame) -> DataFrame:
     return boxes.select(*IMAGE, "box_id", *[F.col(c).cast("double").alias(c) for c in (*_sides_of(boxes), "score")])
 
 
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Images to walk through in one task each, and the rest, if any.
+
+    The rest are crowded images and those with values that numpy would treat
+    otherwise than Spark: nulls, NaN, infinite or negative numbers as scores.
+    """
+    odd = F.lit(False)
+    for name in (*_sides_of(rows), "score"):
+        odd = odd | ~F.coalesce(is_finite(F.col(name)), F.lit(False))
+    odd = odd | F.col("image_id").isNull() | F.col("box_id").isNull() | (F.col("score") < 0)
+    apart = rows.groupBy(F.col("image_id").alias("_image")).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(odd).alias("_odd")).filter(
+        (F.col("_n") > CROWD) | F.col("_odd")).select("_image").checkpoint()
+    if apart.isEmpty():
+        return rows, None
+    same = F.col("image_id").eqNullSafe(F.col("_image"))
+    return rows.join(apart, same, "left_anti"), rows.join(apart, same, "left_semi").checkpoint()
+
+
+def _iou_of(group: Columns, sides: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping pairs of one image, as places in the group, and their IoU; as ``_overlaps`` finds them."""
+    corners = np.column_stack([group[c] for c in sides])
+    if len(sides) == len(QUAD):
+        x, y = corners[:, ::2], corners[:, 1::2]
+        frame = np.column_stack([x.min(axis=1), y.min(axis=1), x.max(axis=1), y.max(axis=1)])
+    else:
+        frame = corners
+    width = np.minimum(frame[:, None, 2], frame[:, 2]) - np.maximum(frame[:, None, 0], frame[:, 0])
+    height = np.minimum(frame[:, None, 3], frame[:, 3]) - np.maximum(frame[:, None, 1], frame[:, 1])
+    # The box with the smaller id comes first.
+    a, b = np.nonzero((width > 0) & (height > 0) & (group["box_id"][:, None] < group["box_id"]))
+    if len(sides) == len(QUAD):
+        p, q = corners[a].reshape(-1, 4, 2), corners[b].reshape(-1, 4, 2)
+        shared = _shared_area(p, q)
+        union, least = np.abs(_quad_area(p)) + np.abs(_quad_area(q)) - shared, TOUCHING
+    else:
+        size = (frame[:, 2] - frame[:, 0]) * (frame[:, 3] - frame[:, 1])
+        shared = width[a, b] * height[a, b]
+        union, least = size[a] + size[b] - shared, 0.0
+    found = np.divide(shared, union, out=np.zeros_like(union), where=union != 0)
+    near = found > least
+    return a[near], b[near], found[near]
+
+
+def _schema_of(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+
 def nms(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Keep the highest score, drop boxes overlapping it above the threshold, repeat.
 
+    Equal scores rank by id, the smaller first. An image of up to ``CROWD``
+    boxes is walked through in that order, the others go by rounds.
+    """
+    shared_folder(boxes.sparkSession)
+    few, crowded = _split(_table(boxes))
+    sides = _sides_of(boxes)
+
+    def walk(group: Columns) -> Columns:
+        a, b, near = _iou_of(group, sides)
+        a, b = a[near > threshold], b[near > threshold]
+        close = np.zeros((len(group["box_id"]),) * 2, dtype=bool)
+        close[a, b] = close[b, a] = True
+        stays = np.ones(len(close), dtype=bool)
+        for i in np.unique(np.minimum(a, b)):
+            if stays[i]:
+                stays[i + 1:] &= ~close[i, i + 1:]
+        return {name: values[stays] for name, values in group.items()}
+
+    kept = fold_groups(few, IMAGE, [F.desc("score"), F.asc("box_id")], walk, _schema_of(few))
+    return kept if crowded is None else kept.unionByName(_nms_rounds(crowded, threshold))
+
+
+def _nms_rounds(rows: DataFrame, threshold: float) -> DataFrame:
+    """Suppression in images of any size.
+
     An overlap above the threshold is an edge from the box that ranks first
     (higher score, then smaller id) to the other. A round keeps every box that
     no edge leads to, drops what its edges lead to and goes on with the edges
     between the rest. Boxes without edges stay untouched.
     """
-    shared_folder(boxes.sparkSession)
-    rows = _table(boxes).checkpoint()
     ranked = rows.select(*IMAGE, "box_id", F.struct("score", (-F.col("box_id")).alias("minus_id")).alias("rank"))
     close = _overlaps(rows).filter(F.col("iou") > threshold)
     a, b = (ranked.select(*IMAGE, F.col("box_id").alias(f"box_{p}"), F.col("rank").alias(f"rank_{p}")) for p in "ab")
@@ -206,13 +290,47 @@ def soft_nms(
 ) -> DataFrame:
     """Score decay instead of dropping: ``linear``, ``gaussian`` or ``hard``; weak boxes go.
 
+    An image of up to ``CROWD`` boxes is walked through from the best box left
+    to the worst, the others go by rounds.
+    """
+    shared_folder(boxes.sparkSession)
+    few, crowded = _split(_table(boxes))
+    sides = _sides_of(boxes)
+
+    def walk(group: Columns) -> Columns:
+        a, b, near = _iou_of(group, sides)
+        if method == "gaussian":
+            pulled = np.exp(-near * near / sigma)
+        elif method == "linear":
+            pulled = np.where(near > overlap_limit, 1 - near, 1.0)
+        else:
+            pulled = np.where(near > overlap_limit, 0.0, 1.0)
+        order = np.argsort(np.concatenate([a, b]), kind="stable")
+        others, pulls = np.concatenate([b, a])[order], np.concatenate([pulled, pulled])[order]
+        now = group["score"].astype(float)
+        starts = np.searchsorted(np.concatenate([a, b])[order], np.arange(len(now) + 1))
+        left, final = now.copy(), np.full(len(now), -np.inf)
+        # Rows come by id, so the first of the highest scores is the one with the smallest id.
+        while (best := int(left.argmax())) >= 0 and left[best] > -np.inf:
+            final[best], left[best] = left[best], -np.inf
+            met = slice(starts[best], starts[best + 1])
+            weaker = left[others[met]] * pulls[met]
+            left[others[met]] = np.where(weaker >= floor, weaker, -np.inf)
+        stays = final > -np.inf
+        return {name: values[stays] for name, values in (group | {"score": final}).items()}
+
+    made = fold_groups(few, IMAGE, ["box_id"], walk, _schema_of(few))
+    return made if crowded is None else made.unionByName(_soft_rounds(crowded, method, overlap_limit, floor, sigma))
+
+
+def _soft_rounds(rows: DataFrame, method: str, overlap_limit: float, floor: float, sigma: float) -> DataFrame:
+    """Score decay in images of any size.
+
     A round makes every box final whose score no box that it overlaps exceeds:
     scores only fall, so nothing left can outrank it. Final boxes weaken their
     neighbours. A box keeps its own score and the weights it met, and applies
     them in the order of the final boxes' ranks, as a walk one by one would.
     """
-    shared_folder(boxes.sparkSession)
-    rows = _table(boxes).checkpoint()
     near = _both_ways(_overlaps(rows)).checkpoint()
     shared = F.col("iou")
     if method == "gaussian":
@@ -253,23 +371,32 @@ def _merge_walk(group: Columns, sides: list[str], threshold: float):
     numbers: corners, score and the id of the first box in it.
     """
     last = np.array([group[k][0] for k in HELD], dtype=float) if group["held"][0] else None
-    closed = []
-    for quad, score, box_id in zip(_quads_of(group, sides), group["score"].astype(float), group["box_id"]):
+    rows = np.column_stack([_quads_of(group, sides), group["score"].astype(float), group["box_id"]])
+    hits, plain, closed = _merging(rows[:-1], rows[1:], threshold), False, []
+    for i, row in enumerate(rows):
         if last is not None:
-            x, y, u, v = quad[::2], quad[1::2], last[:8:2], last[1:8:2]
-            if x.min() < u.max() and u.min() < x.max() and y.min() < v.max() and v.min() < y.max():
-                p, q = quad.reshape(1, 4, 2), last[:8].reshape(1, 4, 2)
-                shared = _shared_area(p, q)[0]
-                union = abs(_quad_area(p)[0]) + abs(_quad_area(q)[0]) - shared
-                if union and shared / union > threshold:
-                    total = score + last[8]
-                    last = np.array([*((score * quad + last[8] * last[:8]) / total), total, last[9]])
-                    continue
+            # Neighbours that came unmerged were compared all at once.
+            if hits[i - 1] if plain else _merging(last[None], row[None], threshold)[0]:
+                total = row[8] + last[8]
+                last, plain = np.array([*((row[8] * row[:8] + last[8] * last[:8]) / total), total, last[9]]), False
+                continue
             closed.append(last)
-        last = np.array([*quad, score, box_id])
+        last, plain = row, True
     return closed, last
 
 
+def _merging(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the quads in the first eight columns overlap above the threshold, row by row."""
+    x, y, u, v = right[:, :8:2], right[:, 1:8:2], left[:, :8:2], left[:, 1:8:2]
+    meet = (x.min(1) < u.max(1)) & (u.min(1) < x.max(1)) & (y.min(1) < v.max(1)) & (v.min(1) < y.max(1))
+    if meet.any():
+        p, q = right[meet, :8].reshape(-1, 4, 2), left[meet, :8].reshape(-1, 4, 2)
+        shared = _shared_area(p, q)
+        union = np.abs(_quad_area(p)) + np.abs(_quad_area(q)) - shared
+        meet[meet] = np.divide(shared, union, out=np.zeros_like(union), where=union != 0) > threshold
+    return meet
+
+
 HELD = [f"held_{i}" for i in range(10)]
 
 
@@ -279,6 +406,7 @@ def locality_merge(boxes: DataFrame, threshold: float = 0.3, spans: Spans | None
     Boxes go by id, block by block; a block that starts inside a merge is
     walked again from the box left open. Scores must not sum to zero.
     """
+    shared_folder(boxes.sparkSession)
     spans = ensure_spans(boxes, IMAGE, "box_id", spans)
     sides = _sides_of(boxes)
     rows = in_blocks(_table(boxes), IMAGE, ["box_id"], spans)
@@ -300,7 +428,7 @@ def locality_merge(boxes: DataFrame, threshold: float = 0.3, spans: Spans | None
 
     state = {"held": ("boolean", False), **{k: ("double", 0.0) for k in HELD}}
     out = "image_id long, box_id long, " + ", ".join(f"{c} double" for c in (*sides, "score"))
-    return nms(fold_in_blocks(rows, IMAGE, ["box_id"], leave, close, state, out), threshold)
+    return nms(fold_in_blocks(rows, IMAGE, ["box_id"], leave, close, state, out).checkpoint(), threshold)
 
 
 def drop_low_score(results: DataFrame, limit: float = 0.5) -> DataFrame:
