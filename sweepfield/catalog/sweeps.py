@@ -13,6 +13,9 @@ from sweepfield.session import shared_folder
 from sweepfield.sources import payloads, sinks, sweeps
 from sweepfield.streaming import trials as streaming
 
+# Very many small files: each task moves its own into place, else the driver moves all, one by one.
+MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 
 def lines(t):
     """Curves as text lines in three export shapes, by design."""
@@ -42,7 +45,7 @@ def _(t):
     # One file per design in the shared folder, read back as any export is.
     folder = f"{shared_folder(t.spark)}/sweeps-{uuid.uuid4().hex}"
     rows = lines(t).repartition("design").sortWithinPartitions("design", "line_no", F.desc("value"))
-    rows.select("design", "value").write.partitionBy("design").text(folder)
+    rows.select("design", "value").write.options(**MOVED_BY_TASKS).partitionBy("design").text(folder)
     out = sweeps.read_sweeps(t.spark, folder).withColumn("path", F.regexp_extract("path", "design=([0-9]+)", 1))
     return out.select("path", rounded(F.col("freq")).alias("freq"), rounded(F.col("value"), 3).alias("value"))
 
@@ -134,7 +137,7 @@ def _(t):
     folder = f"{shared_folder(t.spark)}/payloads-{uuid.uuid4().hex}"
     # One file per design; every seventh is no JSON object, or empty.
     broken = F.when(F.col("design_id") % 14 == 0, "").when(F.col("design_id") % 7 == 0, "[1, 2").otherwise(F.col("doc"))
-    payload_texts(t).select("design_id", broken.alias("doc")).write.partitionBy("design_id").text(folder)
+    payload_texts(t).select("design_id", broken.alias("doc")).write.options(**MOVED_BY_TASKS).partitionBy("design_id").text(folder)
     payload = payloads.load_payloads(t.spark, folder).withColumn("design_id", F.regexp_extract("design_id", r"design_id=(\d+)", 1).cast("long"))
     points = payloads.explode_points(payload).groupBy("design_id").agg(F.count(F.lit(1)).alias("points"), F.min("x").alias("low"))
     return payloads.parameterization_summary(payload).select("design_id", "component_count").join(points, "design_id", "left").select(

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from sweepfield.functions.numeric import is_finite
 from sweepfield.operators.primitives import primitive_type
+from sweepfield.session import shared_folder
 
 # Coordinates are read as text, so one malformed number spoils one point only.
 COORDS = "array<array<string>>"
@@ -36,9 +37,10 @@ PAYLOAD = (
 
 
 def load_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One payload row per JSON file; empty or non-object files give an empty payload."""
+    """One payload row per JSON file, opened once; empty or non-object files give an empty payload."""
+    shared_folder(spark)
     texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return parse_payloads(texts.select(F.col("_metadata.file_path").alias("design_id"), "value"), "value")
+    return parse_payloads(texts.select(F.col("_metadata.file_path").alias("design_id"), "value").checkpoint(), "value")
 
 
 def parse_payloads(texts: DataFrame, column: str) -> DataFrame:

@@ -9,6 +9,7 @@ from sweepfield.functions.numeric import is_finite
 from sweepfield.operators.curves import complex_to_db
 from sweepfield.plans.ordered import measure_spans, with_running
 from sweepfield.plans.sizing import broadcast_if_small
+from sweepfield.session import shared_folder
 
 # Fixed pattern: what counts as a number inside a line of prose.
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
@@ -110,8 +111,13 @@ def parse_sweep_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_sweeps(spark: SparkSession, path: str) -> DataFrame:
-    """Curves of all files below ``path`` as ``(path, freq, value)``."""
-    return parse_sweep_lines(text_lines(spark, path))
+    """Curves of all files below ``path`` as ``(path, freq, value)``.
+
+    Their lines are used several times, and opening many small files costs far
+    more than their lines do: each file is opened once.
+    """
+    shared_folder(spark)
+    return parse_sweep_lines(text_lines(spark, path).checkpoint())
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
