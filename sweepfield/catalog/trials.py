@@ -204,6 +204,8 @@ LISTS = """lists AS (SELECT run_id, (iteration - 1) // 3 AS iteration, -max(valu
       count(*) FILTER (operation = 'view') AS b, count(*) FILTER (operation = 'purchase') AS c, count(*) FILTER (operation = 'error') AS d,
       max(value) > 5 AS available, max(value) > 60 AS improved, list(operation || ' ' || attempt_id % 11 ORDER BY iteration) AS notes FROM attempts GROUP BY ALL)"""
 
+FILES = 24  # that one micro-batch of attempts arrives in
+
 
 @register("refresh_knowledge", f"""WITH {LISTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY iteration DESC) AS k FROM lists),
     sums AS (SELECT run_id, sum(a) FILTER (k <= 5) AS resize, sum(b) FILTER (k <= 5) AS move, sum(c) FILTER (k <= 5) AS add_, sum(d) FILTER (k <= 5) AS del,
@@ -231,12 +233,13 @@ def _(t):
     lists = t.spark.read.parquet(f"{folder}/all")
     parts = 6
     top = (lists.agg(F.max("iteration")).first()[0] or 0) + 1
-    # The attempts arrive in the order of their numbers, one file per micro-batch; the stream is stopped and started halfway.
+    # The attempts arrive in the order of their numbers, a few files per micro-batch with a run's attempts
+    # in one of them; the stream is stopped and started halfway.
     for part in range(parts):
         arriving = lists.filter(F.floor(F.col("iteration") * parts / top) == part)
-        arriving.coalesce(1).write.mode("append").parquet(f"{folder}/arriving")
+        arriving.repartition(FILES, "run_id").write.mode("append").parquet(f"{folder}/arriving")
         if part in (parts // 2, parts - 1):
-            stream = t.spark.readStream.schema(lists.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+            stream = t.spark.readStream.schema(lists.schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/arriving")
             streaming.refresh_knowledge(stream, f"{folder}/made", f"{folder}/state", KINDS, compact_every=4).awaitTermination()
     effects = streaming.read_effects(t.spark, f"{folder}/made").groupBy("run_id").agg(F.count_if("s11_improved").alias("improvements"))
     latest = streaming.read_knowledge(t.spark, f"{folder}/made").withColumn("notes", F.array_join("notes", "|"))
