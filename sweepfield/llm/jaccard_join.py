@@ -11,8 +11,11 @@ without that margin also sign their empty parts and so find each other.
 
 A signature that many sets share is hot. Its sets link to one of them first. A
 set that keeps its margin without its hot signatures has met every partner
-elsewhere; only pairs of sets that both lack that margin are looked at again,
-and only where the first links have left them in different components.
+elsewhere; only sets that lack that margin are looked at again, and only where
+the first links have left them in different components. They meet on their
+rarest shingles: of two similar sets, the first shingle they share stands so
+early in both that the rest can still reach the similarity. Sets that share a
+common passage and little else have it too late for that.
 
 Equal sets are one node from the start. A candidate pair is first bounded from
 above by small histograms of the two sets; what passes is verified on the whole
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweepfield.llm.common import broadcast_if_counted, same, slices, text_of, written
+from sweepfield.llm.common import batches_of, broadcast_if_counted, same, slices, text_of, written
 from sweepfield.plans.components import connected_components
 
 GRAM, SIMILARITY = 5, 80  # words in a shingle; similarity in hundredths
@@ -42,6 +45,7 @@ SHARD_SIGNATURES = 700_000  # signatures that meet in one task
 RUN_SIGNATURES = 400_000  # signatures that a task holds before it packs them
 MET_PAIRS = 400_000  # pairs of short runs that a shard holds at once
 SLICE_BYTES = 750_000  # text turned into shingles at once; the arrays take some fifty times as much
+PAIR_BATCH = 1_000  # pairs that a task holds with both their sets
 ROUNDS = 3  # star rounds over hot signatures before the rest is paired
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -396,18 +400,58 @@ def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "node long, hashes binary")
 
 
+def _sets_of(docs: DataFrame, text_col: str, needed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, hashes)`` of the sets in ``needed(node)``; only texts of these are read into sets and moved."""
+    texts = broadcast_if_counted(written(needed.join(nodes, "node").select("node", "fp"), "nodes"))
+    own = docs.select(text_of(text_col).alias("t"))
+    own = own.join(texts.select("fp"), F.xxhash64("t") == F.col("fp"), "left_semi")
+    return shingle_sets(own, "t").join(texts.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(
+        F.first("hashes").alias("hashes"))
+
+
+def rarest_pairs(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """``(a, b)``: distinct pairs of ``sets(node, size, label, hashes)`` with different labels that can reach the similarity.
+
+    Shingles stand in one order in all sets, rare ones first. Two sets share no
+    more than what follows their first common shingle in either, itself
+    included; so it stands among the first ninth of the smaller set and the
+    first fifth of the larger one (at 80 hundredths), and both rests are long
+    enough for the two sizes. Every similar pair passes there.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 3, 4 * SLICE_BYTES)):
+            counts = pc.binary_length(batch.column(3)).to_numpy() // 8
+            own = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            found = np.concatenate([np.frombuffer(v.as_buffer(), "<i8") for v in batch.column(3)])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(own) for k in range(3)] + [pa.array(found)], names=["node", "size", "label", "sig"])
+
+    rows = written(sets.select("node", "size", "label", "hashes").mapInArrow(flat, "node long, size long, label long, sig long"), "shingles")
+    # A shingle of one set alone takes a place before all others; one of a single component leads to no pair.
+    shared = rows.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("_l"), F.max("label").alias("_h")).filter("n > 1").select(
+        "sig", "n", (F.col("_l") < F.col("_h")).alias("mixed"))
+    own = Window.partitionBy("node")
+    placed = rows.join(shared, "sig").withColumn("_k", F.row_number().over(own.orderBy("n", "sig"))).withColumn(
+        "_shared", F.count(F.lit(1)).over(own)).withColumn("rest", F.col("_shared") - F.col("_k") + 1)
+    # rest: shingles from this one on.
+    early = written(placed.filter(F.col("mixed") & (100 * F.col("rest") >= similarity * F.col("size"))).select(
+        "sig", "node", "size", "label", "rest"), "early")
+    small = early.filter((100 + similarity) * F.col("rest") >= 2 * similarity * F.col("size")).select(
+        "sig", F.col("node").alias("a"), F.col("size").alias("x"), F.col("label").alias("l"), F.col("rest").alias("r"))
+    large = early.select("sig", F.col("node").alias("b"), F.col("size").alias("y"), F.col("label").alias("m"), F.col("rest").alias("t"))
+    may = (F.col("l") != F.col("m")) & ((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("a") < F.col("b"))))
+    may = may & ((100 + similarity) * F.least("r", "t") >= similarity * (F.col("x") + F.col("y")))
+    return small.join(large, "sig").filter(may).select("a", "b").distinct()
+
+
 def verified(docs: DataFrame, text_col: str, pairs: DataFrame, nodes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the similarity.
 
     Only texts of sets that occur in a pair are read into sets and moved. Each
     pair carries one set to the other, so a task holds a batch of pairs at a time.
     """
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = broadcast_if_counted(written(needed.join(nodes, "node").select("node", "fp"), "nodes"))
-    own = docs.select(text_of(text_col).alias("t"))
-    own = own.join(texts.select("fp"), F.xxhash64("t") == F.col("fp"), "left_semi")
-    sets = shingle_sets(own, "t").join(texts.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(
-        F.first("hashes").alias("hashes"))
+    sets = _sets_of(docs, text_col, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes)
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("s")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("t")), "b").select("a", "b", "s", "t")
 
@@ -461,8 +505,7 @@ def _relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
         "node", F.coalesce("new", "label").alias("label")), "relabelled")
 
 
-def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified edges between nodes and the label of every node that has one; ``nodes(node, size, margin, fp, sketch)``."""
+def _link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     total = nodes.agg(F.sum("size")).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, total / SHARD_SIGNATURES))))
     found = written(candidates(docs, text_col, bits), "candidates")
@@ -493,11 +536,9 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int
             lead = parts.groupBy("sig").agg(F.max_by(F.struct("label", "centre"), F.struct("n", "label")).alias("m"))
             met = rest_now.join(lead, "sig").filter(F.col("label") != F.col("m.label")).select(F.col("node").alias("a"), F.col("m.centre").alias("b"))
         else:
-            # What is still apart is paired in full.
-            other = rest_now.select("sig", F.col("node").alias("b"), F.col("label").alias("_other"), F.col("size").alias("_size"))
-            near = 100 * F.least("size", "_size") >= similarity * F.greatest("size", "_size")
-            met = rest_now.join(other, "sig").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("_other")) & near).select(
-                F.col("node").alias("a"), "b")
+            # What is still apart meets on its rarest shingles.
+            apart = written(rest_now.select("node", "size", "label").distinct(), "apart")
+            met = rarest_pairs(apart.join(_sets_of(docs, text_col, apart.select("node"), nodes), "node"), similarity)
         fresh = written(_possible(pair(met), nodes, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             continue
@@ -509,6 +550,12 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int
     return edges, labels
 
 
+def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified edges between nodes and the label of every node that has one; ``nodes(node, size, margin, fp, sketch)``."""
+    with batches_of(docs.sparkSession, PAIR_BATCH):
+        return _link_nodes(docs, nodes, text_col, similarity)
+
+
 def components_of(docs: DataFrame, id_col: str, text_col: str, similarity: int = SIMILARITY) -> DataFrame:
     """``(id, fp, n_shingles, links, low)``, one row per input row.
 

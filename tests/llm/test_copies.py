@@ -118,3 +118,38 @@ def test_one_of_each_component_stays(spark):
     rows = [(5, words + " x"), (3, words), (None, words + " y"), (8, "other text"), (9, None), (7, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in jaccard_join.drop_near_copies(df).collect()) == [3, 7, 8, 9]
+
+
+def test_common_passages_make_no_pairs(spark, monkeypatch):
+    passage = " ".join(f"w{k}" for k in range(300))
+    rows = [(i, " ".join(f"own{i}x{k}" for k in range(75)) + " " + passage) for i in range(40)]
+    near = [" ".join(f"near{k}" for k in range(75)) + " " + passage + f" end{i}" for i in range(2)]
+    rows += [(40 + i, text) for i, text in enumerate(near)]
+    seen, possible, own_rows = [], jaccard_join._possible, []
+    monkeypatch.setattr(jaccard_join, "_possible", lambda pairs, *a: seen.append(pairs.count()) or possible(pairs, *a))
+    compare = jaccard_join.batches_of
+    monkeypatch.setattr(jaccard_join, "batches_of", lambda spark, n: own_rows.append(n) or compare(spark, n))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {i: min(i, 40) for i, _ in rows}
+    assert len(seen) == jaccard_join.ROUNDS + 2 and seen[-1] == 0, seen
+    assert own_rows == [jaccard_join.PAIR_BATCH] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_rarest_pairs_lose_no_similar_pair(spark):
+    rng = random.Random(5)
+    common = [rng.getrandbits(60) for _ in range(60)]
+    sets = []
+    for _ in range(60):
+        base = common[:rng.choice([0, 20, 40, 60])] + [rng.getrandbits(60) for _ in range(rng.choice([1, 4, 12]))]
+        for _ in range(rng.choice([1, 2, 3])):
+            sets.append({h for h in base if rng.random() > 0.06} | {rng.getrandbits(60) for _ in range(rng.choice([0, 1, 2]))})
+    sets = [s for s in sets if s]
+    label = [i % 9 for i in range(len(sets))]
+    rows = [(i, len(s), label[i], bytearray(np.array(sorted(s), "<u8").tobytes())) for i, s in enumerate(sets)]
+    for similarity in (80, 60):
+        pairs = jaccard_join.rarest_pairs(spark.createDataFrame(rows, "node long, size long, label long, hashes binary"), similarity).collect()
+        got = {(min(p), max(p)) for p in pairs}
+        want = {(i, j) for j in range(len(sets)) for i in range(j)
+                if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+        assert len(got) == len(pairs) and want <= got and len(want) > 20 and all(label[i] != label[j] for i, j in got)
