@@ -47,9 +47,9 @@ def _(t):
 
 @register("route_replies", """SELECT event_id AS reply_id, CASE WHEN event_id % 8 = 3 THEN 'no JSON object' ELSE 'good' END AS route, CASE WHEN event_id % 8 <> 3 THEN props END AS object FROM events""")
 def _(t):
-    good, bad = text.route_replies(mixed_replies(t), ["k"])
-    failed = bad.select("reply_id", F.col("reason").alias("route"), F.lit(None).cast("string").alias("object"))
-    return good.select("reply_id", F.lit("good").alias("route"), "object").unionByName(failed)
+    judged = text.judged_replies(mixed_replies(t), ["k"])
+    good = F.col("reason").isNull()
+    return judged.select("reply_id", F.coalesce("reason", F.lit("good")).alias("route"), F.when(good, F.col("object")).alias("object"))
 
 
 @register("first_match", """SELECT document, min(page) FILTER (length(text) > 120) AS page, arg_min(text, page) FILTER (length(text) > 120) AS text FROM pages_text GROUP BY document""")

@@ -41,3 +41,9 @@ def test_arrivals_are_written_side_by_side(spark):
     before = set(folder.rglob("knowledge-*/arriving/*.parquet"))
     entry.queries()["refresh_knowledge"](spark, DATA)
     assert len(set(folder.rglob("knowledge-*/arriving/*.parquet")) - before) > 6
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
+def test_replies_are_judged_once(spark):
+    plan = plan_of(entry.queries()["route_replies"](spark, DATA))
+    assert plan.count("Relation") == 1 and "Union" not in plan
