@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sweepfield.catalog.contours import r
 from sweepfield.catalog.registry import register
+from sweepfield.catalog.trials import FILES
 from sweepfield.catalog.validation import LOOPS, loop_points
 from sweepfield.functions.numeric import rounded
 from sweepfield.operators import repair
@@ -226,15 +227,17 @@ def _(t):
 @register("append_trials", """SELECT run_id, min(objective) AS best, arg_min(trial_id, (objective, trial_id)) AS best_evaluation, count(*) AS trials, count(*) FILTER (status = 'failed') AS failed FROM trials GROUP BY run_id""")
 def _(t):
     folder = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    # The table arrives as six files, one per micro-batch; every second batch is compacted.
-    t.table("orders").repartition(6).write.parquet(f"{folder}/arriving")
-    stream = t.spark.readStream.schema(t.table("orders").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    # The table arrives in six micro-batches of a few files, read side by side; every second batch is compacted.
+    t.table("orders").repartition(6 * FILES).write.parquet(f"{folder}/arriving")
+    stream = t.spark.readStream.schema(t.table("orders").schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/arriving")
     log = stream.select(
         F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("evaluation"), (F.col("o_totalprice") / F.lit(1e5)).alias("objective"),
         F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"),
     )
     streaming.append_trials(log, f"{folder}/log", f"{folder}/log-state").awaitTermination()
-    appended = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    # As many files in the log as tasks wrote: a third of them is a batch.
+    files = max(1, -(-len(t.spark.read.parquet(f"{folder}/log").inputFiles()) // 3))
+    appended = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/log")
     streaming.refresh_best(appended, f"{folder}/best", f"{folder}/best-state", compact_every=2).awaitTermination()
     return streaming.read_best(t.spark, f"{folder}/best")
 

@@ -47,3 +47,11 @@ def test_arrivals_are_written_side_by_side(spark):
 def test_replies_are_judged_once(spark):
     plan = plan_of(entry.queries()["route_replies"](spark, DATA))
     assert plan.count("Relation") == 1 and "Union" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
+def test_trials_arrive_side_by_side(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("stream-*/arriving/*.parquet"))
+    entry.queries()["append_trials"](spark, DATA)
+    assert len(set(folder.rglob("stream-*/arriving/*.parquet")) - before) > 6
