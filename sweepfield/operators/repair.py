@@ -11,6 +11,7 @@ from sweepfield.operators.validate import CLOSURE_TOL, DUPLICATE_TOL, MIN_EDGE,
 from sweepfield.plans.blocks import fold_in_blocks, in_blocks
 from sweepfield.plans.folds import Columns
 from sweepfield.plans.ordered import Spans, ensure_spans, with_group, with_islands, with_neighbours, with_position
+from sweepfield.session import shared_folder
 
 PLANARITY_REPAIR_TOL = 1e-6  # fixed value: larger deviations are left alone
 
@@ -85,11 +86,13 @@ def repair_points(points: DataFrame, loops: DataFrame, spans: Spans | None = Non
     rows = rows.select(*KEY, "idx", *[F.col(a).cast("double").alias(a) for a in "xyz"])
     count = lambda df, name: df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
     start = count(rows, "n0")
-    unique = _thin(rows, DUPLICATE_TOL, ["x", "y", "z"], False, spans)
+    # Each thinning is used several times and made once.
+    shared_folder(points.sparkSession)
+    unique = _thin(rows, DUPLICATE_TOL, ["x", "y", "z"], False, spans).checkpoint()
     second = count(unique, "n1")
     small = second.filter("n1 <= 3").select(*KEY)
     thin = _thin(unique.join(small, KEY, "left_anti"), MIN_EDGE, ["x", "y"], True, spans)
-    left = thin.unionByName(unique.join(small, KEY, "left_semi"))
+    left = thin.unionByName(unique.join(small, KEY, "left_semi")).checkpoint()
     spot = F.struct("idx", "x", "y", "z")
     facts = left.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n2"), F.avg("z").alias("mean_z"), F.min("z").alias("_z0"), F.max("z").alias("_z1"),

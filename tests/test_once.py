@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry  # noqa: E402
-from sweepfield.operators import segments  # noqa: E402
+from sweepfield.operators import repair, segments  # noqa: E402
 from sweepfield.session import shared_folder  # noqa: E402
 from sweepfield.sources import payloads, sweeps  # noqa: E402
 
@@ -55,3 +55,11 @@ def test_trials_arrive_side_by_side(spark):
     before = set(folder.rglob("stream-*/arriving/*.parquet"))
     entry.queries()["append_trials"](spark, DATA)
     assert len(set(folder.rglob("stream-*/arriving/*.parquet")) - before) > 6
+
+
+def test_points_are_thinned_once(spark):
+    points = spark.createDataFrame([(1, i, float(i // 2), float(i % 3), 0.0) for i in range(12)], "contour_id long, idx long, x double, y double, z double")
+    loops = spark.createDataFrame([(1, True, False)], "contour_id long, closed boolean, explicit_closure boolean")
+    fixed, log = repair.repair_points(points, loops)
+    assert "InPandas" not in plan_of(fixed) + plan_of(log) and "InArrow" not in plan_of(fixed) + plan_of(log)
+    assert fixed.count() > 6
