@@ -95,6 +95,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def automatic_joins(spark: SparkSession, limit: str):
+    """What runs inside broadcasts a table by itself only up to this size of its files, or of its rows where they were measured.
+
+    A file of equal or sorted numbers packs to a twentieth of its rows, and the driver holds the rows.
+    """
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """What runs inside hands at most so many rows at a time to Python; for rows of many kilobytes."""

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sweepfield.llm.common import batches_of, broadcast_if_counted, same, slices, text_of, written
+from sweepfield.llm.common import automatic_joins, batches_of, broadcast_if_counted, same, slices, text_of, written
 from sweepfield.plans.components import connected_components
 
 GRAM, SIMILARITY = 5, 80  # words in a shingle; similarity in hundredths
@@ -46,6 +46,7 @@ RUN_SIGNATURES = 400_000  # signatures that a task holds before it packs them
 MET_PAIRS = 400_000  # pairs of short runs that a shard holds at once
 SLICE_BYTES = 750_000  # text turned into shingles at once; the arrays take some fifty times as much
 PAIR_BATCH = 1_000  # pairs that a task holds with both their sets
+JOIN_BYTES = "256KB"  # tables that a join may broadcast by itself
 ROUNDS = 3  # star rounds over hot signatures before the rest is paired
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -401,12 +402,14 @@ def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, text_col: str, needed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, hashes)`` of the sets in ``needed(node)``; only texts of these are read into sets and moved."""
+    """``(node, hashes)`` of the sets in ``needed(node)``; only texts of these are read into sets and moved.
+
+    Texts whose 64-bit hashes clash may add a set that nobody asked for.
+    """
     texts = broadcast_if_counted(written(needed.join(nodes, "node").select("node", "fp"), "nodes"))
     own = docs.select(text_of(text_col).alias("t"))
     own = own.join(texts.select("fp"), F.xxhash64("t") == F.col("fp"), "left_semi")
-    return shingle_sets(own, "t").join(texts.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(
-        F.first("hashes").alias("hashes"))
+    return shingle_sets(own, "t").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def rarest_pairs(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -552,7 +555,7 @@ def _link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: in
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, text_col: str, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified edges between nodes and the label of every node that has one; ``nodes(node, size, margin, fp, sketch)``."""
-    with batches_of(docs.sparkSession, PAIR_BATCH):
+    with batches_of(docs.sparkSession, PAIR_BATCH), automatic_joins(docs.sparkSession, JOIN_BYTES):
         return _link_nodes(docs, nodes, text_col, similarity)
 
 

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tempfile
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sweepfield.llm import exact_dedup, jaccard_join
 from sweepfield.llm.exact_dedup import QuotientFilter
@@ -136,6 +138,27 @@ def test_common_passages_make_no_pairs(spark, monkeypatch):
     assert own_rows == [jaccard_join.PAIR_BATCH] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_files_that_pack_well_are_not_broadcast(spark, monkeypatch):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    plans, link = [], jaccard_join._link_nodes
+    folder = tempfile.mkdtemp(dir="/tmp") + "/packed"
+    spark.range(2_000_000).selectExpr("id DIV 20 AS k", "id DIV 20 AS v").write.parquet(folder)  # 32 MB of rows in a file of a few
+    plan = lambda: spark.range(3_000_000).join(spark.read.parquet(folder), F.col("id") == F.col("k"))._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(jaccard_join, "_link_nodes", lambda *a: plans.append(plan()) or link(*a))
+    try:
+        for n in names:
+            spark.conf.set(n, "10MB")
+        assert "BroadcastHashJoin" in plan()
+        df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string")
+        assert jaccard_join.near_duplicates(df).count() == 2
+        assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0]
+        assert [spark.conf.get(n) for n in names] == ["10MB", "10MB"]
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def test_rarest_pairs_lose_no_similar_pair(spark):
     rng = random.Random(5)
     common = [rng.getrandbits(60) for _ in range(60)]
