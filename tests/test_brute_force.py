@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sweepfield.operators import boxes, colors, contours, fits, primitives, repair, segments
 from sweepfield.plans import blocks as plan_blocks
+from sweepfield.plans import components
 from sweepfield.plans.ordered import NO_SPLIT
 
 
@@ -224,6 +225,45 @@ def test_regions(spark):
     assert got == label
 
 
+def least_of_regions(on):
+    label, left = {}, set(on)
+    while left:
+        queue = [left.pop()]
+        for x, y in queue:
+            near = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            queue += near
+        label |= dict.fromkeys(queue, min(queue))
+    return label
+
+
+def test_regions_across_tiles(spark):
+    rng = random.Random(4)
+    spiral, x, y, reach = {(0, 0)}, 0, 0, 2
+    for turn in range(40):  # one region through many tiles and four signs
+        for _ in range(reach):
+            x, y = x + (1, 0, -1, 0)[turn % 4], y + (0, 1, 0, -1)[turn % 4]
+            spiral.add((x, y))
+        reach += 2 * (turn % 2)
+    shapes = {
+        1: {(x, y) for x in range(-30, 40) for y in range(-20, 30) if rng.random() < 0.32}, 2: spiral, None: {(15, 15), (16, 16), (18, 16)},
+        3: {(15, 3), (16, 4), (2**60 + 15, 1), (2**60 + 16, 2)}, 4: {(x, y) for x in range(7) for y in range(4) if rng.random() < 0.4}}
+    rows = [(i, x, y) for i, on in shapes.items() for x, y in on]
+    rows += rows[:50] + [(1, None, 3), (1, None, 3), (1, None, 4)]
+    df = spark.createDataFrame(rows, "image_id long, px long, py long")
+    got = [(r.image_id, r.px, r.py, r.region.x, r.region.y) for r in colors.connected_regions(df).collect()]
+    want = [(i, *p, *q) for i, on in shapes.items() for p, q in least_of_regions(on).items()] + [(1, None, y, None, y) for y in (3, 4)]
+    assert len(got) == len(want) and set(got) == set(want)
+
+
+def test_small_images_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "connected_components", lambda *a: pytest.fail("rounds over images of one tile"))
+    on = [(i, x, y) for i in range(40) for x in range(7) for y in range(4) if (x * 5 + y * 3 + i) % 4 < 2]
+    got = {(r.image_id, r.px, r.py): (r.region.x, r.region.y) for r in colors.connected_regions(
+        spark.createDataFrame(on, "image_id long, px long, py long")).collect()}
+    assert got == {(i, *p): q for i in range(40) for p, q in least_of_regions({(x, y) for j, x, y in on if j == i}).items()}
+
+
 def test_repair(spark):
     base = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1e-10), (3, 1.0, 0.004), (4, 1.0, 1.0), (5, 0.0, 1.0)]
     points = spark.createDataFrame([(c, i, x, y, 1e-8 * (i > 2)) for c in (1, 2) for i, x, y in base], "contour_id long, idx long, x double, y double, z double")
