@@ -33,7 +33,7 @@ SPACE = "▁"  # how the vocabulary writes a space
 DROPOUT, SEED, DRAWS = 0.1, 20, 16
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 FREE = 1 << 24  # symbols from here on are characters without a piece
-SLICE_BYTES = 4_000_000  # text encoded at once; its ids and tables take some thirty times as much
+SLICE_BYTES = 1_000_000  # text encoded at once; its ids and tables take some eighty times as much
 NEVER = np.int32(2**31 - 1)
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 
 from sweepfield.llm import sentencepiece_codec as codec
 from sweepfield.llm.catalog import MODEL_FILE
+from sweepfield.llm.common import slices
 
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL_FILE), reason="tokenizer files not present")
 _rng = random.Random(6)
@@ -58,6 +60,20 @@ def test_seed_and_draw_vary_the_result(vocabulary):
     assert one != lists(*codec.encode_texts(vocabulary, text, np.arange(8), seed=1, dropout=0.3))
 
 
+def test_a_task_holds_little_of_a_large_batch(vocabulary):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(800)) for _ in range(800)]  # 4 MB
+    batch = pa.record_batch([pa.array(texts)], names=["t"])
+    tracemalloc.start()
+    for part in slices(batch, 0, codec.SLICE_BYTES):
+        ids, counts = codec.encode_texts(vocabulary, part.column(0), np.arange(part.num_rows))
+        assert codec.decode_ids(vocabulary, ids, counts).cast(pa.string()).equals(part.column(0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6, peak
+
+
 def test_frame_round_trip(spark, vocabulary):
     rows = [(i if i else None, t, "x") for i, t in enumerate(TEXTS)] + [(1, TEXTS[1], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
