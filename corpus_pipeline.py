@@ -6,6 +6,8 @@ return the columns of documents; the last returns the ids of what is left.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from sweepfield.llm import decontaminate, exact_dedup, jaccard_join, sentencepiece_codec, toxicity
@@ -14,8 +16,24 @@ from sweepfield.llm.common import table, written
 from sweepfield.session import apply_settings
 
 TOXIC = 0.5
+TEXT_ROWS = 1_000
+
+
+def text_rows(stage):
+    """The stage with at most ``TEXT_ROWS`` rows at a time for Python, also when its result is read.
+
+    Rows hold whole texts, and a worker that once held ten thousand keeps that memory through the stages after.
+    """
+
+    @wraps(stage)
+    def run(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@text_rows
 def drop_toxic(spark, docs, sf_dir):
     """Documents that score below ``TOXIC``. Labels of held-out documents are not learned from."""
     model = toxicity.fit_labelled(docs, learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0))
@@ -28,6 +46,7 @@ def drop_exact_copies(spark, docs, sf_dir):
     return exact_dedup.drop_copies(docs)
 
 
+@text_rows
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each component of similar texts."""
     return jaccard_join.drop_near_copies(docs)
@@ -38,6 +57,7 @@ def drop_benchmark_leaks(spark, docs, sf_dir):
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@text_rows
 def encode(spark, docs, sf_dir):
     """Token ids of every document."""
     return sentencepiece_codec.encode(docs, sentencepiece_codec.Vocabulary.load(MODEL_FILE))

@@ -34,6 +34,7 @@ DROPOUT, SEED, DRAWS = 0.1, 20, 16
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 FREE = 1 << 24  # symbols from here on are characters without a piece
 SLICE_BYTES = 1_000_000  # text encoded at once; its ids and tables take some eighty times as much
+BLOCK_SYMBOLS = 1 << 16  # places of a block of words that go through the agenda side by side
 NEVER = np.int32(2**31 - 1)
 
 
@@ -232,9 +233,9 @@ def _encode_words(vocabulary: Vocabulary, words: pa.Array, draws: np.ndarray, se
     found, counts = [], np.zeros(len(sizes), np.int64)
     order, low = [], 0
     for width in WIDTHS:
-        rows = np.flatnonzero((sizes > low) & (sizes <= width))
+        fitting = np.flatnonzero((sizes > low) & (sizes <= width))
         low = width
-        if len(rows):
+        for rows in np.split(fitting, range(BLOCK_SYMBOLS // width, len(fitting), BLOCK_SYMBOLS // width)) if len(fitting) else ():
             grid = np.full((len(rows), width), -1, np.int64)
             grid[np.arange(width) < sizes[rows][:, None]] = symbols[_runs(starts[rows], sizes[rows])]
             if width > 1:

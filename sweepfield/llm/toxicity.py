@@ -30,6 +30,7 @@ SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_000, 8_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 10, 128, 0.02, 0.1, 7
 MIN_VISITS = 80_000  # windows seen in training at least: few texts are gone through more often
 BLOCK = 4_096  # windows scored at once
+SLICE_BYTES = 1_000_000  # text scored at once; its words and their vectors take some hundred times as much
 CUT_STEPS = 1_000  # scores counted together when the cut is set, per unit of the logit
 # Byte map: ASCII letters and digits and all other bytes as they are, the rest of ASCII as a space.
 PLAIN = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -360,7 +361,7 @@ def _map_worst(
     """``kept`` columns and ``finish`` of the largest logit of each text's windows, minus infinity without any."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, len(kept))):
+        for batch in (part for whole in batches for part in slices(whole, len(kept), SLICE_BYTES)):
             words, grams, first, codes, counts = tokenize(batch.column(len(kept)))
             owner, start, size = windows_of(counts)
             worst = np.full(batch.num_rows, -np.inf)

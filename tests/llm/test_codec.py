@@ -74,6 +74,19 @@ def test_a_task_holds_little_of_a_large_batch(vocabulary):
     assert peak < 70e6, peak
 
 
+def test_blocks_of_words_do_not_change_ids(vocabulary, monkeypatch):
+    rng = random.Random(5)
+    texts = pa.array([" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 40))) for _ in range(60)) for _ in range(20)])
+    whole = codec.encode_texts(vocabulary, texts, np.arange(20))
+    sizes = []
+    block = codec._encode_block
+    monkeypatch.setattr(codec, "BLOCK_SYMBOLS", 256)
+    monkeypatch.setattr(codec, "_encode_block", lambda v, symbols, *rest: sizes.append(symbols.size) or block(v, symbols, *rest))
+    parts = codec.encode_texts(vocabulary, texts, np.arange(20))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
+    assert len(sizes) > 20 and max(sizes) <= 256
+
+
 def test_frame_round_trip(spark, vocabulary):
     rows = [(i if i else None, t, "x") for i, t in enumerate(TEXTS)] + [(1, TEXTS[1], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

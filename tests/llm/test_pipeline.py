@@ -3,6 +3,7 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -37,3 +38,18 @@ def test_empty_documents_table(spark):
 def test_eleven_queries_are_registered():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.encode])
+def test_python_gets_few_texts_at_once(spark, stage):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10_000)
+    try:
+        docs = spark.read.parquet(f"{DATA}/documents.parquet")
+        stage(spark, docs.limit(5), DATA)  # its result is read by the caller, under what the stage has set
+        sizes = spark.range(0, 2_500, 1, 1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+        assert sizes.agg({"n": "max"}).first()[0] <= corpus_pipeline.TEXT_ROWS
+    finally:
+        spark.conf.set(name, before)
