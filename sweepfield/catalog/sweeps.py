@@ -14,9 +14,6 @@ from sweepfield.session import shared_folder
 from sweepfield.sources import payloads, sinks, sweeps
 from sweepfield.streaming import trials as streaming
 
-# Very many small files: each task moves its own into place, else the driver moves all, one by one.
-MOVED_BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
-
 
 def lines(t):
     """Curves as text lines in three export shapes, by design."""
@@ -46,7 +43,7 @@ def _(t):
     # One file per design in the shared folder, read back as any export is.
     folder = f"{shared_folder(t.spark)}/sweeps-{uuid.uuid4().hex}"
     rows = lines(t).repartition("design").sortWithinPartitions("design", "line_no", F.desc("value"))
-    rows.select("design", "value").write.options(**MOVED_BY_TASKS).partitionBy("design").text(folder)
+    rows.select("design", "value").write.options(**sinks.MOVED_BY_TASKS).partitionBy("design").text(folder)
     out = sweeps.read_sweeps(t.spark, folder).withColumn("path", F.regexp_extract("path", "design=([0-9]+)", 1))
     return out.select("path", rounded(F.col("freq")).alias("freq"), rounded(F.col("value"), 3).alias("value"))
 
@@ -108,7 +105,7 @@ def _(t):
 
 
 # Payload text per outline: points under a key that varies, one malformed point, two segments and a hole.
-def payload_texts(t):
+def payload_texts(embeddings):
     k = F.col("vec_id")
     e = F.col("embedding")
     number = lambda i: F.get(e, i).cast("double").cast("string")
@@ -120,11 +117,11 @@ def payload_texts(t):
         name, F.lit('": [["bad", 1], '), listed, F.lit('], "segments": [{"type": "Line", "start": [0, 1], "end": [2, 3]}, {"kind": "b-spline", "start_idx": 4, "end_idx": 2}], '),
         F.lit('"holes": [{"id": "h", "points": [[0, 0], [1, 0], [1, 1], [0, 0]]}, {"points": [[0, 0]]}]}]}'),
     )
-    return t.table("embeddings").select(k.alias("design_id"), doc.alias("doc"))
+    return embeddings.select(k.alias("design_id"), doc.alias("doc"))
 
 
 def loaded(t):
-    return payloads.parse_payloads(payload_texts(t), "doc")
+    return payloads.parse_payloads(payload_texts(t.table("embeddings")), "doc")
 
 
 @register("explode_points", "SELECT contour_id AS design_id, 0::BIGINT AS comp, idx, round(x, 6) AS x, round(y, 6) AS y FROM contours")
@@ -138,7 +135,9 @@ def _(t):
     folder = f"{shared_folder(t.spark)}/payloads-{uuid.uuid4().hex}"
     # One file per design; every seventh is no JSON object, or empty.
     broken = F.when(F.col("design_id") % 14 == 0, "").when(F.col("design_id") % 7 == 0, "[1, 2").otherwise(F.col("doc"))
-    payload_texts(t).select("design_id", broken.alias("doc")).write.options(**MOVED_BY_TASKS).partitionBy("design_id").text(folder)
+    # A table may come in few row groups: the rows are dealt out before they grow into texts.
+    texts = payload_texts(t.table("embeddings").repartition("vec_id"))
+    payloads.write_payloads(texts.select("design_id", broken.alias("doc")), folder)
     payload = payloads.load_payloads(t.spark, folder).withColumn("design_id", F.regexp_extract("design_id", r"design_id=(\d+)", 1).cast("long"))
     points = payloads.explode_points(payload).groupBy("design_id").agg(F.count(F.lit(1)).alias("points"), F.min("x").alias("low"))
     return payloads.parameterization_summary(payload).select("design_id", "component_count").join(points, "design_id", "left").select(

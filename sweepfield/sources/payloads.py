@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sweepfield.functions.numeric import is_finite
 from sweepfield.operators.primitives import primitive_type
-from sweepfield.session import shared_folder
+from sweepfield.session import setting, shared_folder
+from sweepfield.sources.sinks import MOVED_BY_TASKS
 
 # Coordinates are read as text, so one malformed number spoils one point only.
 COORDS = "array<array<string>>"
@@ -36,11 +42,55 @@ PAYLOAD = (
 )
 
 
+# Files of a folder are dealt into this many below it, so that listing runs side by side.
+FOLDERS = 64
+# What opening a file counts for when files are packed into tasks, in bytes read meanwhile.
+OPEN_COST = "64KB"
+
+
+def write_payloads(documents: DataFrame, path: str) -> None:
+    """``documents(design_id, doc)`` as one file per design, its id in the path; a null text counts as empty, of a repeated id one text is kept.
+
+    Each text ends with a line end, since Spark passes over files without bytes.
+
+    On a local or mounted file system Spark's writer starts processes to set the
+    rights of each file, some 20 ms each; there the tasks write the files
+    themselves, each moved into place when it is whole.
+    """
+    if not path.startswith("file:"):
+        documents.select("design_id", "doc").write.options(**MOVED_BY_TASKS).partitionBy("design_id").text(path)
+        return
+    root = "/" + path.removeprefix("file:").lstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = TaskContext.get().taskAttemptId(), set()
+        for batch in batches:
+            for design, doc in zip(*[column.to_pylist() for column in batch.columns]):
+                name = "design_id=" + quote(design, safe="")
+                folder = f"{root}/{zlib.crc32(name.encode()) % FOLDERS}"
+                if folder not in known:
+                    os.makedirs(folder, exist_ok=True)
+                    known.add(folder)
+                with open(f"{folder}/.{name}-{own}", "w", encoding="utf-8", newline="") as file:
+                    file.write(doc + "\n")
+                os.replace(f"{folder}/.{name}-{own}", f"{folder}/{name}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    os.makedirs(root)
+    texts = documents.select(F.coalesce(F.col("design_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.coalesce("doc", F.lit("")).alias("doc"))
+    texts.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def load_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """One payload row per JSON file, opened once; empty or non-object files give an empty payload."""
+    """One payload row per JSON file, opened once; blank or non-object files give an empty payload, files without bytes no row.
+
+    Spark counts a file as 4 MB more than it holds, so a task would open 32
+    files at most; here it opens some 2,000 small ones.
+    """
     shared_folder(spark)
     texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return parse_payloads(texts.select(F.col("_metadata.file_path").alias("design_id"), "value").checkpoint(), "value")
+    with setting(spark, "spark.sql.files.openCostInBytes", OPEN_COST):
+        return parse_payloads(texts.select(F.col("_metadata.file_path").alias("design_id"), "value").checkpoint(), "value")
 
 
 def parse_payloads(texts: DataFrame, column: str) -> DataFrame:

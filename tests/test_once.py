@@ -63,3 +63,15 @@ def test_points_are_thinned_once(spark):
     fixed, log = repair.repair_points(points, loops)
     assert "InPandas" not in plan_of(fixed) + plan_of(log) and "InArrow" not in plan_of(fixed) + plan_of(log)
     assert fixed.count() > 6
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.json").write_text("{}")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    loaded = payloads.load_payloads(spark, str(tmp_path))
+    assert loaded._jdf.queryExecution().toRdd().getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert loaded.count() == 600 and spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    lone = spark.createDataFrame([], "design_id long, doc string")
+    payloads.write_payloads(lone, f"file:{tmp_path}/none")
+    assert not [f for f in (tmp_path / "none").rglob("*") if f.is_file()]

@@ -112,3 +112,18 @@ def test_edges_of_curves(spark):
     assert curves.local_minima(empty, NO_SPLIT).count() == 0 and curves.widest_band(empty, -10.0, NO_SPLIT).count() == 0
     one = spark.createDataFrame([(1, 2.0, -30.0)], "design_id long, freq double, value double")
     assert as_set(curves.widest_band(one, -10.0, NO_SPLIT)) == {(2.0, 2.0, 0.0, 1)}
+
+
+def test_payloads_are_written_as_files(spark, tmp_path):
+    rows = [(1, '{"components": []}'), (2, None), (3, '{"components": [{"points": [[0, 0], [1, 2]]}]}\n'), (4, "[1, 2"), (5, "")]
+    docs = spark.createDataFrame(rows, "design_id long, doc string")
+    payloads.write_payloads(docs, f"file:{tmp_path}/export")
+    files = [f for f in (tmp_path / "export").rglob("*") if f.is_file()]
+    # One file a design, moved into place by its task, without a folder or a checksum file of its own.
+    assert {f.name: f.read_text() for f in files} == {f"design_id={k}.json": (v or "") + "\n" for k, v in rows}
+    counts = {r.design_id.rsplit("/", 1)[1]: r.component_count for r in payloads.parameterization_summary(payloads.load_payloads(spark, f"{tmp_path}/export")).collect()}
+    assert counts == {f"design_id={k}.json": int(k == 3) for k, _ in rows}
+    # Elsewhere than on a mounted disk Spark writes, one file a design too.
+    payloads.write_payloads(docs, f"{tmp_path}/spark")
+    loaded = payloads.load_payloads(spark, f"{tmp_path}/spark")
+    assert sorted(r.component_count for r in payloads.parameterization_summary(loaded).collect()) == [0, 0, 0, 0, 1]
